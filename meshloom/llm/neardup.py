@@ -10,11 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut
-from .textkernel import Words, batches, mix64, shingle_set
+from .textkernel import Words, batches, mix64
 
 #: Minwise tokens in a signature, 16 bits each.
 TOKENS = 128
@@ -244,9 +244,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows that near_duplicates does not keep; one row of repeated rows with the kept doc_id stays."""
+    """docs without the rows that near_duplicates does not keep. Where rows share a doc_id, one of them stays; rows with a null doc_id all stay."""
     gone = near_duplicates(docs, **options).filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
-    row = Window.partitionBy("doc_id").orderBy(F.lit(1))
-    del row
+    left = docs.join(cut(gone), F.col("doc_id") == F.col("__id"), "left_anti")
+    if left.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+        left = left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(left.filter("doc_id IS NULL"))
     return left
