@@ -157,10 +157,10 @@ def _language(c="lang"):
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
-def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """lang, limit: quantile of __bits over trusted texts of SHORT characters or more, all languages' where a language has none.
+def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> tuple[DataFrame, DataFrame]:
+    """(__lang, limit) by language and one row (every) for all: quantiles of __bits over trusted texts of SHORT characters or more.
 
-    scored: lang, __n, __bits, __trusted. One row per language and one with lang null for all.
+    scored: lang, __n, __bits, __trusted.
     """
     own = scored.filter(F.col("__trusted") & (F.col("__n") >= SHORT))
     each = own.groupBy(_language().alias("__lang")).agg(F.percentile_approx("__bits", quantile, 10000).alias("limit"))
@@ -199,6 +199,8 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     three = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     scored = cut(_trusted(with_perplexity(three, model).select("doc_id", "lang", F.length("text").cast("long").alias("__n"), "__bits"), labels))
     each, every = thresholds(scored)
-    full = with_perplexity(docs, model).withColumn("__n", F.length(F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn("__lang", _language())
-    full = full.join(cut(each), "__lang", "left").join(F.broadcast(every)).withColumn("limit", F.coalesce("limit", "every"))
-    return full.filter(_verdict()).select([F.col(f"`{c}`") for c in docs.columns])
+    # docs' own columns travel in one struct, so that none of their names can clash
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), _language().alias("__lang"), text.alias("text"), F.length(text).alias("__n"))
+    full = with_perplexity(named, model).join(cut(each), "__lang", "left").join(F.broadcast(every)).withColumn("limit", F.coalesce("limit", "every"))
+    return full.filter(_verdict()).select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])
