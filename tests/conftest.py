@@ -4,7 +4,8 @@ import tempfile
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+here = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(here), here]
 
 
 @pytest.fixture(scope="session")
