@@ -75,5 +75,6 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     per = cut(per)
     if per.filter("__rows > 1").limit(1).count():
         docs = docs.dropDuplicates(["doc_id"])
-    out = docs.alias("d").join(per.withColumnRenamed("doc_id", "__id").alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.__id")))
+    # every document has a row here, so texts are shuffled once whatever the size; the plan is the same at every size
+    out = docs.alias("d").join(per.withColumnRenamed("doc_id", "__id").hint("merge").alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.__id")))
     return out.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select([F.col(f"d.`{c}`") for c in docs.columns])
