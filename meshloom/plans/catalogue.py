@@ -392,7 +392,7 @@ def exemplar_best_match(spark, sf):
     return near.groupBy("src", "dst").agg(F.min(F.struct("dev", "d", "ex"))["ex"].alias("exemplar"))
 
 
-_COV = ", ".join(f"round(sum(({a} - c{a}) * ({b}2 - c{b}2)), 4) AS c{i}{j}" for i, a in enumerate("xyz") for j, b in enumerate("xyz"))
+_COV = ", ".join(f"round(sum(({a} - c{a}) * ({b}2 - c{b}2)), 1) AS c{i}{j}" for i, a in enumerate("xyz") for j, b in enumerate("xyz"))
 
 
 @query(f"WITH q AS (SELECT l_suppkey AS oid, l_quantity AS x, l_discount * 500 AS y, l_tax * 500 AS z, l_tax * 300 AS x2, l_quantity / 2 AS y2, l_discount * 200 AS z2 FROM lineitem), m AS (SELECT oid, {', '.join(f'avg({c}) AS c{c}' for c in ('x', 'y', 'z', 'x2', 'y2', 'z2'))} FROM q GROUP BY oid) SELECT oid, {_COV} FROM q JOIN m USING (oid) GROUP BY oid")
@@ -402,7 +402,7 @@ def kabsch_covariance(spark, sf):
     cols = ("x", "y", "z", "x2", "y2", "z2")
     m = q.groupBy("oid").agg(*[F.avg(c).alias(f"c{c}") for c in cols])
     j = q.join(m, "oid")
-    return j.groupBy("oid").agg(*[F.round(F.sum((F.col(a) - F.col(f"c{a}")) * (F.col(f"{b}2") - F.col(f"c{b}2"))), 4).alias(f"c{i}{k}") for i, a in enumerate("xyz") for k, b in enumerate("xyz")])
+    return j.groupBy("oid").agg(*[F.round(F.sum((F.col(a) - F.col(f"c{a}")) * (F.col(f"{b}2") - F.col(f"c{b}2"))), 1).alias(f"c{i}{k}") for i, a in enumerate("xyz") for k, b in enumerate("xyz")])
 
 
 # ---- words
