@@ -1,7 +1,5 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')"
-
 SQL = {
     "op1_mix_sources": r"""
 WITH d AS (
@@ -31,5 +29,15 @@ r AS (
 c AS (
   SELECT *, CAST(floor(rate * rank + u) - floor(rate * (rank - 1) + u) AS BIGINT) AS copies FROM r)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
+""",
+    "op10_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 64)) AS v FROM embeddings),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 20
 """,
 }
