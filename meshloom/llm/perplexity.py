@@ -188,7 +188,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, model: np.ndarray | None
     scored = cut(_trusted(scored, labels))
     each, every = thresholds(scored)
     limit = F.coalesce("limit", "every")
-    out = scored.withColumn("__lang", _language()).join(each, "__lang", "left").join(F.broadcast(every)).withColumn("limit", limit)
+    # one row per language, of known size once written: broadcast if small, so that a language of most rows isn't one task
+    out = scored.withColumn("__lang", _language()).join(cut(each), "__lang", "left").join(F.broadcast(every)).withColumn("limit", limit)
     slack = F.when(F.col("__n") >= SHORT, F.lit(SLACK)).otherwise(F.lit(SHORT_SLACK))
     return out.select("doc_id", "lang", F.col("__n").alias("n_chars"), F.pow(F.lit(2.0), "__bits").alias("perplexity"), F.pow(F.lit(2.0), F.col("limit") * slack).alias("threshold"), _verdict().alias("kept"))
 
