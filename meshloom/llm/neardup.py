@@ -178,8 +178,9 @@ def _branch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _small_nodes(members: DataFrame, sigs: DataFrame, limit: int) -> DataFrame:
     """members(node, doc_id) -> (node, doc_id, sig) of nodes with 2 to limit members; larger nodes branch on.
 
-    A node still too large after ROUNDS (members alike in all tokens on its path) is dealt into blocks of limit members by
-    another hash in every tree; members of one node that fall apart in one tree meet in others.
+    A node still too large after ROUNDS (members alike in all tokens on its path) is dealt into blocks of half of limit, and
+    every two blocks form a node, so any two of its members meet: exact, with bounded tasks, at a cost that grows with the
+    square of such a node.
     """
     out = None
     for r in range(ROUNDS + 1):
@@ -194,8 +195,10 @@ def _small_nodes(members: DataFrame, sigs: DataFrame, limit: int) -> DataFrame:
         if not big.limit(1).count():
             break
         if r == ROUNDS:
-            part = F.xxhash64("node", F.pmod(F.xxhash64("doc_id", "node"), F.ceil(F.col("c") / limit)))
-            return out.union(big.select(part.alias("node"), "doc_id", "sig"))
+            blocks = F.ceil(F.col("c") * 2 / limit)
+            dealt = big.withColumn("n", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id", "node"), F.col("n")))
+            met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).filter("other <> own")
+            return out.union(met.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "doc_id", "sig"))
         members = big.select("node", "doc_id", "sig").mapInArrow(_branch, "node long, doc_id long, sig binary").dropDuplicates(["node", "doc_id"])
     return out
 
