@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -326,14 +327,69 @@ def test_secret_network_held_out():
     assert secretscan.redacted("a token=abcdefghijklmn b", "assign:2:22") == "a [SECRET] b"
 
 
-def test_kneser_ney_is_a_distribution():
-    code, n = perplexity.codes(["the cat sat on the mat and the rat", "a hat", ""])
-    assert n.tolist() == [34, 5, 0] and len(code) == 39
-    model = perplexity.kneser_ney(*np.unique(code, return_counts=True))
-    total = (2.0 ** model.reshape(-1, perplexity.SYMBOLS)).sum(1)
-    assert np.allclose(total, 1, atol=1e-6)
-    seen, unseen = perplexity.bits(model, ["the cat", "#$%&*"])
-    assert seen < unseen
+def brute_bits(trusted, texts, own=()):
+    """Bits per word under an interpolated modified Kneser-Ney pair model, in plain Python. own: rows of texts that are trusted themselves."""
+    words = [[w for w in re.split(r"[ \t\n\x0b\f\r]+", t or "") if w] for t in trusted]
+    seen = Counter(w for ws in words for w in ws)
+    known = {w for w, n in seen.items() if n >= max(2, math.ceil(sum(seen.values()) * perplexity.SHARE))}
+
+    def shape(w):
+        rest = w[1:]
+        return (any("A" <= c <= "Z" for c in rest), any(c in "0123456789" for c in w), any(c in "#*$%&|<>=_~^\\/@+{}[]!?" for c in w), any(ord(c) > 127 for c in w))
+
+    def symbol(w):
+        return w if w in known else shape(w)
+
+    rare = Counter(shape(w) for w in seen if w not in known)
+    pairs = Counter(p for ws in words for p in zip([None, *map(symbol, ws)], map(symbol, ws)))
+    size = len(known) + 16
+
+    def discounts(counts):
+        n = [sum(c == i for c in counts) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0
+        return [0, *[min(max(i - (i + 1) * y * n[i] / n[i - 1], 0), i) if n[i - 1] else 0 for i in (1, 2, 3)]]
+
+    d = discounts(pairs.values())
+    before = Counter(b for _, b in pairs)
+    d_low = discounts(before.values())
+    freed_low = sum(d_low[min(c, 3)] for c in before.values()) / len(pairs)
+
+    def low(b):
+        return (before[b] - d_low[min(before[b], 3)]) / len(pairs) + freed_low / size
+
+    def probability(a, b, less=0):
+        of = {p: c for p, c in pairs.items() if p[0] == a}
+        if not of:
+            return low(b)
+        total, c = sum(of.values()), max(pairs[a, b] - less, 0)
+        return max(c - d[min(c, 3)], 0) / total + sum(d[min(x, 3)] for x in of.values()) / total * low(b)
+
+    out = []
+    for i, t in enumerate(texts):
+        ws = [w for w in re.split(r"[ \t\n\x0b\f\r]+", t or "") if w]
+        steps = list(zip([None, *map(symbol, ws)], map(symbol, ws)))
+        mine = Counter(steps) if i in own else Counter()
+        bits = [-math.log2(probability(*p, mine[p])) + (0 if w in known else math.log2(rare[shape(w)] + 1)) for p, w in zip(steps, ws)]
+        out.append(sum(bits) / len(bits) if bits else 0.0)
+    for a in [None, *list(known)[:3]]:
+        assert abs(sum(probability(a, b) for b in known) + sum(probability(a, (x, y, z, u)) for x in (0, 1) for y in (0, 1) for z in (0, 1) for u in (0, 1)) - 1) < 1e-6
+    return out
+
+
+def test_kneser_ney(spark):
+    """Sharded counts and sums against plain Python, over all trusted and other texts; frequent pairs, long and empty texts."""
+    rng = random.Random(5)
+    vocabulary = [f"w{'abcdefgh'[i % 8]}{i}" if i % 3 else f"word{i}é" for i in range(60)]
+    texts = [" ".join(rng.choice(vocabulary[: rng.choice((3, 10, 60))]) for _ in range(rng.randint(1, 120))) for _ in range(60)]
+    texts += ["", None, " \t\n", "the same line " * 3000, "UNSEEN!! Words%% 77 \x1cq \x85", texts[3], texts[40]]
+    frame = spark.createDataFrame([(i, t, "xy") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(5)
+    trusted = [i for i in range(len(texts)) if i % 2]
+    labels = spark.createDataFrame([(i, 1, 0) for i in trusted] + [(0, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    want = brute_bits([texts[i] for i in trusted], texts, set(trusted))
+    got = {r.doc_id: r.perplexity for r in perplexity.quality_scores(frame, labels).collect()}
+    assert len(got) == len(texts)
+    for i, w in enumerate(want):
+        assert abs(math.log2(got[i]) - w) < 1e-4, (i, texts[i], math.log2(got[i]), w)
 
 
 def test_classifier_held_out(spark):
