@@ -118,12 +118,21 @@ def _split(keys: np.ndarray, shards: int) -> list[np.ndarray]:
     return np.split(order, np.cumsum(np.bincount(own, minlength=shards))[:-1])
 
 
-def _count_pairs(shared, shards: int):
+def _shard_names(spark, shards: int) -> list[int]:
+    """Numbers that Spark's hash partitioning over so many partitions deals one to each, so that no task gets several shards."""
+    n = int(shards * (np.log(shards) + 20)) + 1  # all partitions are met with probability 1 - exp(-20)
+    ids = spark.range(n).select(F.col("id").cast("int").alias("i"))
+    met = ids.groupBy(F.pmod(F.hash("i"), F.lit(shards)).alias("p")).agg(F.min("i").alias("i")).collect()  # one row per shard
+    names = [r["i"] for r in met]
+    return names + list(range(n, n + shards - len(names)))
+
+
+def _count_pairs(shared, names: list[int]):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(held):
             every = np.concatenate(held)
             keys, n = _sum_by(every, np.ones(len(every), np.int64))
-            parts = [(s, p) for s, p in enumerate(_split(keys, shards)) if len(p)]
+            parts = [(s, p) for s, p in zip(names, _split(keys, len(names))) if len(p)]
             cols = [pa.array([s for s, _ in parts], pa.int32()), pa.array([len(p) for _, p in parts], pa.int32())]
             return pa.RecordBatch.from_arrays([*cols, pa.array([_pack_keys(keys[p]) for _, p in parts], pa.binary()), pa.array([_pack(n[p]) for _, p in parts], pa.binary())], ["shard", "size", "keys", "n"])
 
@@ -254,8 +263,8 @@ def vocabulary(texts: DataFrame) -> tuple[Vocabulary, int]:
     return Vocabulary(np.sort(known.astype(np.int64).view(np.uint64)), -np.log2(spread + 1)), total
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame, int]:
-    """The model of all trusted texts: (arrays by word, table of pair counts by shard, number of shards).
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame, list[int]]:
+    """The model of all trusted texts: (arrays by word, table of pair counts by shard, names of the shards).
 
     The table grows with the corpus and is never gathered; the arrays hold 1 / SHARE entries at most.
     """
@@ -263,12 +272,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame, int]:
     texts = _trusted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text")), labels).filter("__trusted").select("text")
     words, total = vocabulary(texts)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
+    names = _shard_names(spark, shards)
     kind = "shard int, size int, keys binary, n binary"
-    parts = texts.mapInArrow(_count_pairs(spark.sparkContext.broadcast(words), shards), kind)
+    parts = texts.mapInArrow(_count_pairs(spark.sparkContext.broadcast(words), names), kind)
     table = cut(parts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_merge_shards, kind))
-    names = ["tokens", "types", "n1", "n2", "n3", "n4", "before"]
-    stats = table.mapInArrow(_statistics, "w long, " + ", ".join(f"{k} long" for k in names)).groupBy("w").agg(*[F.sum(k).alias(k) for k in names]).toArrow()
-    return Model.of(words, stats["w"].to_numpy(), {k: stats[k].to_numpy() for k in names}), table, shards
+    sums = ["tokens", "types", "n1", "n2", "n3", "n4", "before"]
+    stats = table.mapInArrow(_statistics, "w long, " + ", ".join(f"{k} long" for k in sums)).groupBy("w").agg(*[F.sum(k).alias(k) for k in sums]).toArrow()
+    return Model.of(words, stats["w"].to_numpy(), {k: stats[k].to_numpy() for k in sums}), table, names
 
 
 _PARTS = "batch long, shard int, kind int, size int, keys binary, n binary, at binary, idx int, doc_id long, lang string, n_chars long, m1 long, m2 long, trusted boolean, n_words long, base double"
@@ -283,7 +293,7 @@ def _rows(count: int, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[k], t) if k in cols else pa.nulls(count, t) for k, t in zip(_NAMES, _KINDS)], _NAMES)
 
 
-def _ask(shared, shards: int):
+def _ask(shared, names: list[int]):
     """Documents (uid, doc_id, lang, n_chars, m1, m2, __trusted, text) -> a row each, and per shard one row of the distinct pairs of a batch of them."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,15 +306,15 @@ def _ask(shared, shards: int):
             order = np.lexsort((doc, keys))
             keys, doc, n = keys[order], doc[order].astype(np.uint32), np.minimum(n[order], 2**31).astype(np.uint32)
             at = doc * np.uint32(2) + trusted[doc]
-            parts = [(s, p) for s, p in enumerate(_split(keys, shards)) if len(p)]
+            parts = [(s, p) for s, p in zip(names, _split(keys, len(names))) if len(p)]
             if parts:
                 yield _rows(
                     len(parts), batch=[batch] * len(parts), shard=[s for s, _ in parts], kind=[ASKED] * len(parts), size=[len(p) for _, p in parts],
                     keys=[_pack_keys(keys[p]) for _, p in parts], n=[_pack(n[p]) for _, p in parts], at=[_pack(at[p]) for _, p in parts],
                 )
-            home = batch % shards
+            home = (mix64(np.uint64(batch) + np.arange(len(own), dtype=np.uint64)) % np.uint64(len(names))).astype(np.int64)
             plain = {k: [d[k] for d in own] for k in ("doc_id", "lang", "n_chars", "m1", "m2", "n_words", "base")}
-            yield _rows(len(own), batch=[batch] * len(own), shard=[home] * len(own), kind=[DOCUMENT] * len(own), idx=list(range(len(own))), trusted=[d["__trusted"] for d in own], **plain)
+            yield _rows(len(own), batch=[batch] * len(own), shard=np.array(names, np.int32)[home], kind=[DOCUMENT] * len(own), idx=list(range(len(own))), trusted=[d["__trusted"] for d in own], **plain)
 
         held, own, size = [], [], 0
         for rb in it:
@@ -399,7 +409,7 @@ def _total(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(docs, gains)
 
 
-def scores(docs: DataFrame, labels: DataFrame, fitted: tuple[Model, DataFrame, int]) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, fitted: tuple[Model, DataFrame, list[int]]) -> DataFrame:
     """Per row of docs doc_id, lang, n_chars, trusted, n_words, bits (per word), and m1, m2: a digest of doc_id, lang and text.
 
     A text's score is a sum that its own task knows (no pair counted) and what each counted pair adds. Tasks send the distinct
@@ -407,13 +417,13 @@ def scores(docs: DataFrame, labels: DataFrame, fitted: tuple[Model, DataFrame, i
     spread over the rows of many batches, and shards are dealt by a hash of the pair, so neither frequent words nor pairs
     gather in one task.
     """
-    model, table, shards = fitted
+    model, table, names = fitted
     shared = docs.sparkSession.sparkContext.broadcast(model)
     doc_id, lang = F.col("doc_id").cast("long"), F.col("lang").cast("string")
     four = docs.select(doc_id.alias("doc_id"), lang.alias("lang"), F.length(_text()).cast("long").alias("n_chars"), *_marks(), _text().alias("text"))
-    asked = _trusted(four, labels).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "lang", "n_chars", "m1", "m2", "__trusted", "text").mapInArrow(_ask(shared, shards), _PARTS)
+    asked = _trusted(four, labels).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "lang", "n_chars", "m1", "m2", "__trusted", "text").mapInArrow(_ask(shared, names), _PARTS)
     counts = table.select(*[F.col(k) if k in ("shard", "size", "keys", "n") else F.lit(COUNTS).alias(k) if k == "kind" else F.lit(None).cast(x.split()[1]).alias(k) for k, x in zip(_NAMES, _PARTS.split(", "))])
-    found = asked.union(counts).repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_answer(shared), _PARTS)
+    found = asked.union(counts).repartition(len(names), "shard").sortWithinPartitions("shard", "kind").mapInArrow(_answer(shared), _PARTS)
     return found.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(_total, _SCORED)
 
 
@@ -452,7 +462,7 @@ def _judged(docs: DataFrame, labels: DataFrame, fitted) -> DataFrame:
     return out.withColumn("limit", limit).withColumn("kept", F.coalesce(F.col("bits") <= F.col("limit"), F.lit(True)))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, fitted: tuple[Model, DataFrame, int] | None = None) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, fitted: tuple[Model, DataFrame, list[int]] | None = None) -> DataFrame:
     """Per row doc_id, lang, n_chars, perplexity (2 ** bits per word), threshold, kept.
 
     Trains on every text that labels trust (quality 1, not toxic), scores all texts (trusted ones without their own pairs), and
