@@ -20,27 +20,39 @@ CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: A term: a run of letters, marks and digits.
 TERM = r"[\p{L}\p{M}\p{N}]+"
-#: Terms looked at on either side of an entity, up to the next entity.
-REACH = 3
 #: A term discloses an entity if their pointwise mutual information is at least DISCLOSE of the entity's information
-#: content, seen together in SUPPORT documents at least.
+#: content. A pair seen in fewer than SUPPORT documents must reach that share of its own content, which is larger.
 DISCLOSE, SUPPORT = 0.8, 2
+#: Terms in over a COMMON-th of the documents that can't disclose anything are dropped by a broadcast, before any shuffle.
+COMMON = 1000
+#: Matches and spans handled between two copies of what has been built so far.
+BLOCK = 256
 
 _SPAN = "array<struct<s:int,e:int,v:string>>"
 
 
-def located(text: Column, pattern: str) -> Column:
-    """Matches of pattern as (s, e, v): code-point offsets, end exclusive, and the text matched.
+def _blocks(n: Column) -> Column:
+    """0, 1, ...: the blocks of n entries, one at least."""
+    return F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / BLOCK), F.lit(0)).cast("int"))
+
+
+def located(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Matches of pattern as (s, e, v): code-point offsets, end exclusive, and the text matched; only those that keep takes.
 
     The stretches between matches give the offsets as running lengths.
     """
+    more = lambda o, y: F.concat(o, F.array(F.struct(y["b"].alias("s"), (y["b"] + F.length(y["w"])).alias("e"), y["w"].alias("v"))))
     step = lambda x: lambda a, i: bound(
         F.struct((a["p"] + F.length(F.get(x["g"], i))).alias("b"), F.get(x["m"], i).alias("w")),
-        lambda y: F.struct((y["b"] + F.length(y["w"])).alias("p"), F.concat(a["o"], F.array(F.struct(y["b"].alias("s"), (y["b"] + F.length(y["w"])).alias("e"), y["w"].alias("v")))).alias("o")),
+        lambda y: F.struct((y["b"] + F.length(y["w"])).alias("p"), (F.when(keep(y["w"]), more(a["o"], y)).otherwise(a["o"]) if keep else more(a["o"], y)).alias("o")),
     )
     none = F.array().cast(_SPAN)
+    part = lambda x: lambda a, k: bound(
+        F.aggregate(F.sequence(k * BLOCK, F.least(k * BLOCK + (BLOCK - 1), F.size(x["m"]) - 1)), F.struct(a["p"].alias("p"), none.alias("o")), step(x)),
+        lambda r: F.struct(r["p"].alias("p"), F.concat(a["o"], r["o"]).alias("o")),
+    )
     walk = lambda x: F.when(F.size(x["m"]) == 0, none).otherwise(
-        F.aggregate(F.sequence(F.lit(0), F.size(x["m"]) - 1), F.struct(F.lit(0).alias("p"), none.alias("o")), step(x), lambda a: a["o"])
+        F.aggregate(_blocks(F.size(x["m"])), F.struct(F.lit(0).alias("p"), none.alias("o")), part(x), lambda a: a["o"])
     )
     return bound(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g")), walk)
 
@@ -78,62 +90,57 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(all_of)
 
 
-def _contexts(text: Column, base: Column) -> Column:
-    """Up to REACH terms on either side of each base span, not beyond the next span: (v, t, s, e), v the entity, t the term."""
-    head = rf"^(?:[^\p{{L}}\p{{M}}\p{{N}}]*+[\p{{L}}\p{{M}}\p{{N}}]++){{0,{REACH}}}"
-
-    def around(b: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            left = F.coalesce(F.get(b, i - 1)["e"], F.lit(0))
-            right = F.coalesce(F.get(b, i + 1)["s"], F.length(text))
-            before = bound(F.reverse(F.regexp_extract(F.reverse(F.substring(text, left + 1, F.greatest(x["s"] - left, F.lit(0)))), head, 0)), lambda p: _terms(p, x["s"] - F.length(p), x["v"]))
-            after = bound(F.regexp_extract(F.substring(text, x["e"] + 1, F.greatest(right - x["e"], F.lit(0))), head, 0), lambda p: _terms(p, x["e"], x["v"]))
-            return F.concat(before, after)
-
-        return F.array_distinct(F.flatten(F.transform(b, one)))
-
-    def _terms(p: Column, at: Column, entity: Column) -> Column:
-        return F.transform(located(p, TERM), lambda y: F.struct(entity.alias("v"), F.lower(y["v"]).alias("t"), (at + y["s"]).alias("s"), (at + y["e"]).alias("e")))
-
-    # a span inside or across another has no gap on that side; terms that touch a base span are dropped
-    found = bound(base, around)
-    clear = lambda c: ~F.exists(base, lambda b: (c["s"] < b["e"]) & (b["s"] < c["e"]))
-    return F.filter(found, clear)
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
 def disclosing(found: DataFrame, docs: DataFrame, disclose: float = DISCLOSE, support: int = SUPPORT) -> DataFrame:
-    """(v, t): terms that reveal entities, by document counts over the whole corpus.
+    """(uid, terms): per row of found the terms that reveal one of its entities, by document counts over the whole corpus.
+
+    With N documents, PMI(v; t) = log2(N * n(v, t) / (n(v) * n(t))) and IC(v) = log2(N / n(v)); t discloses v if
+    PMI >= disclose * IC(v), or, for a pair in fewer than support documents, disclose * log2(N / n(v, t)): the two agree for
+    an entity with one document, and one meeting says little about an entity that is often seen without the term.
 
-    found: rows with base and ctx, one per document. With N documents, PMI(v; t) = log2(N * n(v, t) / (n(v) * n(t))) and
-    IC(v) = log2(N / n(v)); t discloses v if PMI >= disclose * IC, that is n(t) <= n(v, t) * 2 ** ((1 - disclose) * IC).
-    All counts are partially aggregated by task.
+    Terms anywhere in the text count. As n(v, t) <= n(v), only terms with n(t) <= n(v) * (N / n(v)) ** (1 - disclose) can
+    disclose v; pairs of others aren't formed. Entities in the same documents have the same counts with every term, so they
+    are one class. All counts are partially aggregated by task.
     """
-    n = found.count()
-    pairs = found.select(F.explode(F.array_distinct(F.transform("ctx", lambda c: F.struct(c["v"].alias("v"), c["t"].alias("t"))))).alias("p"))
-    pairs = pairs.groupBy("p.v", "p.t").agg(F.count("*").alias("both")).filter(F.col("both") >= support)
-    entities = found.select(F.explode(F.array_distinct(F.transform("base", lambda b: b["v"]))).alias("v")).groupBy("v").agg(F.count("*").alias("n_v"))
-    terms = _texts(docs).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
-    joined = pairs.join(entities, "v").join(terms, "t")
-    content = F.log2(F.lit(float(n)) / F.col("n_v"))
-    pmi = F.log2(F.lit(float(n)) * F.col("both") / (F.col("n_v") * F.col("n_t")))
-    return joined.filter((content > 0) & (pmi >= F.lit(disclose) * content)).select("v", "t")
+    n = float(found.count())
+    some = found.filter(F.size("base") > 0)
+    held = some.select("uid", F.explode(F.array_distinct(F.transform("base", lambda b: b["v"]))).alias("v"))
+    entities = held.groupBy("v").agg(F.count("*").alias("n_v"), F.bit_xor(F.xxhash64("uid")).alias("c1"), F.bit_xor(F.xxhash64(F.lit("again"), "uid")).alias("c2"))
+    classes = cut(held.join(entities, "v").select("uid", "n_v", "c1", "c2").distinct())
+    bound_of = lambda n_v: n_v * F.pow(F.lit(n) / n_v, F.lit(1 - disclose)) * (1 + 1e-9)
+    most = classes.agg(F.max(bound_of(F.col("n_v")))).first()[0] or 0.0
+    counts = cut(_texts(docs).select(F.explode(_terms(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t")))
+    common = counts.filter(F.col("n_t") > max(most, n / COMMON)).select("t")
+    rows = some.select("uid", F.explode(_terms(F.col("text"))).alias("t")).join(F.broadcast(common), "t", "left_anti")
+    rows = rows.join(counts.filter(F.col("n_t") <= most), "t").join(classes, "uid").filter(F.col("n_t") <= bound_of(F.col("n_v")))
+    rows = cut(rows.select("uid", "t", "n_t", "n_v", "c1", "c2"))
+    pairs = rows.groupBy("c1", "c2", "n_v", "t", "n_t").agg(F.count("*").alias("both"))
+    content = F.log2(F.lit(n) / F.col("n_v"))
+    pmi = F.log2(F.lit(n) * F.col("both") / (F.col("n_v") * F.col("n_t")))
+    need = disclose * F.when(F.col("both") >= support, content).otherwise(F.log2(F.lit(n) / F.col("both")))
+    hit = pairs.filter((content > 0) & (pmi >= need)).select("c1", "c2", "n_v", "t")
+    return rows.join(hit, ["c1", "c2", "n_v", "t"], "left_semi").groupBy("uid").agg(F.collect_set("t").alias("terms"))
 
 
 def _found(docs: DataFrame, *keep: Column) -> DataFrame:
+    """Rows with their base spans and, where there are any, their text."""
     base = _texts(docs).select("doc_id", "text", base_spans(F.col("text")).alias("base"))
-    ctx = F.when(F.size("base") > 0, _contexts(F.col("text"), F.col("base"))).otherwise(F.array().cast("array<struct<v:string,t:string,s:int,e:int>>"))
-    return cut(base.select("doc_id", *keep, "base", ctx.alias("ctx")).withColumn("uid", F.monotonically_increasing_id()))
+    return cut(base.select("doc_id", *keep, "base", F.when(F.size("base") > 0, F.col("text")).alias("text")).withColumn("uid", F.monotonically_increasing_id()))
 
 
-def _added(found: DataFrame, docs: DataFrame, key: list[str], **options) -> DataFrame:
-    """key, terms: spans (s, k, e) of disclosing terms next to their entities."""
-    rows = found.filter(F.size("ctx") > 0).select(*key, F.explode("ctx").alias("c")).select(*key, "c.*")
-    hit = rows.join(disclosing(found, docs, **options), ["v", "t"])
-    return hit.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("s", F.lit(4).alias("k"), "e"))).alias("terms"))
+def _term_spans(text: Column, base: Column, terms: Column) -> Column:
+    """Every occurrence of terms that overlaps no base span, as (s, k, e)."""
+    every = located(text, TERM, lambda w: F.array_contains(terms, F.lower(w)))
+    clear = F.filter(every, lambda c: ~F.exists(base, lambda b: (c["s"] < b["e"]) & (b["s"] < c["e"])))
+    return F.transform(clear, lambda c: F.struct(c["s"].alias("s"), F.lit(4).alias("k"), c["e"].alias("e")))
 
 
 def _spelled(spans: Column) -> Column:
@@ -148,19 +155,20 @@ def pii_spans(docs: DataFrame, **options) -> DataFrame:
     """Per row doc_id, counts of base kinds, base_sha256, spans and n_term.
 
     Base kinds are fixed patterns, leftmost and non-overlapping per kind, with matches that fail their check dropped. To
-    these the method adds terms within REACH terms of an entity that disclose it (see `disclosing`). Spans read
-    kind:start:end in code points, ordered by start and kind.
+    these the method adds every occurrence, outside base spans, of a term that discloses an entity of the text (see
+    `disclosing`). Spans read kind:start:end in code points, ordered by start and kind.
 
     Null and empty texts: no spans, the digest of an empty string. Long texts are searched whole. Repeated rows each count
     as a document and get equal results; null ids pass through; an empty table gives an empty one. Only doc_id and text are
-    read. Time grows with the square of the entities only within a single document.
+    read. Time grows with the product of terms and disclosing terms only within a single document.
     """
     found = _found(docs)
-    terms = _added(found, docs, ["uid"], **options)
+    terms = disclosing(found, docs, **options)
     bare = F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["e"].alias("e")))
     none = F.array().cast(_BARE)
-    near = found.filter(F.size("ctx") > 0).select("doc_id", "uid", bare.alias("base")).join(terms, "uid", "left").select("doc_id", "base", F.coalesce("terms", none).alias("terms"))
-    rows = found.filter(F.size("ctx") == 0).select("doc_id", bare.alias("base"), none.alias("terms")).union(near)
+    near = found.filter(F.size("base") > 0).select("doc_id", "uid", "text", bare.alias("base")).join(terms, "uid", "left")
+    near = near.select("doc_id", "base", F.when(F.col("terms").isNull(), none).otherwise(_term_spans(F.col("text"), F.col("base"), F.col("terms"))).alias("terms"))
+    rows = found.filter(F.size("base") == 0).select("doc_id", bare.alias("base"), none.alias("terms")).union(near)
     count = lambda k: F.size(F.filter("base", lambda b: b["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     return rows.select("doc_id", *[count(k) for k in range(4)], F.sha2(_spelled(F.col("base")), 256).alias("base_sha256"), _spelled(F.array_sort(F.concat("base", "terms"))).alias("spans"), F.size("terms").cast("long").alias("n_term"))
 
@@ -168,14 +176,20 @@ def pii_spans(docs: DataFrame, **options) -> DataFrame:
 def _masked(text: Column, spans: Column) -> Column:
     """text with each span replaced by its kind in brackets; spans that overlap the one before join it."""
     name = lambda k: F.element_at(F.array(*[F.lit(f"[{x.upper()}]") for x in KINDS]), k + 1)
-    return F.aggregate(
-        spans,
-        F.struct(F.lit("").alias("t"), F.lit(0).alias("at")),
-        lambda a, x: F.when(x["s"] >= a["at"], F.struct(F.concat(a["t"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), name(x["k"])).alias("t"), x["e"].alias("at"))).otherwise(
-            F.struct(a["t"].alias("t"), F.greatest(a["at"], x["e"]).alias("at"))
-        ),
-        lambda a: F.concat(a["t"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
+    start = lambda at: F.struct(F.lit("").alias("t"), at.alias("at"))
+
+    def part(a: Column, k: Column) -> Column:
+        own = lambda s: bound(F.substring(text, a["at"] + 1, F.greatest(F.array_max(F.transform(s, lambda x: x["e"])) - a["at"], F.lit(0))), lambda cut_out: inner(s, cut_out))
+        inner = lambda s, cut_out: F.aggregate(
+            s,
+            start(a["at"]),
+            lambda b, x: F.when(x["s"] >= b["at"], F.struct(F.concat(b["t"], F.substring(cut_out, b["at"] - a["at"] + 1, x["s"] - b["at"]), name(x["k"])).alias("t"), x["e"].alias("at"))).otherwise(
+                F.struct(b["t"].alias("t"), F.greatest(b["at"], x["e"]).alias("at"))
+            ),
+        )
+        return bound(bound(F.slice(spans, k * BLOCK + 1, F.lit(BLOCK)), own), lambda r: F.struct(F.concat(a["t"], r["t"]).alias("t"), r["at"].alias("at")))
+
+    return F.aggregate(_blocks(F.size(spans)), start(F.lit(0)), part, lambda a: F.concat(a["t"], F.substring(text, a["at"] + 1, F.length(text))))
 
 
 def sanitised(docs: DataFrame, **options) -> DataFrame:
@@ -185,14 +199,16 @@ def sanitised(docs: DataFrame, **options) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = _found(docs, F.xxhash64("text").alias("h"))
-    terms = _added(found, docs, ["doc_id", "h"], **options).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "terms")
+    terms = found.select("uid", "doc_id", "h").join(disclosing(found, docs, **options), "uid")
+    terms = terms.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.first("terms").alias("terms"))
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col("doc_id").cast("long").alias("__doc"), text.alias("__text"))
     # only texts in which some base pattern occurs can have spans; the others pass by without a shuffle
     some = F.col("__text").contains("@") | F.col("__text").rlike(IP) | F.col("__text").rlike(CARD) | F.col("__text").rlike(PHONE)
     rest = named.filter(some).withColumn("__hash", F.xxhash64("__text"))
     rest = rest.join(terms.withColumnRenamed("terms", "__terms").hint("merge"), F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left")
     bare = F.transform(base_spans(F.col("__text")), lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["e"].alias("e")))
-    spans = F.array_sort(F.concat(bare, F.coalesce("__terms", F.array().cast(_BARE))))
+    added = lambda x: F.when(F.col("__terms").isNull(), F.array().cast(_BARE)).otherwise(_term_spans(F.col("__text"), x, F.col("__terms")))
+    spans = bound(bare, lambda x: F.array_sort(F.concat(x, added(x))))
     new = F.when(F.col("d.text").isNull(), F.lit(None)).otherwise(bound(spans, lambda s: F.when(F.size(s) == 0, F.col("__text")).otherwise(_masked(F.col("__text"), s))))
     same = F.when(F.col("d.text").isNotNull(), F.col("__text"))
     named = rest.select("d", new.cast("string").alias("__new")).union(named.filter(~some).select("d", same.alias("__new")))

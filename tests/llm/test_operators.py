@@ -174,6 +174,45 @@ def test_pii_method_adds_disclosing_terms(spark):
     assert pii.sanitised(frame).columns == frame.columns
 
 
+def test_pii_terms_of_whole_document(spark):
+    """An entity of one document, a name far from it and again at the end; a rare word of a document without entities stays."""
+    data = [(0, "ask for Zoltanix when you write to the team about it at noon please or mail zz@corp.example.com today as zoltanix said")]
+    data += [(i, "ask for the team when you write to the team about it at noon please or mail them today as they said") for i in range(1, 300)]
+    data += [(300, "ask for Qwertz when you write to the team"), (None, None)]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    text = data[0][1]
+    at = [m.span() for m in re.finditer("zoltanix", text.lower())]
+    got = {r.doc_id: r for r in pii.pii_spans(frame).collect()}
+    assert {x for x in got[0].spans.split(",") if x.startswith("term")} == {f"term:{a}:{b}" for a, b in at} and got[0].n_term == 2
+    assert not got[300].spans and not got[7].spans
+    clean = {r.doc_id: r.text for r in pii.sanitised(frame).collect()}
+    assert clean[0] == re.sub("(?i)zoltanix", "[TERM]", text).replace("zz@corp.example.com", "[EMAIL]") and clean[300] == data[300][1]
+
+
+def brute_terms(data, disclose=0.8, support=2):
+    docs = []
+    for i, t in data:
+        found = brute.spans(t, brute.PII)
+        form = {f"{n}:{(brute.digits(t[a:b]) if n in ('card', 'phone') else t[a:b].lower() if n == 'email' else t[a:b])}" for a, _, b, n in found}
+        runs = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", t or "")]
+        docs.append((i, found, form, runs))
+    n = len(docs)
+    n_v = Counter(v for d in docs for v in d[2])
+    n_t = Counter(t for d in docs for t in {r[2] for r in d[3]})
+    both = Counter((v, t) for d in docs for v in d[2] for t in {r[2] for r in d[3]})
+
+    def hit(v, t):
+        need = math.log2(n / n_v[v]) if both[v, t] >= support else math.log2(n / both[v, t])
+        return n_v[v] < n and math.log2(n * both[v, t] / (n_v[v] * n_t[t])) >= disclose * need
+
+    return Counter((i, frozenset(f"term:{a}:{b}" for a, b, t in runs if any(hit(v, t) for v in form) and not any(a < y and x < b for x, _, y, _ in found))) for i, found, form, runs in docs)
+
+
+def test_pii_terms_brute(docs, rows):
+    got = Counter((r.doc_id, frozenset(x for x in r.spans.split(",") if x.startswith("term"))) for r in pii.pii_spans(docs).collect())
+    assert got == brute_terms(rows) and any(s for _, s in got)
+
+
 def test_sanitised_keeps_rows(odd, empty):
     out = pii.sanitised(odd)
     assert out.columns == odd.columns and out.count() == odd.count() and pii.sanitised(empty).count() == 0
