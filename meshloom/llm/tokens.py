@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 MEMO = 400_000
 #: Beyond these characters libraries may differ in normalisation or in what counts as a letter or space.
 _ODD = re.compile("[^\t\n\r -~\xa1-ɏ]")
+#: Letters of scripts that are written without spaces.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _workers: dict = {}
 
 
@@ -45,6 +48,9 @@ class PrefixCounter:
 
     prefix(text) holds (ends, counts): counts[i] tokens in text[:ends[i]], for every end of a white-space separated chunk;
     at(text, table, p) is the count of text[:p] for any p, re-encoding at most the one chunk that p cuts.
+
+    Texts that aren't plain are encoded whole once, and the token offsets give their table. There a chunk in a script written
+    without spaces is divided further, wherever the pre-tokenizer divides it.
     """
 
     def __init__(self, path: str):
@@ -63,20 +69,45 @@ class PrefixCounter:
         return not any(s in text for s in self.special) and not _ODD.search(text)
 
     def counts(self, text: str) -> np.ndarray:
-        """Running token counts after each chunk; for other texts than plain ones the total alone."""
-        if not text:
-            return np.zeros(0, np.int64)
-        if not self.plain(text):
-            return np.array([self.encode_count(text)], np.int64)
+        """Running token counts after each chunk of a plain text."""
         words = text.split()
         return np.cumsum(np.fromiter(map(self.chunk.__getitem__, words), np.int64, len(words)))
 
+    def total(self, text: str) -> int:
+        """The last entry of the text's table."""
+        if not self.plain(text):
+            return self.encode_count(text)
+        counts = self.counts(text)
+        return int(counts[-1]) if len(counts) else 0
+
     def prefix(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         text = text or ""
-        counts = self.counts(text)
         if not self.plain(text):
-            return np.full(len(counts), len(text), np.int64), counts
-        return np.array([m.end() for m in re.finditer(r"\S+", text)], np.int64), counts
+            return self._whole(text)
+        return np.array([m.end() for m in re.finditer(r"\S+", text)], np.int64), self.counts(text)
+
+    def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The table from one encoding: chunk ends between two pre-tokens that share no character."""
+        got = self.lib.encode(text, add_special_tokens=False)
+        n = len(got.ids)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        start, stop = np.array(got.offsets, np.int64).reshape(n, 2).T
+        stop = np.maximum.accumulate(stop)
+        after = np.append(np.minimum.accumulate(start[::-1])[::-1][1:], len(text))
+        word = np.array([-1 if w is None else w for w in got.word_ids], np.int64)
+        free = np.append(word[1:] != word[:-1], True) & (after >= stop)
+        unspaced = np.zeros(len(text) + 1, bool)
+        for m in re.finditer(r"\S+", text):
+            unspaced[m.start() : m.end()] = bool(_UNSPACED.search(m[0]))
+        at = [i for i in np.flatnonzero(free) if i == n - 1 or self._ends(text, int(stop[i]), unspaced)]
+        return stop[at], np.array(at, np.int64) + 1
+
+    def _ends(self, text: str, e: int, unspaced: np.ndarray) -> bool:
+        # a mark could join what stands before it, and the start of a special string is plain text once p cuts that string
+        if text[e : e + 1].isspace() or e == len(text):
+            return True
+        return bool(unspaced[e]) and not unicodedata.category(text[e]).startswith("M") and not any(text.startswith(x, e) for x in self.special)
 
     def at(self, text: str, table: tuple[np.ndarray, np.ndarray], p: int) -> int:
         """Tokens of text[:p]."""
@@ -84,7 +115,7 @@ class PrefixCounter:
         i = int(np.searchsorted(ends, p, "right"))
         done, begin = (int(counts[i - 1]), int(ends[i - 1])) if i else (0, 0)
         rest = text[begin:p]
-        return done + (self.encode_count(rest) if rest.strip() else 0)
+        return done + (self.encode_count(rest) if rest else 0)
 
     def truncate(self, text: str, table: tuple[np.ndarray, np.ndarray], budget: int) -> int:
         """The longest prefix made of whole chunks that has at most budget tokens, as its length."""
@@ -103,8 +134,7 @@ def _counts(path: str, limit: int):
             n, size = [], []
             for text in rb.column(1):
                 t = text.as_py() or ""
-                got = c.counts(t)
-                n.append(int(got[-1]) if len(got) else 0)
+                n.append(c.total(t))
                 size.append(len(t.encode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
@@ -115,7 +145,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """Per row doc_id, n_bytes, n_tokens, over_limit, from the last entry of the text's prefix table.
 
     The vocabulary at path is a tokenizers file whose pre-tokenizer drops white space. Null and empty texts: 0 and false.
-    Long texts are encoded whole, chunk by chunk. Rows are independent: repeated rows and null ids pass through, an empty
+    Long texts are encoded whole, chunk by chunk where they are plain. Rows are independent: repeated rows and null ids pass through, an empty
     table gives an empty one. Only doc_id and text are read.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_counts(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -248,6 +248,23 @@ def test_prefix_tables(docs, rows):
         assert (row.cut_at, row.tokens) == (c.truncate(t, c.prefix(t), 50), c.encode_count(t[: row.cut_at]))
 
 
+def test_prefix_tables_of_other_scripts(spark):
+    """Curly quotes, Cyrillic, CJK, emoji, special strings, odd white space and marks: exact at every prefix, and budgets are used."""
+    c = tokens.PrefixCounter(queries.tokenizer_path("word_bpe_49k.json"))
+    texts = ["“Don’t go,” said the old man — and it’s 5 € more. " * 3, "Съешь же ещё этих мягких французских булок, да выпей чаю. " * 3, "日本語の文章、二つ目の句。三つ目は「引用」です！ " * 3, "吾輩は猫である。名前はまだ無い。どこで生れたか、とんと見当がつかぬ。" * 3]
+    odd = ["one!<|endoftext|>two <|startoftext|> three’s <|endof", "日本<|endoftext|>語。<|endoftext|>", "a\x1cb \x1c c\x85d\u2003e 😀😀 👍🏽 ok", "e\u0301 q\u0323\u0301 a\u0327\u0301 か\u3099き\u3099。は\u309a、\u0301", "\u2003 \u3000", "ſt ﬁ İstanbul ΣΑΣ Ünï"]
+    for t in texts + odd:
+        table = c.prefix(t)
+        assert all(c.encode_count(t[:e]) == n for e, n in zip(*table))
+        assert (int(table[1][-1]) if len(table[1]) else 0) == c.total(t) == c.encode_count(t)
+        for p in range(len(t) + 1):
+            assert c.at(t, table, p) == c.encode_count(t[:p]), (t, p)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in tokens.budget_prefix(tokens.prefix_tables(frame, queries.tokenizer_path("word_bpe_49k.json")), 40).collect():
+        t = texts[row.doc_id]
+        assert 15 <= row.tokens <= 40 and row.tokens == c.encode_count(t[: row.cut_at]) and row.cut_at == c.truncate(t, c.prefix(t), 40)
+
+
 def test_quality_rules(docs, rows, odd, empty):
     for frame, data in ((docs, rows), (odd, texts_of(odd))):
         want = Counter((i, *brute.quality(t)) for i, t in data)
