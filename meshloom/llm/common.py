@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Java regex for one word: a run of anything but space and \x09-\x0D.
@@ -17,10 +17,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master (tests) gets a
+    temporary folder, and a cluster an error, since its executors would write elsewhere."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meshloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="meshloom-"))
     return sc.getCheckpointDir()
 
 
@@ -37,11 +41,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def marked(*cols) -> tuple[Column, Column]:
+    """Two 64-bit digests of a row's columns, __m1 and __m2: rows with equal columns share them, others don't."""
+    return F.xxhash64(*cols).alias("__m1"), F.xxhash64(F.lit("again"), *cols[::-1]).alias("__m2")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges(a, b): rows (id, root), root the smallest id reachable.
 
     Alternates large-star and small-star steps; each vertex' minimum comes from a partially aggregated group-by and
-    is joined back, so a hub's neighbours are never gathered. Ids without an edge do not appear. Empty in, empty out.
+    is joined back, so a hub's neighbours are never gathered. Ids without an edge do not appear. Empty in, empty out. Rounds
+    grow with the logarithm of the longest chain; an error is raised should max_rounds not suffice.
     """
 
     def stars(e: DataFrame, large: bool) -> DataFrame:
@@ -61,4 +71,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return cur.select(F.col("a").alias("id"), F.col("b").alias("root")).union(cur.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

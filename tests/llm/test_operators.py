@@ -482,13 +482,25 @@ def test_top_k(spark, sf):
     frame = spark.read.parquet(f"{sf}/embeddings.parquet")
     want = brute_top([(r.vec_id, r.embedding) for r in frame.collect()])
     assert Counter(map(tuple, queries.op10_top_k(spark, sf).collect())) == want
-    assert Counter(map(tuple, topk.exact_top_k(frame.repartition(7), block=5).collect())) == want
+    assert Counter(map(tuple, topk.exact_top_k(frame.repartition(7), block=5, span=37).collect())) == want
     odd = [(0, [1.0, 0.5]), (0, [1.0, 0.5]), (20, None), (40, [None, 1.0]), (60, [float("nan"), 1.0]), (80, [float("inf")]), (100, []), (None, [1.0, 2.0]), (120, [0.0, 0.0, 2.0]), *[(i, [float(i % 3), 1.0, -1.0]) for i in range(1, 19)]]
     small = spark.createDataFrame(odd, "vec_id long, embedding array<float>").withColumn("uid", F.lit(1)).withColumn("v", F.lit(2))
     assert Counter(map(tuple, topk.exact_top_k(small, k=5).collect())) == brute_top(odd, k=5)
+    assert Counter(map(tuple, topk.exact_top_k(small, k=5, block=2, span=4).collect())) == brute_top(odd, k=5)
     assert topk.exact_top_k(small.filter("vec_id < 0")).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Components far beyond 2**21: exact ranks, also where sums exceed 64 bits (those scores are the nearest long)."""
+    for s in (1e5, 1e9, 1e30):
+        rows = [(20, [s * 0.4, 1.0]), (1, [0.5 * s, 0.0]), (2, [0.6 * s, 0.0]), (3, [0.6 * s, 0.0]), (4, [0.6 * s, 0.0625]), (40, [-s, 3.0])]
+        got = Counter(map(tuple, topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3, span=2).collect()))
+        assert got == Counter((a, b, c, max(min(d, 2**63 - 1), -(2**63))) for a, b, c, d in brute_top(rows, k=3))
+    rows = [(40000 * 20, [40000.0, 1.0]), (1, [50000.0, 0.0]), (2, [60000.0, 0.0])]
+    got = topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20).filter("query_id = 800000").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(2, 9830400000000), (1, 8192000000000)]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as cp
 
