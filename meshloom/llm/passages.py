@@ -10,14 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: A unit: a stretch of one line up to and with its full stop.
 UNIT = re.compile(r"[^.!?\n]+[.!?]*")
 _WORD = re.compile(r"[^\W_]+")
 #: Units of fewer words are passed over: they recur by chance.
 UNIT_WORDS = 3
-#: A run of repeated units goes if it has RUN_WORDS words, or LINE_WORDS and fills whole lines.
-RUN_WORDS, LINE_WORDS = 20, 5
-SCHEMA = "doc_id long, pos int, start int, end int, words int, opens boolean, closes boolean, d1 long, d2 long"
+#: A run of repeated units goes if it has RUN_WORDS words, or LINE_WORDS and fills whole lines. Both stand well above the
+#: length of licence notices and other lines that texts rightly share; a passage of 50 words keeps RUN_WORDS of them in
+#: whole sentences.
+RUN_WORDS, LINE_WORDS = 30, 30
+SCHEMA = "doc_id long, m1 long, pos int, start int, end int, words int, opens boolean, closes boolean, d1 long, d2 long"
 
 
 def units(text: str) -> list[tuple[int, int, int, bool, bool, bytes]]:
@@ -48,14 +52,12 @@ def units(text: str) -> list[tuple[int, int, int, bool, bool, bytes]]:
 
 def _units(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    kinds = [pa.int64(), *[pa.int32()] * 4, pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
     for rb in it:
         cols: list[list] = [[] for _ in names]
-        for i, text in zip(rb.column(0).to_pylist(), rb.column(1)):
-            if i is None:
-                continue
+        for i, m1, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), rb.column(2)):
             for pos, (a, b, w, opens, closes, d) in enumerate(units(text.as_py() or "")):
-                for c, v in zip(cols, (i, pos, a, b, w, opens, closes, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True))):
+                for c, v in zip(cols, (i, m1, pos, a, b, w, opens, closes, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True))):
                     c.append(v)
             if len(cols[0]) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
@@ -63,25 +65,22 @@ def _units(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
 
-def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
-    """Passages to remove: doc_id, start, end (code points, end exclusive), n_words, first_doc_id, first_start.
+def _three(docs: DataFrame) -> list:
+    """doc_id, m1 and text of a row; (doc_id, m1) names a document: rows of one id with other texts are others."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return [doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("m1"), text.alias("text")]
 
-    Texts are cut into sentences within lines, each normalised to its lower-cased words and hashed (128 bits). For every
-    digest the occurrence of smallest (doc_id, start) stays. Later ones form runs within their document; a run of run_words
-    words goes, and one of line_words words that fills whole lines. first_* is where the run's first unit occurred first.
 
-    The earliest occurrence is a partially aggregated minimum, and only repeated units are joined and brought together by
-    document, so a line that a third of all documents hold costs a row per task before the join, which AQE may split.
-    Null and empty texts and texts of short units: no rows. Long texts: whole. Rows that share a doc_id and a text count as
-    one document; null doc_id: not compared. Empty table: empty. Only doc_id and text are read.
-    """
-    two = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    each = two.mapInArrow(_units, SCHEMA)
-    first = each.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("d1", "d2", "first")
-    later = each.join(first, ["d1", "d2"]).filter((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.start") != F.col("start"))).drop("d1", "d2")
-    later = later.dropDuplicates(["doc_id", "start", "end"])
-    run = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "start"))
-    runs = later.withColumn("run", run).groupBy("doc_id", "run").agg(
+def _runs(docs: DataFrame, run_words: int, line_words: int) -> DataFrame:
+    each = cut(docs.select(*_three(docs)).mapInArrow(_units, SCHEMA))
+    # documents without an id come last, so that what they share with others goes from them
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "m1", "start")
+    first = each.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("d1", "d2", "first")
+    # written, so its size is known: a small table is broadcast, and a large one joined by a merge whose hot digests AQE splits
+    later = each.join(cut(first), ["d1", "d2"]).filter(~place.eqNullSafe(F.col("first"))).drop("d1", "d2")
+    later = later.dropDuplicates(["doc_id", "m1", "start", "end"])
+    run = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "m1").orderBy("pos", "start"))
+    runs = later.withColumn("run", run).groupBy("doc_id", "m1", "run").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.sum("words").cast("long").alias("n_words"),
@@ -89,18 +88,43 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS, line_words: i
         F.max_by("closes", "start").alias("closes"),
         F.min_by("first", "start").alias("first"),
     )
-    runs = runs.filter((F.col("n_words") >= run_words) | ((F.col("n_words") >= line_words) & F.col("opens") & F.col("closes")))
+    return runs.filter((F.col("n_words") >= run_words) | ((F.col("n_words") >= line_words) & F.col("opens") & F.col("closes")))
+
+
+def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
+    """Passages to remove: doc_id, start, end (code points, end exclusive), n_words, first_doc_id, first_start.
+
+    Texts are cut into sentences within lines, each normalised to its lower-cased words and hashed (128 bits). For every
+    digest the occurrence that comes first by (doc_id, a digest of the text, start) stays. Later ones form runs within their
+    document; a run of run_words words goes, and one of line_words words that fills whole lines. first_* is where the run's
+    first unit occurred first. A run of fewer words stays, and so does a passage without a whole sentence or line in common.
+
+    The earliest occurrence is a partially aggregated minimum, and only repeated units are joined and brought together by
+    document, so a line that a third of all documents hold costs a row per task before the join, which AQE may split.
+    Null and empty texts and texts of short units: no rows. Long texts: whole. Rows that share a doc_id and a text count as
+    one document, rows of one doc_id with other texts as others. Documents with a null doc_id come after all others. Empty
+    table: empty. Only doc_id and text are read.
+    """
+    runs = _runs(docs, run_words, line_words)
     return runs.select("doc_id", "start", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
 
 
-def without_passages(docs: DataFrame, **options) -> DataFrame:
-    """docs with text less its repeated passages, and removed: the array of (start, end) in the original text."""
-    gone = repeated_passages(docs, **options).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed")).withColumnRenamed("doc_id", "__id")
-    out = docs.join(gone, F.col("doc_id") == F.col("__id"), "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>")))
+def without_passages(docs: DataFrame, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
+    """docs with text less its repeated passages, and removed: the array of (start, end) in the original text.
+
+    A column of docs by the name removed is replaced. Rows that share an id lose what repeats in their own text only.
+    """
+    spans = F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone")
+    gone = _runs(docs, run_words, line_words).groupBy(F.col("doc_id").alias("__id"), F.col("m1").alias("__m")).agg(spans)
+    doc_id, m1, text = _three(docs)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), doc_id, m1, text)
+    out = own.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("m1") == F.col("__m")), "left")
+    out = out.withColumn("gone", F.coalesce("gone", F.array().cast("array<struct<start:int,end:int>>")))
     cutting = F.aggregate(
-        "removed",
+        "gone",
         F.struct(F.lit("").alias("t"), F.lit(0).alias("at")),
-        lambda s, x: F.struct(F.concat(s["t"], F.substring("text", s["at"] + 1, x["start"] - s["at"])).alias("t"), x["end"].alias("at")),
+        lambda s, x: F.struct(F.concat(s["t"], F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"])).alias("t"), x["end"].alias("at")),
         lambda s: F.concat(s["t"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))),
     )
-    return out.withColumn("text", F.when(F.size("removed") > 0, cutting).otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns], "removed")
+    new = F.when(F.size("gone") > 0, cutting).otherwise(F.col("text"))
+    return out.select(*[(new if c == "text" else F.col(f"d.`{c}`")).alias(c) for c in docs.columns if c != "removed"], F.col("gone").alias("removed"))

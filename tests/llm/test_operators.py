@@ -80,7 +80,7 @@ def mix_targets(size, names, cap=3.0):
     return out
 
 
-def test_mix_targets_and_sizes(docs, odd, empty):
+def test_mix_targets_and_sizes(spark, docs, odd, empty):
     for frame in (docs, odd):
         source = {}
         size = Counter()
@@ -101,6 +101,15 @@ def test_mix_targets_and_sizes(docs, odd, empty):
             assert abs(taken[n] - want[n]) <= 2 * largest[n] + 1
         assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mix_plan(frame.repartition(5)).collect()), key=str)
     assert mix_plan(empty).count() == 0
+    same = [(1, "a b c", "s"), (1, "x y z w", "s"), (1, "x y z w", "s"), (2, "p q", "t"), (None, "no id", "s"), (None, "other one", "t"), (3, None, None)]
+    frame = spark.createDataFrame(same, "doc_id long, text string, source string")
+    plan = Counter()
+    for r in mix_plan(frame).collect():
+        plan[r.doc_id, r.source, r.size] += r.copies
+    mixed = Counter((r.doc_id, r.source, len((r.text or "").split())) for r in mix_documents(frame).collect())
+    assert mixed == Counter({k: n for k, n in plan.items() if n})
+    assert {r.text for r in mix_documents(frame).collect() if r.doc_id == 1} == {"a b c", "x y z w"}
+    assert sorted(map(str, mix_documents(odd).collect())) == sorted(map(str, mix_documents(odd.repartition(4)).collect()))
     mixed = mix_documents(docs)
     assert mixed.columns == docs.columns and mixed.count() == mix_plan(docs).agg(F.sum("copies")).first()[0]
     assert mix_documents(odd).columns == odd.columns
@@ -234,35 +243,44 @@ def test_token_counts(docs, rows, odd, empty):
 
 
 def test_prefix_tables(docs, rows):
-    c = tokens.PrefixCounter(queries.tokenizer_path("word_bpe_49k.json"))
+    """Tables against the library at random prefixes; at, truncate and budgets read them without the library."""
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    c = tokens.PrefixCounter(path)
     r = np.random.Generator(np.random.PCG64(1))
     for _, t in rows[:40]:
-        table = c.prefix(t)
+        table = c.table(t)
+        assert len(table) == len(t) + 1 and table[-1] == c.encode_count(t)
         for p in r.integers(0, len(t) + 1, 12):
-            assert c.at(t, table, int(p)) == c.encode_count(t[:p])
-        cut = c.truncate(t, table, 50)
-        assert c.encode_count(t[:cut]) <= 50
-    path = queries.tokenizer_path("word_bpe_49k.json")
+            assert c.at(table, int(p)) == c.encode_count(t[:p])
+        cut = c.truncate(table, 50)
+        assert table[cut] <= 50 and (cut == len(t) or (table[cut + 1 :] > 50).all())
+    text = dict(rows)
     for row in tokens.budget_prefix(tokens.prefix_tables(docs, path), 50).limit(20).collect():
-        t = dict(rows)[row.doc_id]
-        assert (row.cut_at, row.tokens) == (c.truncate(t, c.prefix(t), 50), c.encode_count(t[: row.cut_at]))
+        t = text[row.doc_id]
+        assert (row.cut_at, row.tokens) == (c.truncate(c.table(t), 50), c.encode_count(t[: row.cut_at]))
+    for row in tokens.token_counts(docs, path, 60).collect():
+        t = text[row.doc_id]
+        assert c.encode_count(t[: row.cut_at]) <= 60 and (row.cut_at == len(t)) == (not row.over_limit or c.encode_count(t) <= 60)
 
 
 def test_prefix_tables_of_other_scripts(spark):
-    """Curly quotes, Cyrillic, CJK, emoji, special strings, odd white space and marks: exact at every prefix, and budgets are used."""
+    """Curly quotes, Cyrillic, CJK, emoji, special strings, odd white space, marks and long runs: exact at every prefix, and budgets are used."""
     c = tokens.PrefixCounter(queries.tokenizer_path("word_bpe_49k.json"))
     texts = ["“Don’t go,” said the old man — and it’s 5 € more. " * 3, "Съешь же ещё этих мягких французских булок, да выпей чаю. " * 3, "日本語の文章、二つ目の句。三つ目は「引用」です！ " * 3, "吾輩は猫である。名前はまだ無い。どこで生れたか、とんと見当がつかぬ。" * 3]
     odd = ["one!<|endoftext|>two <|startoftext|> three’s <|endof", "日本<|endoftext|>語。<|endoftext|>", "a\x1cb \x1c c\x85d\u2003e 😀😀 👍🏽 ok", "e\u0301 q\u0323\u0301 a\u0327\u0301 か\u3099き\u3099。は\u309a、\u0301", "\u2003 \u3000", "ſt ﬁ İstanbul ΣΑΣ Ünï"]
+    odd += ["x" * 300, "é" * 200 + "don't" * 60, "=-" * 100 + "abc!!'s'll're" * 10, "supercalifragilistic" * 8 + "<|endoftext|>" + "antidisestablishment" * 7, "日本語" * 60, "İ" * 70, "a\u0301" * 60, "", " ", "\n\n a"]
+    rng = random.Random(4)
+    odd += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz"[: rng.choice((2, 5, 26))]) for _ in range(rng.randint(33, 150))) for _ in range(30)]
+    some = "the of and interesting 12345 don't running 日本 naïve é ’ — <|endoftext|> <| endo ß İ ΣΑΣ!! ... 's 'll \x1c \x85".split(" ")
+    odd += ["".join(rng.choice(some) + rng.choice(["", " ", "  ", "\n", "\t"]) for _ in range(rng.randint(1, 30))) for _ in range(80)]
     for t in texts + odd:
-        table = c.prefix(t)
-        assert all(c.encode_count(t[:e]) == n for e, n in zip(*table))
-        assert (int(table[1][-1]) if len(table[1]) else 0) == c.total(t) == c.encode_count(t)
+        table = c.table(t)
         for p in range(len(t) + 1):
-            assert c.at(t, table, p) == c.encode_count(t[:p]), (t, p)
+            assert table[p] == c.encode_count(t[:p]), (t, p)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for row in tokens.budget_prefix(tokens.prefix_tables(frame, queries.tokenizer_path("word_bpe_49k.json")), 40).collect():
         t = texts[row.doc_id]
-        assert 15 <= row.tokens <= 40 and row.tokens == c.encode_count(t[: row.cut_at]) and row.cut_at == c.truncate(t, c.prefix(t), 40)
+        assert 35 <= row.tokens <= 40 and row.tokens == c.encode_count(t[: row.cut_at])
 
 
 def test_quality_rules(docs, rows, odd, empty):
@@ -316,33 +334,19 @@ def test_differencing():
 
 
 def test_passages(spark, docs, rows, odd, empty):
-    """Every unit that occurs earlier lies in a reported run or in one too short; nothing else is reported."""
-    first, every = {}, []
-    for i, t in sorted(rows):
-        for pos, (a, b, w, opens, closes, d) in enumerate(passages.units(t)):
-            if d in first:
-                every.append((i, pos, a, b, w, opens, closes))
-            else:
-                first[d] = (i, a)
-    runs = []
-    for u in every:
-        if runs and runs[-1][-1][0] == u[0] and runs[-1][-1][1] == u[1] - 1:
-            runs[-1].append(u)
-        else:
-            runs.append([u])
-    want = set()
-    for run in runs:
-        n = sum(u[4] for u in run)
-        if n >= 20 or n >= 5 and run[0][5] and run[-1][6]:
-            want.add((run[0][0], run[0][2], run[-1][3], n))
-    got = passages.repeated_passages(docs).collect()
-    assert {(r.doc_id, r.start, r.end, r.n_words) for r in got} == want
+    """Against plain Python: every sentence that occurs earlier lies in a reported run or in one too short; nothing else is reported."""
+    for run_words, line_words in ((passages.RUN_WORDS, passages.LINE_WORDS), (20, 5)):
+        got = passages.repeated_passages(docs, run_words, line_words).collect()
+        assert {(r.doc_id, r.start, r.end, r.n_words) for r in got} == brute.passages(rows, run_words, line_words) and got
     assert passages.repeated_passages(empty).count() == 0
-    assert {r.doc_id for r in passages.repeated_passages(odd).collect()} <= {13, 15, 16}
-    out = passages.without_passages(docs)
-    assert out.columns == docs.columns + ["removed"]
+    known = [(i, t) for i, t in texts_of(odd) if i is not None]
+    got = {(r.doc_id, r.start, r.end, r.n_words) for r in passages.repeated_passages(odd).collect()}
+    assert got == brute.passages(known, passages.RUN_WORDS, passages.LINE_WORDS) and {g[0] for g in got} <= {13, 15, 16}
     text = dict(rows)
-    for r in out.collect():
+    for frame in (docs, odd.withColumn("removed", F.lit("mine"))):
+        out = passages.without_passages(frame)
+        assert out.columns == [c for c in frame.columns if c != "removed"] + ["removed"] and out.count() == frame.count()
+    for r in passages.without_passages(docs).collect():
         t, at, kept = text[r.doc_id], 0, []
         for s in r.removed:
             kept.append(t[at : s.start])
@@ -350,6 +354,16 @@ def test_passages(spark, docs, rows, odd, empty):
         assert r.text == "".join(kept) + t[at:]
 
 
+def test_passages_of_shared_ids(spark):
+    """Two texts of one id: what repeats goes from the text that holds it, the other one stays whole; null ids come last."""
+    own = "The council met on Tuesday to weigh the plan for the old harbour. Nobody spoke against it during the first hour of talk. A second vote was set for the week after the long holiday."
+    other = "Quite another text stands here. It says nothing that was said before, and nothing that is said again in all these words of mine."
+    data = [(1, own), (5, "Begin. " + own + " End."), (5, other), (5, other), (None, own), (None, other), (7, None)]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    out = Counter((r.doc_id, r.text) for r in passages.without_passages(frame, 20, 20).collect())
+    assert out == Counter([(1, own), (5, "Begin.  End."), (5, other), (5, other), (None, ""), (None, ""), (7, None)])
+
+
 def test_passage_inside_a_line(spark):
     own = "The council met on Tuesday to weigh the plan for the old harbour. Nobody spoke against it during the first hour of talk. A second vote was set for the week after the long holiday. Members of the public asked for more light on costs. "
     data = [(1, "First words go here " + own + "and an end"), (2, "Quite another opening then " + own + "with other words to close. Fine words that stand alone here."), (3, "Nothing to see in this text at all. It stands by itself.")]
