@@ -3,21 +3,29 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Memoised pieces a worker keeps before it starts anew; bounds its memory.
-MEMO = 400_000
+#: Memoised chunks a worker keeps, and characters of their tables, before it starts anew; bounds its memory.
+MEMO, POOL = 300_000, 4_000_000
+#: Prefixes up to so long are memoised, and chunks of unusual characters up to so long encoded at every prefix.
+SHORT = 32
+_NEVER = 1 << 60
 #: Beyond these characters libraries may differ in normalisation or in what counts as a letter or space.
 _ODD = re.compile("[^\t\n\r -~\xa1-ɏ]")
-#: Letters of scripts that are written without spaces.
-_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: The printable character that stands for each byte in byte-level vocabularies: itself, or the next free one from U+0100.
+_BYTE = [chr(x) for x in range(256)]
+_hidden = [x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or 174 <= x <= 255)]
+for _i, _x in enumerate(_hidden):
+    _BYTE[_x] = chr(256 + _i)
 _workers: dict = {}
 
 
@@ -44,13 +52,11 @@ class _Dict(dict):
 
 
 class PrefixCounter:
-    """Prefix sums of token counts for a vocabulary whose tokens never span white space.
+    """Exact token counts at every prefix of a text, for a BPE vocabulary whose tokens never span ASCII white space.
 
-    prefix(text) holds (ends, counts): counts[i] tokens in text[:ends[i]], for every end of a white-space separated chunk;
-    at(text, table, p) is the count of text[:p] for any p, re-encoding at most the one chunk that p cuts.
-
-    Texts that aren't plain are encoded whole once, and the token offsets give their table. There a chunk in a script written
-    without spaces is divided further, wherever the pre-tokenizer divides it.
+    table(text)[p] is the number of tokens of text[:p] for every p from 0 to len(text), as the library counts text[:p] on
+    its own. Texts are divided at ASCII white space; the counts at a chunk's prefixes are found once and reused, and the
+    text's table is the running sum of its chunks' tables, so that counting, truncating and budgets need no further encoding.
     """
 
     def __init__(self, path: str):
@@ -58,116 +64,237 @@ class PrefixCounter:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation(), self.lib.no_padding()
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.chunk = _Dict(self.encode_count)
+        special = sorted((t.content for t in self.lib.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model = spec["model"]
+        self.cut = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+        self.vocab, self.end = model["vocab"], model.get("end_of_word_suffix") or ""
+        merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        self.rank = {tuple(m): i for i, m in enumerate(merges)}
+        self.split = {a + b: (a, b) for a, b in self.rank}
+        self.left, self.right, self.whole = _Dict(lambda t: self._edge(t, 0)), _Dict(lambda t: self._edge(t, 1)), _Dict(self._whole)
+        self.longest = max(map(len, self.vocab))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.id: dict[str, int] = {}
+        self.states: dict[str, tuple] = {}
+        self.pieces: dict[str, list[int]] = {}
+        self.pool, self.used = np.zeros(1 << 20, np.int32), 0
+        self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def encode_count(self, text: str) -> int:
         return len(self.lib.encode(text, add_special_tokens=False).ids)
 
-    def plain(self, text: str) -> bool:
-        """True if chunks can be counted on their own: no special string, no character on which libraries may differ."""
-        return not any(s in text for s in self.special) and not _ODD.search(text)
-
-    def counts(self, text: str) -> np.ndarray:
-        """Running token counts after each chunk of a plain text."""
-        words = text.split()
-        return np.cumsum(np.fromiter(map(self.chunk.__getitem__, words), np.int64, len(words)))
-
-    def total(self, text: str) -> int:
-        """The last entry of the text's table."""
-        if not self.plain(text):
-            return self.encode_count(text)
-        counts = self.counts(text)
-        return int(counts[-1]) if len(counts) else 0
-
-    def prefix(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        text = text or ""
-        if not self.plain(text):
-            return self._whole(text)
-        return np.array([m.end() for m in re.finditer(r"\S+", text)], np.int64), self.counts(text)
-
-    def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The table from one encoding: chunk ends between two pre-tokens that share no character."""
-        got = self.lib.encode(text, add_special_tokens=False)
-        n = len(got.ids)
-        if not n:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        start, stop = np.array(got.offsets, np.int64).reshape(n, 2).T
-        stop = np.maximum.accumulate(stop)
-        after = np.append(np.minimum.accumulate(start[::-1])[::-1][1:], len(text))
-        word = np.array([-1 if w is None else w for w in got.word_ids], np.int64)
-        free = np.append(word[1:] != word[:-1], True) & (after >= stop)
-        unspaced = np.zeros(len(text) + 1, bool)
-        for m in re.finditer(r"\S+", text):
-            unspaced[m.start() : m.end()] = bool(_UNSPACED.search(m[0]))
-        at = [i for i in np.flatnonzero(free) if i == n - 1 or self._ends(text, int(stop[i]), unspaced)]
-        return stop[at], np.array(at, np.int64) + 1
-
-    def _ends(self, text: str, e: int, unspaced: np.ndarray) -> bool:
-        # a mark could join what stands before it, and the start of a special string is plain text once p cuts that string
-        if text[e : e + 1].isspace() or e == len(text):
+    def _prefixes(self, s: str) -> np.ndarray:
+        """Counts of s[:1], s[:2], ... by encoding each: for short strings."""
+        return np.fromiter((self.encode_count(s[:i]) for i in range(1, len(s) + 1)), np.int32, len(s))
+
+    def _plain(self, s: str) -> np.ndarray:
+        """Counts at the prefixes of a chunk without special strings.
+
+        It is divided where the pre-tokenizer divides it: what stands before a piece does not depend on how much of the piece
+        follows. That needs a normaliser that maps it character by character. A short chunk of unusual characters is encoded
+        by the library at every prefix instead, and so is a long one that normalisation would compose or lengthen.
+        """
+        if not _ODD.search(s):
+            form = s.lower()
+            if len(form) == len(s):
+                out, done = [], 0
+                for piece in self.cut.findall(form):
+                    n = self.pieces.get(piece)
+                    if n is None:
+                        n = self._piece(piece)
+                        if len(piece) <= SHORT:
+                            self.pieces[piece] = n
+                    out += [done + x for x in n] if done else n
+                    done += n[-1]
+                return np.array(out, np.int32)
+        if len(s) <= SHORT:
+            return self._prefixes(s)
+        form = self.lib.normalizer.normalize_str(s) if self.lib.normalizer else s
+        if len(form) != len(s) or any(map(unicodedata.combining, s)) or any("\u1100" <= c <= "\u11ff" for c in s):
+            return self._prefixes(s)
+        out, done = [], 0
+        pieces = self.lib.pre_tokenizer.pre_tokenize_str(form)
+        at = [a for _, (a, _) in pieces]
+        for (_, (a, b)), before in zip(pieces, [0, *[b for _, (_, b) in pieces]]):
+            out.append(np.full(a - before, done, np.int32))  # white space that only the normaliser knows
+            n = np.array(self._piece(form[a:b]), np.int32)
+            out.append(done + n)
+            done += int(n[-1])
+        out.append(np.full(len(s) - (pieces[-1][1][1] if at else 0), done, np.int32))
+        return np.concatenate(out)
+
+    def _edge(self, t: str, side: int) -> list[tuple[str, int]]:
+        """The symbols that stand at one end (0 left, 1 right) of a token while merges build it, with the rank that consumes each."""
+        out = [(t, _NEVER)]
+        while t in self.split:
+            pair = self.split[t]
+            t = pair[side]
+            out.append((t, self.rank[pair]))
+        return out
+
+    def _crossed(self, left: str, right: str, whole: bool = False) -> bool:
+        """Whether some merge across the border of two tokens would come before the merges that build them. Merges are applied
+        by rank, the leftmost of equal rank first. whole: the merge of the two tokens themselves doesn't count."""
+        rank, ahead = self.rank.get, self.left[right]
+        for r, until_r in self.right[left]:
+            for x, until_x in ahead:
+                m = rank((r, x))
+                if m is not None and m < until_r and m <= until_x and not (whole and r == left and x == right):
+                    return True
+        return False
+
+    def _whole(self, t: str) -> bool:
+        """Whether a token's own text is encoded as that token."""
+        if t not in self.split:
             return True
-        return bool(unspaced[e]) and not unicodedata.category(text[e]).startswith("M") and not any(text.startswith(x, e) for x in self.special)
+        a, b = self.split[t]
+        return self.whole[a] and self.whole[b] and not self._crossed(a, b, True)
+
+    def _last(self, b: str, i: int, inner: list, last: list, mark: str) -> tuple[int, str]:
+        """Count and last token of the encoding of b[:i], whose shorter prefixes are known."""
+        tail = b[max(0, i - self.longest) : i] + mark
+        for j in range(max(0, i - self.longest), i):
+            if tail in self.vocab and self.whole[tail] and (not j or not self._crossed(last[j], tail)):
+                return inner[j] + 1, tail
+            tail = tail[1:]
+        raise ValueError("the vocabulary lacks a byte")
+
+    def _piece(self, piece: str) -> list[int]:
+        """Counts at the prefixes of a piece by dynamic programming over its bytes.
+
+        The encoding of a prefix is that of a shorter prefix and one more token, the one that its neighbour on the left
+        allows; so the last token at each place gives the count there. The last token of a whole word has the word-end mark.
+        Prefixes are shared by all words that begin with them.
+        """
+        ascii_only = piece.isascii()
+        raw = piece.encode("utf-8", "surrogatepass")
+        b = piece if ascii_only and piece.isprintable() else "".join([_BYTE[x] for x in raw])
+        states, inner, last, out = self.states, [0], [""], []
+        for i in range(1, len(b) + 1):
+            key = b[:i] if i <= SHORT else None
+            got = states.get(key)
+            if got is None:
+                got = (*self._last(b, i, inner, last, ""), self._last(b, i, inner, last, self.end)[0])
+                if key:
+                    states[key] = got
+            inner.append(got[0])
+            last.append(got[1])
+            out.append(got[2])
+        return out if ascii_only else [n for n, x in zip(out, [*raw[1:], 0]) if x & 0xC0 != 0x80]
+
+    def _chunk(self, chunk: str) -> np.ndarray:
+        """Counts at the prefixes of a chunk; special strings count one once whole, and are plain text until then."""
+        out, at, done = [], 0, 0
+        for m in self.special.finditer(chunk):
+            n = self._plain(chunk[at : m.end() - 1]) + done if m.end() - 1 > at else np.zeros(0, np.int32)
+            done = (int(n[m.start() - at - 1]) if m.start() > at else done) + 1
+            out += [n, np.array([done], np.int32)]
+            at = m.end()
+        if at < len(chunk):
+            out.append(self._plain(chunk[at:]) + done)
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
+
+    def _add(self, chunk: str) -> int:
+        n = self._chunk(chunk)
+        if self.used + len(n) + 1 > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(n) + 1), np.int32)])
+        self.pool[self.used : self.used + len(n)] = n
+        self.pool[self.used + len(n)] = n[-1] if len(n) else 0  # the white space after the chunk adds no token
+        i = len(self.id)
+        if i == len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.begin, self.size))
+        self.begin[i], self.size[i] = self.used, len(n) + 1
+        self.used += len(n) + 1
+        self.id[chunk] = i
+        return i
+
+    def table(self, text: str | None) -> np.ndarray:
+        """Counts at all prefixes, from the empty one to the whole text."""
+        if not text:
+            return np.zeros(1, np.int32)
+        if len(self.id) > MEMO or self.used > POOL or len(self.states) > MEMO:
+            self._clear()
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        get = self.id.get
+        ids = [get(w, -1) for w in words]
+        if -1 in ids:
+            ids = [self.id[w] if w in self.id else self._add(w) for w in words]
+        begin, size = self.begin[ids], self.size[ids]
+        upto = np.cumsum(size)
+        last = self.pool[begin + size - 1]
+        flat = np.arange(upto[-1]) + np.repeat(begin - upto + size, size)
+        out = np.zeros(len(text) + 1, np.int32)
+        out[1:] = (self.pool[flat] + np.repeat(np.cumsum(last) - last, size))[:-1]
+        return out
+
+    def total(self, text: str | None) -> int:
+        """The last entry of the text's table."""
+        return int(self.table(text)[-1])
 
-    def at(self, text: str, table: tuple[np.ndarray, np.ndarray], p: int) -> int:
+    @staticmethod
+    def at(table: np.ndarray, p: int) -> int:
         """Tokens of text[:p]."""
-        ends, counts = table
-        i = int(np.searchsorted(ends, p, "right"))
-        done, begin = (int(counts[i - 1]), int(ends[i - 1])) if i else (0, 0)
-        rest = text[begin:p]
-        return done + (self.encode_count(rest) if rest else 0)
+        return int(table[p])
 
-    def truncate(self, text: str, table: tuple[np.ndarray, np.ndarray], budget: int) -> int:
-        """The longest prefix made of whole chunks that has at most budget tokens, as its length."""
-        ends, counts = table
-        i = int(np.searchsorted(counts, budget, "right"))
-        return int(ends[i - 1]) if i else 0
+    @staticmethod
+    def truncate(table: np.ndarray, budget: int) -> int:
+        """The length of the longest prefix that has at most budget tokens."""
+        return int(np.flatnonzero(table <= budget)[-1]) if budget >= 0 else 0
 
 
 counter = _memo(PrefixCounter)
 
 
+def _two(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def _counts(path: str, limit: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for rb in it:
-            n, size = [], []
+            n, size, cut_at = [], [], []
             for text in rb.column(1):
                 t = text.as_py() or ""
-                n.append(c.total(t))
+                table = c.table(t)
+                n.append(int(table[-1]))
+                cut_at.append(len(t) if n[-1] <= limit else c.truncate(table, limit))
                 size.append(len(t.encode("utf-8", "surrogatepass")))
-            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(cut_at, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_at"])
 
     return run
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
-    """Per row doc_id, n_bytes, n_tokens, over_limit, from the last entry of the text's prefix table.
+    """Per row doc_id, n_bytes, n_tokens, over_limit and cut_at, read from the text's prefix table.
 
-    The vocabulary at path is a tokenizers file whose pre-tokenizer drops white space. Null and empty texts: 0 and false.
-    Long texts are encoded whole, chunk by chunk where they are plain. Rows are independent: repeated rows and null ids pass through, an empty
-    table gives an empty one. Only doc_id and text are read.
+    n_tokens is the table's last entry, cut_at the length of the longest prefix of at most limit tokens. The vocabulary at
+    path is a tokenizers file of word-wise BPE. Null and empty texts: 0, false and 0. Long texts are counted whole. Rows are
+    independent: repeated rows and null ids pass through, an empty table gives an empty one. Only doc_id and text are read.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_counts(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return _two(docs).mapInArrow(_counts(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_at long")
 
 
 def prefix_tables(docs: DataFrame, path: str) -> DataFrame:
-    """Per row doc_id and the prefix table itself: ends and counts as arrays of equal length (PrefixCounter.prefix)."""
+    """Per row doc_id and counts, the prefix table itself: element p (from 0) is the number of tokens of the first p characters."""
 
     def run(it):
         c = counter(path)
         for rb in it:
-            got = [c.prefix(t.as_py()) for t in rb.column(1)]
-            yield pa.RecordBatch.from_arrays([rb.column(0), *(pa.array([g[j].tolist() for g in got], pa.list_(pa.int64())) for j in (0, 1))], ["doc_id", "ends", "counts"])
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array([c.table(t.as_py()) for t in rb.column(1)], pa.list_(pa.int32()))], ["doc_id", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ends array<long>, counts array<long>")
+    return _two(docs).mapInArrow(run, "doc_id long, counts array<int>")
 
 
 def budget_prefix(tables: DataFrame, budget: int) -> DataFrame:
-    """prefix_tables -> doc_id, cut_at, tokens: the longest prefix of whole chunks within budget. No text is needed."""
-    fits = F.size(F.filter("counts", lambda c: c <= budget))
-    pick = lambda c: F.coalesce(F.try_element_at(F.col(c), fits), F.lit(0)).cast("long")
-    return tables.select("doc_id", F.when(fits > 0, pick("ends")).otherwise(F.lit(0)).cast("long").alias("cut_at"), F.when(fits > 0, pick("counts")).otherwise(F.lit(0)).cast("long").alias("tokens"))
+    """prefix_tables -> doc_id, cut_at, tokens: the longest prefix within budget (not below 0) and its tokens. No text is needed."""
+    cut_at = F.array_max(F.transform("counts", lambda c, i: F.when(c <= budget, i)))
+    return tables.select("doc_id", "counts", cut_at.cast("long").alias("cut_at")).select("doc_id", "cut_at", F.get("counts", F.col("cut_at").cast("int")).cast("long").alias("tokens"))
 
 
 #: A space at which a text can't be cut for encoding: white space (or an edge) on both sides.
