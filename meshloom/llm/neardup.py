@@ -1,7 +1,8 @@
 """MinHash near-duplicate classes by a chosen-path set similarity join.
 
 Path trees over minwise signatures gather documents that may be similar; nodes small enough are compared exhaustively on
-signatures, larger ones branch on; documents that may be linked form candidate classes, whose full shingle sets decide.
+signatures, larger ones branch on unless their members are alike anyhow; documents that may be linked form candidate classes,
+whose full shingle sets decide, block by block.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, marked
 from .textkernel import Words, batches, mix64
 
 #: Minwise tokens in a signature, 16 bits each.
@@ -21,13 +22,16 @@ TOKENS = 128
 #: Independent trees and the tokens chosen along a path before node sizes are looked at. A pair of similarity s meets in
 #: one tree with probability s**DEPTH: at 0.85 it is missed by all trees with probability 8e-6, at 0.8 with 3e-4.
 TREES, DEPTH = 16, 4
-#: A node of more members branches on, BRANCH children per member, STEP more tokens each.
-NODE, STEP, BRANCH, ROUNDS = 4096, 2, 3, 6
+#: A node of more members branches on, BRANCH children per member, STEP more tokens each, at most ROUNDS times.
+NODE, STEP, BRANCH, ROUNDS = 1024, 2, 3, 6
+#: A large node of which so many members agree with its first one is a candidate class as it stands.
+TIGHT = 0.9
 #: Signature agreement below threshold - MARGIN counts as unlike; four standard deviations of the estimate.
 MARGIN = 0.13
-#: A candidate class whose sets hold more shingles in all is compared by tree nodes, not in one task.
-CLASS_SHINGLES = 4_000_000
-BLOCK = 2048
+#: Members and shingles of a candidate class that one task compares; larger classes are dealt into blocks.
+GROUP, VOLUME = 256, 200_000
+#: Digests of rows to drop that are broadcast at most; beyond it Spark joins.
+BROADCAST_ROWS = 4_000_000
 
 _rng = np.random.Generator(np.random.PCG64(99))
 _A = _rng.integers(1, 2**62, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -56,7 +60,7 @@ def _profiles(k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = mix64(np.arange(1, TREES + 1, dtype=np.uint64) * _GOLD)
         for rb in it:
-            ids, texts = rb.column(0), rb.column(1).to_pylist()
+            texts = rb.column(3).to_pylist()
             n, d1, d2, sigs, keys = [], [], [], [], []
             for lo, hi in batches(texts):
                 w = Words(texts[lo:hi])
@@ -72,8 +76,8 @@ def _profiles(k: int):
                     else:
                         d1.append(None), d2.append(None), sigs.append(None), keys.append(None)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "d1", "d2", "sig", "keys"],
+                [*rb.columns[:3], pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "m1", "m2", "n_shingles", "d1", "d2", "sig", "keys"],
             )
 
     return run
@@ -118,93 +122,194 @@ def _compare_nodes(floor: int):
         import pandas as pd
 
         for g in _groups(it, "node"):
-            g = g.drop_duplicates("doc_id").sort_values("doc_id")
+            g = g.drop_duplicates("uid").sort_values("uid")
             if len(g) < 2:
                 continue
             sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g), TOKENS)
-            pairs = _forest(g["doc_id"].to_numpy(), lambda i, o: (sig[o] == sig[i]).sum(1) >= floor)
+            pairs = _forest(g["uid"].to_numpy(), lambda i, o: (sig[o] == sig[i]).sum(1) >= floor)
             if pairs:
                 yield pd.DataFrame(pairs, columns=["a", "b"])
 
     return run
 
 
-def _compare_sets(key: str, k: int, num: int, den: int):
-    """Links on full sets within a group: exact intersections through an inverted index, den * |x & y| >= num * |x | y|."""
+class Sets:
+    """The shingle sets of a group of texts with an inverted index over them."""
+
+    def __init__(self, texts: list, k: int):
+        sets = []
+        for lo, hi in batches(texts):
+            w = Words(texts[lo:hi])
+            sets += [w.shingles(i, k) for i in range(hi - lo)]
+        self.size = np.array([len(s) for s in sets], np.int64)
+        _, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        doc = np.repeat(np.arange(len(sets)), self.size)
+        self.holders = doc[np.argsort(self.flat, kind="stable")]
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(self.flat))]).astype(np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(self.size)])
+
+    def linked(self, i: int, others: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Which of others share num / den of their union with text i, by exact intersections."""
+        terms = self.flat[self.begin[i] : self.begin[i + 1]]
+        n = self.at[terms + 1] - self.at[terms]
+        pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.at[terms], n)
+        both = np.bincount(self.holders[pos], minlength=len(self.size))[others]
+        return den * both >= num * (self.size[i] + self.size[others] - both)
+
+
+def _compare_sets(k: int, num: int, den: int):
+    """Links on full sets within a group (grp): den * |x & y| >= num * |x | y|."""
 
     def run(it):
         import pandas as pd
 
-        for g in _groups(it, key):
-            g = g.drop_duplicates("doc_id").sort_values("doc_id")
-            sets, ids = [], []
-            texts = g["text"].tolist()
-            for lo, hi in batches(texts):
-                w = Words(texts[lo:hi])
-                sets += [w.shingles(i, k) for i in range(hi - lo)]
-            ids = g["doc_id"].to_numpy()
-            size = np.array([len(s) for s in sets])
-            if not len(ids) or not size.sum():
+        for g in _groups(it, "grp"):
+            g = g.drop_duplicates("uid").sort_values("uid")
+            if len(g) < 2:
                 continue
-            _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-            doc = np.repeat(np.arange(len(ids)), size)
-            order = np.argsort(flat, kind="stable")
-            holders, at = doc[order], np.concatenate([[0], np.cumsum(np.bincount(flat))])
-            begin = np.concatenate([[0], np.cumsum(size)])
-
-            def like(i, others):
-                terms = flat[begin[i] : begin[i + 1]]
-                n = at[terms + 1] - at[terms]
-                pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[terms], n)
-                both = np.bincount(holders[pos], minlength=len(ids))[others]
-                return den * both >= num * (size[i] + size[others] - both)
-
-            pairs = _forest(ids, like)
+            s = Sets(g["text"].tolist(), k)
+            pairs = _forest(g["uid"].to_numpy(), lambda i, o: s.linked(i, o, num, den))  # noqa: B023
             if pairs:
                 yield pd.DataFrame(pairs, columns=["a", "b"])
 
     return run
 
 
+def _compare_rest(k: int, num: int, den: int):
+    """Links of a group's stragglers (apart = true) to members of other components: one for each straggler and component."""
+
+    def run(it):
+        import pandas as pd
+
+        for g in _groups(it, "grp"):
+            g = g.sort_values("apart", ascending=False).drop_duplicates("uid").sort_values("uid")
+            if len(g) < 2:
+                continue
+            s = Sets(g["text"].tolist(), k)
+            uid, comp, out = g["uid"].to_numpy(), g["comp"].to_numpy(), []
+            for i in np.flatnonzero(g["apart"].to_numpy()):
+                others = np.flatnonzero(comp != comp[i])
+                hit = others[s.linked(i, others, num, den)]
+                _, one = np.unique(comp[hit], return_index=True)
+                out += [(int(uid[i]), int(uid[j])) for j in hit[one]]
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
+
+    return run
+
+
+def _agree(floor: int):
+    """Rows (node, uid, sig, first, lead) -> the same with like in place of lead: whether sig agrees with lead."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in it:
+            sig, lead = (np.frombuffer(b"".join(rb.column(i).to_pylist()), np.uint16).reshape(-1, TOKENS) for i in (2, 4))
+            yield pa.RecordBatch.from_arrays([*rb.columns[:4], pa.array((sig == lead).sum(1) >= floor)], ["node", "uid", "sig", "first", "like"])
+
+    return run
+
+
 def _branch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in it:
         node = rb.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
         sig = np.frombuffer(b"".join(rb.column(2).to_pylist()), np.uint16).reshape(-1, TOKENS)
         for b in range(BRANCH):
             child = walk(mix64(node + np.uint64(b + 1) * _GOLD), sig, STEP)
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), rb.column(1), rb.column(2)], ["node", "doc_id", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), rb.column(1), rb.column(2)], ["node", "uid", "sig"])
+
+
+def _by(df: DataFrame, key: str) -> DataFrame:
+    return df.repartition(key).sortWithinPartitions(key)
 
 
-def _small_nodes(members: DataFrame, sigs: DataFrame, limit: int) -> DataFrame:
-    """members(node, doc_id) -> (node, doc_id, sig) of nodes with 2 to limit members; larger nodes branch on.
+def _candidates(own: DataFrame, floor: int) -> DataFrame:
+    """own(uid, sig, keys) -> (a, b): a graph whose components hold every two documents that the trees bring together and
+    whose signatures agree in floor tokens.
 
-    A node still too large after ROUNDS (members alike in all tokens on its path) is dealt into blocks of half of limit, and
-    every two blocks form a node, so any two of its members meet: exact, with bounded tasks, at a cost that grows with the
-    square of such a node.
+    Nodes of up to NODE members are compared exhaustively. A larger node whose members mostly agree with its first member,
+    or that branching has not made small, becomes a star around that member: that joins too much rather than too little,
+    costs a row per member however large the node, and the full sets decide afterwards. Other large nodes branch on.
     """
-    out = None
+    members = own.select(F.explode("keys").alias("node"), "uid")
+    links = None
     for r in range(ROUNDS + 1):
-        count = members.groupBy("node").agg(F.count("*").alias("c")).filter("c > 1")
+        count = members.groupBy("node").agg(F.count("*").alias("c"), F.min("uid").alias("first")).filter("c > 1")
         known = members.join(count, "node")
         if "sig" not in members.columns:
-            known = known.join(sigs, "doc_id")
-        known = cut(known.select("node", "doc_id", "sig", "c"))
-        small = known.filter(F.col("c") <= limit).select("node", "doc_id", "sig")
-        out = small if out is None else out.union(small)
-        big = known.filter(F.col("c") > limit)
+            known = known.join(own.select("uid", "sig"), "uid")
+        known = cut(known.select("node", "uid", "sig", "c", "first"))
+        small = _by(known.filter(F.col("c") <= NODE).select("node", "uid", "sig"), "node").mapInPandas(_compare_nodes(floor), "a long, b long")
+        links = small if links is None else links.union(small)
+        big = known.filter(F.col("c") > NODE)
         if not big.limit(1).count():
             break
-        if r == ROUNDS:
-            blocks = F.ceil(F.col("c") * 2 / limit)
-            dealt = big.withColumn("n", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id", "node"), F.col("n")))
-            met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).filter("other <> own")
-            return out.union(met.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "doc_id", "sig"))
-        members = big.select("node", "doc_id", "sig").mapInArrow(_branch, "node long, doc_id long, sig binary").dropDuplicates(["node", "doc_id"])
-    return out
-
-
-def _by(df: DataFrame, key: str) -> DataFrame:
-    return df.repartition(key).sortWithinPartitions(key)
+        lead = cut(big.filter("uid = first").select("node", F.col("sig").alias("lead")))
+        near = cut(big.join(lead, "node").select("node", "uid", "sig", "first", "lead").mapInArrow(_agree(floor), "node long, uid long, sig binary, first long, like boolean"))
+        share = cut(near.groupBy("node").agg(F.avg(F.col("like").cast("double")).alias("share")))
+        star = F.col("share") >= (TIGHT if r < ROUNDS else 0.0)
+        links = links.union(near.join(share.filter(star), "node").filter("uid <> first").select(F.col("first").alias("a"), F.col("uid").alias("b")))
+        members = near.join(share.filter(~star), "node").select("node", "uid", "sig").mapInArrow(_branch, "node long, uid long, sig binary").dropDuplicates(["node", "uid"])
+    return links.distinct()
+
+
+def _linked(docs: DataFrame, own: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, root): components of the links on full sets within candidate classes (id, root).
+
+    A class is dealt into blocks of at most about GROUP members and VOLUME shingles. Each block is compared by itself together
+    with the class's first member, so a group of copies of one text, however large, is joined in one pass whose cost grows
+    with its members. What this leaves outside the first member's component (stragglers) is then compared with all members
+    of other components, straggler blocks against blocks: exact, at a cost that grows with stragglers times members.
+    """
+    member = classes.select(F.col("id").alias("uid"), "root").join(own.select("uid", "n_shingles", "m1", "m2", "copies"), "uid")
+    blocks = F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n_shingles") / VOLUME)).alias("blocks")
+    load = member.groupBy("root").agg(blocks)
+    block = F.pmod(F.xxhash64("uid"), F.col("blocks")).alias("block")
+    dealt = cut(member.join(load, "root").select("uid", "root", block, "blocks", "m1", "m2", "copies"))
+    m1, m2 = marked(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    held = docs.select(m1, m2, F.col("text").cast("string").alias("text"))
+    held = held.join(dealt, (F.col("__m1") == F.col("m1")) & (F.col("__m2") == F.col("m2"))).select("uid", "root", "block", "blocks", "copies", "text")
+    # a row that repeats as a whole finds its representative as often; one is enough
+    held = cut(held.filter("copies = 1").union(held.filter("copies > 1").dropDuplicates(["uid"])).drop("copies"))
+    group = lambda *c: F.xxhash64(*c).alias("grp")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    leads = held.filter("uid = root AND blocks > 1").withColumn("other", each("blocks")).filter("other <> block")
+    first = held.select(group("root", "block"), "uid", "text").union(leads.select(group("root", "other"), "uid", "text"))
+    links = cut(_by(first, "grp").mapInPandas(_compare_sets(k, percent, 100), "a long, b long"))
+    joined = components(links)
+    if not dealt.filter("blocks > 1").limit(1).count():
+        return joined
+    joined = cut(joined)
+    part = dealt.filter("blocks > 1").select("uid", "root", "block", "blocks").join(joined.select(F.col("id").alias("uid"), F.col("root").alias("comp")), "uid", "left")
+    # the first member has the smallest uid, so its component goes by that
+    part = part.withColumn("comp", F.coalesce("comp", "uid")).withColumn("apart", F.col("comp") != F.col("root"))
+    rest = part.filter("apart").groupBy("root").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    part = cut(part.join(rest, "root"))
+    if not part.limit(1).count():
+        return joined
+    texts = part.join(held.select("uid", "text"), "uid")
+    asked = texts.filter("apart").withColumn("other", each("blocks")).select(group("root", "other", F.pmod(F.xxhash64(F.lit("part"), "uid"), F.col("parts"))), "uid", "comp", "apart", "text")
+    rows = texts.withColumn("other", each("parts")).select(group("root", "block", "other"), "uid", "comp", F.lit(False).alias("apart"), "text")
+    more = _by(asked.union(rows), "grp").mapInPandas(_compare_rest(k, percent, 100), "a long, b long")
+    return components(more.union(joined.select(F.col("id").alias("a"), F.col("root").alias("b")).filter("a <> b")))
+
+
+def _classed(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(base, final): per row its digests, and per distinct set that is held twice or linked its component and staying row."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    m1, m2 = marked(doc_id, text)
+    schema = "doc_id long, m1 long, m2 long, n_shingles long, d1 long, d2 long, sig binary, keys array<long>"
+    base = docs.select(doc_id.alias("doc_id"), m1, m2, text.alias("text")).mapInArrow(_profiles(k), schema)
+    base = cut(base.withColumn("uid", F.monotonically_increasing_id()))
+    stay = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "m1", "m2")).alias("stay")
+    reps = cut(base.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("uid").alias("uid"), F.count("*").alias("copies"), stay))
+    own = cut(base.join(reps.select("uid", "copies"), "uid").select("uid", "n_shingles", "m1", "m2", "copies", "sig", "keys"))
+    floor = int(np.ceil(TOKENS * (percent / 100 - MARGIN)))
+    classes = cut(components(_candidates(own.select("uid", "sig", "keys"), floor)))
+    joined = _linked(docs, own, classes, k, percent)
+    final = reps.join(joined.select(F.col("id").alias("uid"), "root"), "uid", "left").filter("copies > 1 OR root IS NOT NULL")
+    final = cut(final.select("d1", "d2", F.coalesce("root", "uid").alias("c"), "stay"))
+    least = final.groupBy("c").agg(F.min("stay").alias("stay"))
+    return base, cut(final.drop("stay").join(least, "c").select("d1", "d2", F.col("stay.doc_id").alias("component"), F.col("stay.m1").alias("stay1"), F.col("stay.m2").alias("stay2")))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -215,41 +320,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     100 * intersection >= percent * union; component_id is the smallest doc_id reachable and kept marks that document.
 
     Equal sets are one representative from the start, found by a partially aggregated digest, so thousands of copies cost a
-    row each. Candidates come from signatures, links from full sets; a class of any size loses no link to a cap. Repeated
-    rows get equal results; rows of one doc_id with different texts are compared as separate texts, and share its id. Null
-    doc_id: its own row with null component_id. Empty table: empty. Only doc_id and text are read.
+    row each. Candidates come from signatures, links from full sets; a class of any size loses no link to a cap. Rows are
+    told apart by a row id: repeated rows get equal results, and rows of one doc_id with different texts are compared as
+    separate texts. A row without doc_id is compared like any other; its component_id is the smallest id it reaches, null if
+    there is none (kept is true then). Empty table: empty. Only doc_id and text are read.
     """
-    base = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_profiles(k), "doc_id long, n_shingles long, d1 long, d2 long, sig binary, keys array<long>"))
-    reps = base.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    rep = reps.withColumnRenamed("doc_id", "rep")
-    own = cut(base.join(reps.select("doc_id", "d1", "d2"), ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"]).select("doc_id", "n_shingles", "sig", "keys"))
-    floor = int(np.ceil(TOKENS * (percent / 100 - MARGIN)))
-    nodes = _small_nodes(own.select(F.explode("keys").alias("node"), "doc_id"), own.select("doc_id", "sig"), NODE)
-    may = _by(nodes, "node").mapInPandas(_compare_nodes(floor), "a long, b long").distinct()
-    classes = cut(components(may))
-    sizes = classes.join(own.select(F.col("doc_id").alias("id"), "n_shingles"), "id")
-    huge = cut(sizes.groupBy("root").agg(F.sum("n_shingles").alias("s")).filter(F.col("s") > CLASS_SHINGLES))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    at = classes.withColumnRenamed("id", "doc_id")
-    plain = texts.join(at.join(huge.select("root"), "root", "left_anti"), "doc_id").select("root", "doc_id", "text")
-    links = cut(_by(plain, "root").mapInPandas(_compare_sets("root", k, percent, 100), "a long, b long"))
-    if huge.limit(1).count():
-        inside = at.join(huge.select("root"), "root").join(own.select("doc_id", "keys"), "doc_id")
-        again = _small_nodes(inside.select(F.explode("keys").alias("node"), "doc_id"), own.select("doc_id", "sig"), BLOCK)
-        dealt = texts.join(again.select("node", "doc_id"), "doc_id").select("node", "doc_id", "text")
-        links = links.union(_by(dealt, "node").mapInPandas(_compare_sets("node", k, percent, 100), "a long, b long")).distinct()
-    joined = components(links)
-    final = rep.join(joined, rep["rep"] == joined["id"], "left").select("d1", "d2", F.coalesce("root", "rep").alias("c"))
-    # only sets held twice or linked need the join; most documents stand alone
-    final = cut(final)
+    base, final = _classed(docs, k, percent)
     out = base.select("doc_id", "n_shingles", "d1", "d2").join(final, ["d1", "d2"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    component = F.when(F.col("stay1").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows that near_duplicates does not keep. Where rows share a doc_id, one of them stays; rows with a null doc_id all stay."""
-    gone = near_duplicates(docs, **options).filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(cut(gone), F.col("doc_id") == F.col("__id"), "left_anti")
-    if left.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
-        left = left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(left.filter("doc_id IS NULL"))
-    return left
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each class of near-copies: the one of smallest doc_id, null ids last, then by a digest of the text.
+
+    Rows go by digests of id and text, so the texts of rows that share an id are judged apart. Of rows that agree in id and
+    text one stays. Rows without words are in no class and all stay.
+    """
+    base, final = _classed(docs, k, percent)
+    rows = cut(base.join(final, ["d1", "d2"]).select("m1", "m2", ((F.col("m1") == F.col("stay1")) & (F.col("m2") == F.col("stay2"))).alias("stays")))
+    gone = cut(rows.filter("NOT stays").select("m1", "m2").distinct())
+    twice = cut(rows.filter("stays").groupBy("m1", "m2").agg(F.count("*").alias("n")).filter("n > 1").select("m1", "m2"))
+
+    def matched(left: DataFrame, marks: DataFrame, how: str) -> DataFrame:
+        right = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
+        return left.join(right, (F.col("__m1") == F.col("m1")) & (F.col("__m2") == F.col("m2")), how)
+
+    # docs' own columns travel in one struct, so that none of their names can clash
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), *marked(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    left = matched(named, gone, "left_anti")
+    if twice.limit(1).count():
+        one = matched(left, twice, "left_semi").groupBy("__m1", "__m2").agg(F.min_by("d", F.to_json("d")).alias("d"))
+        left = matched(left, twice, "left_anti").select("d").union(one.select("d"))
+    return left.select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])

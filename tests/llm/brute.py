@@ -19,19 +19,19 @@ def shingles(text, k):
 
 
 def near_duplicates(rows, k, percent):
-    sets = {i: shingles(t, k) for i, t in rows}
-    root = {i: i for i in sets}
+    """Per row of (id, text): (id, shingles, smallest id reachable, kept). Null ids reach others and name no one."""
+    sets = [shingles(t, k) for _, t in rows]
+    root = list(range(len(rows)))
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    ids = sorted(sets)
     holders = {}
-    for i in ids:
-        for s in sets[i]:
-            holders.setdefault(s, []).append(i)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
     both = Counter()
     for h in holders.values():
         for x in range(len(h)):
@@ -41,7 +41,11 @@ def near_duplicates(rows, k, percent):
         if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return Counter((d, len(sets[i]), least.get(find(i)), d == least.get(find(i))) for i, (d, _) in enumerate(rows))
 
 
 def luhn(d):

@@ -115,22 +115,31 @@ def test_mix_targets_and_sizes(spark, docs, odd, empty):
     assert mix_documents(odd).columns == odd.columns
 
 
+def classes(frame, *a):
+    return Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(frame, *a).collect())
+
+
 def test_near_duplicates_brute(docs, rows, odd, empty):
     for k, percent in ((3, 85), (5, 80)):
-        want = brute.near_duplicates(rows, k, percent)
-        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, k, percent).collect()}
-        assert got == want
-    got = near_duplicates(odd, 3, 85).collect()
-    want = brute.near_duplicates([x for x in texts_of(odd) if x[0] is not None], 3, 85)
-    assert len(got) == odd.count()
-    assert all((r.n_shingles, r.component_id, r.kept) == want[r.doc_id] for r in got if r.doc_id is not None)
+        assert classes(docs, k, percent) == brute.near_duplicates(rows, k, percent)
+    assert classes(odd, 3, 85) == brute.near_duplicates(texts_of(odd), 3, 85)
     assert near_duplicates(empty).count() == 0
     left = one_of_each(odd)
     assert left.columns == odd.columns and left.filter("doc_id = 7").count() == 1 and left.filter("doc_id = 16").count() == 0
 
 
+def test_near_duplicates_of_shared_ids(spark):
+    """Two texts of one id, null ids, rows that repeat: each row is judged by its own text, and no text is lost."""
+    a, b = (" ".join(f"{p}{i}" for i in range(60)) for p in "ab")
+    data = [(5, a), (5, b), (3, a + " end"), (4, b + " end"), (9, "alone in the whole world of texts"), (9, "alone as well but with other words"), (9, "alone in the whole world of texts"), (None, b), (None, "no id and no copy here"), (None, "no id and no copy here"), (6, None), (6, " ")]
+    frame = spark.createDataFrame(data, "doc_id long, text string").withColumn("n", F.monotonically_increasing_id())
+    assert classes(frame) == brute.near_duplicates(data, 5, 80)
+    left = Counter((r.doc_id, r.text) for r in one_of_each(frame).collect())
+    assert left == Counter([(3, a + " end"), (4, b + " end"), (9, data[4][1]), (9, data[5][1]), (None, "no id and no copy here"), (6, None), (6, " ")])
+
+
 def test_near_duplicates_hot_group(spark):
-    """Large groups of exact and of near copies, and nodes forced to branch: no link is lost."""
+    """Large groups of exact and of near copies, chains, nodes forced to branch or to become stars, classes dealt into blocks with stragglers: no link is lost."""
     base = [f"w{i}" for i in range(120)]
     data = [(i, " ".join(base)) for i in range(300)]
     for i in range(300, 420):
@@ -138,17 +147,18 @@ def test_near_duplicates_hot_group(spark):
         w[i % 120] = f"x{i}"
         data.append((i, " ".join(w)))
     data += [(i, " ".join(f"u{i}_{j}" for j in range(60))) for i in range(420, 460)]
+    for i in range(460, 560):  # a chain: each text is near the next one only
+        data.append((i, " ".join(f"c{j}" for j in range(4 * i, 4 * i + 100))))
     frame = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
     want = brute.near_duplicates(data, 5, 80)
     from meshloom.llm import neardup
 
-    keep = neardup.NODE, neardup.CLASS_SHINGLES, neardup.BLOCK
+    keep = neardup.NODE, neardup.GROUP, neardup.VOLUME, neardup.TIGHT
     try:
-        for neardup.NODE, neardup.CLASS_SHINGLES, neardup.BLOCK in (keep, (16, 4_000_000, 2048), (4096, 2000, 32)):
-            got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(frame, 5, 80).collect()}
-            assert got == want
+        for neardup.NODE, neardup.GROUP, neardup.VOLUME, neardup.TIGHT in (keep, (16, 256, 200_000, 0.9), (16, 7, 200_000, 2.0), (1024, 256, 900, 0.9)):
+            assert classes(frame, 5, 80) == want
     finally:
-        neardup.NODE, neardup.CLASS_SHINGLES, neardup.BLOCK = keep
+        neardup.NODE, neardup.GROUP, neardup.VOLUME, neardup.TIGHT = keep
 
 
 def test_components(spark):
