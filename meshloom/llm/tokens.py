@@ -14,11 +14,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Memoised chunks a worker keeps, and characters of their tables, before it starts anew; bounds its memory.
-MEMO, POOL = 300_000, 4_000_000
-#: Prefixes up to so long are memoised, and chunks of unusual characters up to so long encoded at every prefix.
+#: Memoised pieces a worker keeps, and characters of their tables, before it starts anew; bounds its memory.
+MEMO, POOL = 500_000, 8_000_000
+#: Pieces up to so long are merged by the library at every prefix, and so are chunks of unusual characters.
 SHORT = 32
 _NEVER = 1 << 60
+#: Chunks, and the ASCII white space between them.
+_CHUNKS = re.compile("[ \t\n\r]+|[^ \t\n\r]+")
 #: Beyond these characters libraries may differ in normalisation or in what counts as a letter or space.
 _ODD = re.compile("[^\t\n\r -~\xa1-ɏ]")
 #: The printable character that stands for each byte in byte-level vocabularies: itself, or the next free one from U+0100.
@@ -55,8 +57,8 @@ class PrefixCounter:
     """Exact token counts at every prefix of a text, for a BPE vocabulary whose tokens never span ASCII white space.
 
     table(text)[p] is the number of tokens of text[:p] for every p from 0 to len(text), as the library counts text[:p] on
-    its own. Texts are divided at ASCII white space; the counts at a chunk's prefixes are found once and reused, and the
-    text's table is the running sum of its chunks' tables, so that counting, truncating and budgets need no further encoding.
+    its own. Texts are divided into pieces or chunks that can be counted on their own; the counts at a piece's prefixes are
+    found once and reused, and the text's table is their running sum, so counting, truncating and budgets need no encoding.
     """
 
     def __init__(self, path: str):
@@ -69,7 +71,8 @@ class PrefixCounter:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.cut = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+        self.cut = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split") + r"|\s+")
+        self.lowers = any(p["type"] == "Lowercase" for p in spec["normalizer"]["normalizers"])
         self.vocab, self.end = model["vocab"], model.get("end_of_word_suffix") or ""
         merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.rank = {tuple(m): i for i, m in enumerate(merges)}
@@ -80,8 +83,6 @@ class PrefixCounter:
 
     def _clear(self) -> None:
         self.id: dict[str, int] = {}
-        self.states: dict[str, tuple] = {}
-        self.pieces: dict[str, list[int]] = {}
         self.pool, self.used = np.zeros(1 << 20, np.int32), 0
         self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
@@ -92,41 +93,25 @@ class PrefixCounter:
         """Counts of s[:1], s[:2], ... by encoding each: for short strings."""
         return np.fromiter((self.encode_count(s[:i]) for i in range(1, len(s) + 1)), np.int32, len(s))
 
-    def _plain(self, s: str) -> np.ndarray:
+    def _unusual(self, s: str) -> np.ndarray:
         """Counts at the prefixes of a chunk without special strings.
 
-        It is divided where the pre-tokenizer divides it: what stands before a piece does not depend on how much of the piece
-        follows. That needs a normaliser that maps it character by character. A short chunk of unusual characters is encoded
-        by the library at every prefix instead, and so is a long one that normalisation would compose or lengthen.
+        A long one is divided where the pre-tokenizer divides it: what stands before a piece does not depend on how much of
+        the piece follows. That needs a normaliser that maps it character by character. A short chunk is encoded by the
+        library at every prefix instead, and so is a long one that normalisation would compose or lengthen.
         """
-        if not _ODD.search(s):
-            form = s.lower()
-            if len(form) == len(s):
-                out, done = [], 0
-                for piece in self.cut.findall(form):
-                    n = self.pieces.get(piece)
-                    if n is None:
-                        n = self._piece(piece)
-                        if len(piece) <= SHORT:
-                            self.pieces[piece] = n
-                    out += [done + x for x in n] if done else n
-                    done += n[-1]
-                return np.array(out, np.int32)
         if len(s) <= SHORT:
             return self._prefixes(s)
         form = self.lib.normalizer.normalize_str(s) if self.lib.normalizer else s
         if len(form) != len(s) or any(map(unicodedata.combining, s)) or any("\u1100" <= c <= "\u11ff" for c in s):
             return self._prefixes(s)
-        out, done = [], 0
-        pieces = self.lib.pre_tokenizer.pre_tokenize_str(form)
-        at = [a for _, (a, _) in pieces]
-        for (_, (a, b)), before in zip(pieces, [0, *[b for _, (_, b) in pieces]]):
-            out.append(np.full(a - before, done, np.int32))  # white space that only the normaliser knows
+        out, done, at = [], 0, 0
+        for _, (a, b) in self.lib.pre_tokenizer.pre_tokenize_str(form):
             n = np.array(self._piece(form[a:b]), np.int32)
-            out.append(done + n)
+            out += [np.full(a - at, done, np.int32), done + n]  # between pieces: white space that only the normaliser knows
             done += int(n[-1])
-        out.append(np.full(len(s) - (pieces[-1][1][1] if at else 0), done, np.int32))
-        return np.concatenate(out)
+            at = b
+        return np.concatenate([*out, np.full(len(s) - at, done, np.int32)])
 
     def _edge(self, t: str, side: int) -> list[tuple[str, int]]:
         """The symbols that stand at one end (0 left, 1 right) of a token while merges build it, with the rank that consumes each."""
@@ -165,71 +150,90 @@ class PrefixCounter:
         raise ValueError("the vocabulary lacks a byte")
 
     def _piece(self, piece: str) -> list[int]:
-        """Counts at the prefixes of a piece by dynamic programming over its bytes.
+        """Counts at the prefixes of a piece of normalised text: a short one's by the library's merges, a long one's by
+        dynamic programming over its bytes, in time that grows with its length.
 
         The encoding of a prefix is that of a shorter prefix and one more token, the one that its neighbour on the left
         allows; so the last token at each place gives the count there. The last token of a whole word has the word-end mark.
-        Prefixes are shared by all words that begin with them.
         """
-        ascii_only = piece.isascii()
         raw = piece.encode("utf-8", "surrogatepass")
-        b = piece if ascii_only and piece.isprintable() else "".join([_BYTE[x] for x in raw])
-        states, inner, last, out = self.states, [0], [""], []
+        plain = len(raw) == len(piece) and piece.isprintable()
+        b = piece if plain else "".join([_BYTE[x] for x in raw])
+        ends = range(1, len(b) + 1) if plain else [i for i, x in enumerate([*raw[1:], 0], 1) if x & 0xC0 != 0x80]
+        if len(b) <= SHORT:
+            merged = self.lib.model.tokenize
+            return [len(merged(b[:i])) for i in ends]
+        inner, last, out = [0], [""], []
         for i in range(1, len(b) + 1):
-            key = b[:i] if i <= SHORT else None
-            got = states.get(key)
-            if got is None:
-                got = (*self._last(b, i, inner, last, ""), self._last(b, i, inner, last, self.end)[0])
-                if key:
-                    states[key] = got
-            inner.append(got[0])
-            last.append(got[1])
-            out.append(got[2])
-        return out if ascii_only else [n for n, x in zip(out, [*raw[1:], 0]) if x & 0xC0 != 0x80]
+            n, t = self._last(b, i, inner, last, "")
+            inner.append(n)
+            last.append(t)
+            out.append(self._last(b, i, inner, last, self.end)[0])
+        return [out[i - 1] for i in ends]
 
     def _chunk(self, chunk: str) -> np.ndarray:
         """Counts at the prefixes of a chunk; special strings count one once whole, and are plain text until then."""
         out, at, done = [], 0, 0
         for m in self.special.finditer(chunk):
-            n = self._plain(chunk[at : m.end() - 1]) + done if m.end() - 1 > at else np.zeros(0, np.int32)
+            n = self._unusual(chunk[at : m.end() - 1]) + done if m.end() - 1 > at else np.zeros(0, np.int32)
             done = (int(n[m.start() - at - 1]) if m.start() > at else done) + 1
             out += [n, np.array([done], np.int32)]
             at = m.end()
         if at < len(chunk):
-            out.append(self._plain(chunk[at:]) + done)
+            out.append(self._unusual(chunk[at:]) + done)
         return np.concatenate(out) if out else np.zeros(0, np.int32)
 
-    def _add(self, chunk: str) -> int:
-        n = self._chunk(chunk)
-        if self.used + len(n) + 1 > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(n) + 1), np.int32)])
+    def _add(self, part: str, n) -> int:
+        if self.used + len(n) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(n)), np.int32)])
         self.pool[self.used : self.used + len(n)] = n
-        self.pool[self.used + len(n)] = n[-1] if len(n) else 0  # the white space after the chunk adds no token
         i = len(self.id)
         if i == len(self.begin):
             self.begin, self.size = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.begin, self.size))
-        self.begin[i], self.size[i] = self.used, len(n) + 1
-        self.used += len(n) + 1
-        self.id[chunk] = i
+        self.begin[i], self.size[i] = self.used, len(n)
+        self.used += len(n)
+        self.id[part] = i
         return i
 
+    def _part(self, part: str) -> int:
+        """The place of a part's counts. White space adds no token."""
+        if part in self.id:
+            return self.id[part]
+        if part.strip(" \t\n\r") == "":
+            return self._add(part, np.zeros(len(part), np.int32))
+        return self._add(part, self._piece(part))
+
+    def _chunk_part(self, chunk: str) -> int:
+        key = "\0" + chunk  # apart from pieces, which are normalised
+        if key in self.id:
+            return self.id[key]
+        return self._add(key, np.zeros(len(chunk), np.int32) if chunk.strip(" \t\n\r") == "" else self._chunk(chunk))
+
     def table(self, text: str | None) -> np.ndarray:
-        """Counts at all prefixes, from the empty one to the whole text."""
+        """Counts at all prefixes, from the empty one to the whole text.
+
+        A text of usual characters falls into the pieces that the vocabulary's own pattern finds, any other into chunks
+        between ASCII white space; counts at the prefixes of either are found once, and their running sums are the table.
+        """
         if not text:
             return np.zeros(1, np.int32)
-        if len(self.id) > MEMO or self.used > POOL or len(self.states) > MEMO:
+        if len(self.id) > MEMO or self.used > POOL:
             self._clear()
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        form = text.lower() if self.lowers else text
+        if len(form) == len(text) and not _ODD.search(text) and not self.special.search(text):
+            parts, find = self.cut.findall(form), self._part
+        else:
+            parts, find = _CHUNKS.findall(text), self._chunk_part
         get = self.id.get
-        ids = [get(w, -1) for w in words]
+        ids = [get(x, -1) for x in parts] if find == self._part else [-1]
         if -1 in ids:
-            ids = [self.id[w] if w in self.id else self._add(w) for w in words]
-        begin, size = self.begin[ids], self.size[ids]
+            ids = [find(x) for x in parts]
+        size = self.size[ids]
         upto = np.cumsum(size)
-        last = self.pool[begin + size - 1]
-        flat = np.arange(upto[-1]) + np.repeat(begin - upto + size, size)
+        last = self.pool[self.begin[ids] + size - 1]
+        flat = np.arange(upto[-1]) + np.repeat(self.begin[ids] - upto + size, size)
         out = np.zeros(len(text) + 1, np.int32)
-        out[1:] = (self.pool[flat] + np.repeat(np.cumsum(last) - last, size))[:-1]
+        out[1:] = self.pool[flat] + np.repeat(np.cumsum(last) - last, size)
         return out
 
     def total(self, text: str | None) -> int:
