@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from .common import cut
 from .textkernel import Words, batches, mix64
 
-#: The vocabulary: words that make up at least SHARE of all trusted words and occur LEAST times; so 1 / SHARE words at most.
+#: The vocabulary: words that occur LEAST times and, with L languages, make up at least L * SHARE of a language's trusted
+#: words. So 1 / SHARE words at most, and a rare language keeps as many of its words as a frequent one.
 SHARE, LEAST = 1e-6, 2
 #: Other words count as unknown, by shape. Ids: 0 before a text, 1 to SHAPES the unknown ones, then the vocabulary.
 SHAPES, FIRST = 16, 17
@@ -67,25 +68,28 @@ def _unpack_keys(b: bytes, n: int) -> np.ndarray:
 
 
 def _count_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of words: (h, shape, n), one row per word that the task holds at a time."""
+    """Texts (lang, text) -> partial counts of words: (lang, h, shape, n), one row per word of a language that the task holds at a time."""
 
-    def rows(held):
-        h, first = np.unique(np.concatenate([x for x, _ in held]), return_index=True)
-        _, n = _sum_by(np.concatenate([x for x, _ in held]), np.ones(sum(len(x) for x, _ in held), np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.concatenate([s for _, s in held])[first].astype(np.int32)), pa.array(n)], ["h", "shape", "n"])
+    def rows(lang, held):
+        every, shape = (np.concatenate(x) for x in zip(*held))
+        h, first = np.unique(every, return_index=True)
+        _, n = _sum_by(every, np.ones(len(every), np.int64))
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(shape[first].astype(np.int32)), pa.array(n)], ["lang", "h", "shape", "n"])
 
-    held, size = [], 0
+    held: dict[str, list] = {}
+    size = 0
     for rb in it:
-        texts = rb.column(0).to_pylist()
-        for lo, hi in batches(texts):
-            h, shape, _ = _tokens(texts[lo:hi])
-            held.append((h, shape))
-            size += len(h)
-            if size >= HELD:
-                yield rows(held)
-                held, size = [], 0
-    if size:
-        yield rows(held)
+        langs, texts = np.array(rb.column(0).to_pylist(), object), rb.column(1).to_pylist()
+        for lang in sorted(set(langs)):
+            own = [texts[i] for i in np.flatnonzero(langs == lang)]
+            for lo, hi in batches(own):
+                h, shape, _ = _tokens(own[lo:hi])
+                held.setdefault(lang, []).append((h, shape))
+                size += len(h)
+        if size >= HELD:
+            yield from (rows(lang, x) for lang, x in held.items())
+            held, size = {}, 0
+    yield from (rows(lang, x) for lang, x in held.items())
 
 
 @dataclass
@@ -252,15 +256,18 @@ def _text():
 
 
 def vocabulary(texts: DataFrame) -> tuple[Vocabulary, int]:
-    """The vocabulary of all texts (one column), and their number of words."""
-    counts = cut(texts.mapInArrow(_count_words, "h long, shape int, n long").groupBy("h").agg(F.min("shape").alias("shape"), F.sum("n").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST, int(np.ceil(total * SHARE)))
-    known = counts.filter(F.col("n") >= least).select("h").toArrow()["h"].to_numpy()  # 1 / SHARE rows at most
+    """The vocabulary of all texts (lang, text), and their number of words."""
+    counts = texts.mapInArrow(_count_words, "lang string, h long, shape int, n long").groupBy("lang", "h").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
+    counts = cut(counts)
+    totals = cut(counts.groupBy("lang").agg(F.sum("n").alias("total")))
+    every = totals.agg(F.count("*").alias("langs"), F.sum("total").alias("total")).first()
+    least = F.greatest(F.lit(LEAST), F.ceil(F.col("total") * (SHARE * (every["langs"] or 1))))
+    words = cut(counts.join(totals, "lang").groupBy("h").agg(F.min("shape").alias("shape"), F.max(F.col("n") >= least).alias("known")))
+    known = words.filter("known").select("h").toArrow()["h"].to_numpy()  # 1 / SHARE rows at most
     spread = np.zeros(FIRST)
-    for r in counts.filter(F.col("n") < least).groupBy("shape").count().collect():  # SHAPES rows at most
+    for r in words.filter("NOT known").groupBy("shape").count().collect():  # SHAPES rows at most
         spread[r["shape"] + 1] = r["count"]
-    return Vocabulary(np.sort(known.astype(np.int64).view(np.uint64)), -np.log2(spread + 1)), total
+    return Vocabulary(np.sort(known.astype(np.int64).view(np.uint64)), -np.log2(spread + 1)), int(every["total"] or 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame, list[int]]:
@@ -269,8 +276,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame, list[int]
     The table grows with the corpus and is never gathered; the arrays hold 1 / SHARE entries at most.
     """
     spark = docs.sparkSession
-    texts = _trusted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text")), labels).filter("__trusted").select("text")
-    words, total = vocabulary(texts)
+    texts = _trusted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _language().alias("lang"), _text().alias("text")), labels).filter("__trusted")
+    words, total = vocabulary(texts.select("lang", "text"))
+    texts = texts.select("text")
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
     names = _shard_names(spark, shards)
     kind = "shard int, size int, keys binary, n binary"
@@ -433,41 +441,63 @@ def _marks():
     return F.xxhash64(*three).alias("m1"), F.xxhash64(F.lit(1), *three[::-1]).alias("m2")
 
 
-#: A document is rejected if its bits per word exceed (SLACK + NOISE / root of its words) times the QUANTILE of its language's
-#: trusted documents: the mean over fewer words strays further.
-QUANTILE, SLACK, NOISE = 0.99, 1.03, 0.6
-#: Texts of fewer characters say too little of their quality: they are judged by SHORT_SLACK instead.
-SHORT, SHORT_SLACK = 200, 1.5
+#: A document is rejected if its bits per word lie further above its language's median than SLACK times the QUANTILE of what
+#: trusted documents do, both in units of the deviation that a document of its length has. SLACK was set on labelled
+#: documents that neither train the model nor are judged in the README.
+QUANTILE, SLACK = 0.995, 1.4
+#: Languages with fewer trusted documents take deviation and quantile from all languages together.
+LEAST_TEXTS = 50
 
 
 def _language(c="lang"):
-    return F.coalesce(F.col(c).cast("string"), F.lit(""))
+    """The language as a key; null is one of its own, apart from the empty string."""
+    return F.when(F.col(c).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
+
+
+def _deviation(a="a", b="b"):
+    return F.sqrt(F.col(a) + F.col(b) / F.greatest(F.col("n_words"), F.lit(1)))
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> tuple[DataFrame, DataFrame]:
-    """(__lang, limit) by language and one row (every) for all: quantiles of bits over trusted texts of SHORT characters or more."""
-    own = scored.filter(F.col("trusted") & (F.col("n_chars") >= SHORT))
-    each = own.groupBy(_language().alias("__lang")).agg(F.percentile_approx("bits", quantile, 10000).alias("limit"))
-    every = own.agg(F.percentile_approx("bits", quantile, 10000).alias("every"))
-    return each, every
+    """(__lang, mid, a, b, top) by language, and one row of the same for texts of other languages.
+
+    mid is the median of bits over trusted texts. The squared deviation of a text of n words is a + b / n, fitted by least
+    squares to the texts above the median; top is the quantile of (bits - mid) / deviation.
+    """
+    own = scored.filter(F.col("trusted") & (F.col("n_words") > 0)).select(_language().alias("__lang"), "bits", "n_words")
+    middle = lambda: F.percentile_approx("bits", 0.5, 10000).alias("mid")
+    mids = cut(own.groupBy("__lang").agg(middle(), F.count("*").alias("texts")))
+    off = own.join(mids, "__lang").withColumn("off", F.col("bits") - F.col("mid"))
+    y, x = F.pow("off", F.lit(2.0)), 1 / F.col("n_words")
+    b = F.greatest(F.when(F.var_pop(x) > 1e-12, F.regr_slope(y, x)).otherwise(F.lit(0.0)), F.lit(0.0))
+    fit = [b.alias("b"), F.greatest(F.avg(y) - b * F.avg(x), F.lit(1e-4)).alias("a")]
+    up = off.filter("off >= 0")
+    each, every = cut(up.groupBy("__lang").agg(*fit)), cut(up.agg(*fit).select(F.col("a").alias("a0"), F.col("b").alias("b0")))
+    off = off.join(each, "__lang").join(F.broadcast(every))
+    top = lambda *dev: F.percentile_approx(F.col("off") / _deviation(*dev), quantile, 10000)
+    tops = cut(off.groupBy("__lang").agg(top().alias("top")))
+    other = cut(off.agg(top("a0", "b0").alias("top0"), middle().alias("mid0"), F.first("a0").alias("a0"), F.first("b0").alias("b0")))
+    full = mids.join(each, "__lang").join(tops, "__lang").join(F.broadcast(other))
+    enough = F.col("texts") >= LEAST_TEXTS
+    return cut(full.select("__lang", "mid", *[F.when(enough, F.col(c)).otherwise(F.col(f"{c}0")).alias(c) for c in ("a", "b", "top")])), other
 
 
 def _judged(docs: DataFrame, labels: DataFrame, fitted) -> DataFrame:
     scored = cut(scores(docs, labels, fitted or fit(docs, labels)))
-    each, every = thresholds(scored)
-    slack = F.when(F.col("n_chars") >= SHORT, F.lit(SLACK) + F.lit(NOISE) / F.sqrt(F.greatest("n_words", F.lit(1)))).otherwise(F.lit(SHORT_SLACK))
+    each, other = thresholds(scored)
     # one row per language, of known size once written: broadcast if small, so that a language of most rows isn't one task
-    out = scored.withColumn("__lang", _language()).join(cut(each), "__lang", "left").join(F.broadcast(every))
-    limit = F.coalesce("limit", "every") * slack
-    return out.withColumn("limit", limit).withColumn("kept", F.coalesce(F.col("bits") <= F.col("limit"), F.lit(True)))
+    out = scored.withColumn("__lang", _language()).join(each, "__lang", "left").join(F.broadcast(other))
+    out = out.withColumns({c: F.coalesce(c, f"{c}0") for c in ("mid", "a", "b", "top")})
+    limit = F.col("mid") + SLACK * F.col("top") * _deviation()
+    return out.withColumn("limit", limit).withColumn("kept", (F.col("n_words") == 0) | F.coalesce(F.col("bits") <= F.col("limit"), F.lit(True)))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, fitted: tuple[Model, DataFrame, list[int]] | None = None) -> DataFrame:
     """Per row doc_id, lang, n_chars, perplexity (2 ** bits per word), threshold, kept.
 
     Trains on every text that labels trust (quality 1, not toxic), scores all texts (trusted ones without their own pairs), and
-    rejects those whose bits per word exceed the limit of their language, or of all languages where none of its texts is
-    trusted. Null, empty and blank texts score 1 and are kept; without any trusted text nothing is rejected. Rows are
+    rejects those whose bits per word exceed the limit of their language at their length, or of all languages where none of
+    its texts is trusted. Blank texts score 1 and are kept; without any trusted text nothing is rejected. Rows are
     independent: repeated rows and null ids or languages pass through (null: a language of its own). Empty table: empty. Labels
     may repeat ids. Other columns are not read.
     """

@@ -509,7 +509,37 @@ def test_classifier_held_out(spark):
     out = perplexity.quality_scores(docs, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id")
     n = {(r.quality, r.kept): r["count"] for r in out.groupBy("quality", "kept").count().collect()}
     assert n.get((1, False), 0) <= 0.01 * n[1, True]
-    assert n[0, False] >= 0.5 * (n[0, False] + n.get((0, True), 0))
+    assert n[0, False] >= 0.75 * (n[0, False] + n.get((0, True), 0))
+
+
+def test_thresholds_brute(spark):
+    """Limits by language and length against plain Python; a language with few trusted texts takes the others' deviation, one without any all of it."""
+    rng = random.Random(8)
+    rows = [(i, lang, n, rng.gauss(mid, 0.2 + 3 / max(n, 1) ** 0.5), trusted) for i, (lang, mid, trusted, n) in enumerate([(rng.choice("ab"), 10.0 + rng.random(), True, rng.randint(5, 900)) for _ in range(400)] + [("c", 15.0, True, 50)] * 9 + [(None, 8.0, True, 70)] * 60 + [("", 9.0, False, 30), ("d", 9.0, False, 0)])]
+    frame = spark.createDataFrame([(*r[:2], r[2] * 6, 0, 0, r[4], r[2], r[3]) for r in rows], perplexity._SCORED)
+    each, other = perplexity.thresholds(frame)
+    got, other = {r["__lang"]: r for r in each.collect()}, other.first()
+    own = defaultdict(list)
+    for r in rows:
+        if r[4]:
+            own[r[1]].append((r[3], r[2]))
+    pick = lambda x, q: sorted(x)[max(math.ceil(q * len(x)) - 1, 0)]
+    mid = {k: pick([v for v, _ in x], 0.5) for k, x in own.items()}
+
+    def fit(points):
+        x, y = np.array([1 / n for n, _ in points]), np.array([d * d for _, d in points])
+        b = max(np.cov(x, y, bias=True)[0, 1] / x.var(), 0) if x.var() > 1e-12 else 0
+        return max(y.mean() - b * x.mean(), 1e-4), b
+
+    up = {k: [(n, v - mid[k]) for v, n in x if v >= mid[k]] for k, x in own.items()}
+    a0, b0 = fit([p for x in up.values() for p in x])
+    top0 = pick([(v - mid[k]) / math.sqrt(a0 + b0 / n) for k, x in own.items() for v, n in x], perplexity.QUANTILE)
+    assert np.allclose([other.a0, other.b0, other.top0], [a0, b0, top0])
+    for lang, x in own.items():
+        a, b = fit(up[lang])
+        want = (a, b, pick([(v - mid[lang]) / math.sqrt(a + b / n) for v, n in x], perplexity.QUANTILE)) if len(x) >= perplexity.LEAST_TEXTS else (a0, b0, top0)
+        r = got["" if lang is None else "=" + lang]
+        assert np.allclose([r.mid, r.a, r.b, r.top], [mid[lang], *want]), lang
 
 
 def test_classifier_edges(spark, odd, empty, sf):
