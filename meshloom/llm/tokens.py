@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Memoised pieces a worker keeps, and characters of their tables, before it starts anew; bounds its memory.
-MEMO, POOL = 500_000, 8_000_000
+MEMO, POOL = 1_200_000, 20_000_000
 #: Pieces up to so long are merged by the library at every prefix, and so are chunks of unusual characters.
 SHORT = 32
 _NEVER = 1 << 60
