@@ -14,10 +14,35 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(n, "node", "left").select("node", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
+_PART = 33  # bits of a row's place in its partition in monotonically increasing ids
+
+
+def numbered(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
+    """df with a dense number from 0 in the given total order, without a window over all rows.
+
+    Rows are dealt by range and sorted within partitions; a row's number is its place there plus the rows of the partitions
+    before, of which there is one count each.
+    """
+    placed = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))
+    at = placed.withColumn("__p", F.shiftright("__m", _PART))
+    sizes = at.groupBy("__p").agg(F.count("*").alias("__n"))
+    w = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("__p", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
+    number = F.col("__before") + F.col("__m") - F.shiftleft(F.col("__p"), _PART)
+    return at.join(F.broadcast(before), "__p").select(*[F.col(c) for c in df.columns], number.alias(name))
+
+
 def csr(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, begin, end: the interval of each node in the edge list sorted by (src, dst) (GR1, GR3)."""
-    w = Window.orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return degrees(nodes, edges).withColumn("end", F.sum("degree").over(w)).select("node", (F.col("end") - F.col("degree")).alias("begin"), "end")
+    """node, begin, end: the interval of each node in the edge list sorted by (src, dst) (GR1, GR3).
+
+    Running sums within ranges of nodes, plus the sums of the ranges before.
+    """
+    d = settle(degrees(nodes, edges).repartitionByRange("node").sortWithinPartitions("node").withColumn("p", F.spark_partition_id()))
+    sums = d.groupBy("p").agg(F.sum("degree").alias("s"))
+    before = sums.select("p", F.coalesce(F.sum("s").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    w = Window.partitionBy("p").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = d.withColumn("upto", F.sum("degree").over(w)).join(F.broadcast(before), "p").withColumn("end", F.col("before") + F.col("upto"))
+    return out.select("node", (F.col("end") - F.col("degree")).alias("begin"), "end")
 
 
 def to_matrix(edges: DataFrame, ids: list) -> DataFrame:
@@ -32,7 +57,7 @@ def from_matrix(rows: DataFrame, ids: list) -> DataFrame:
 
 def with_reverse(edges: DataFrame) -> DataFrame:
     """edge_id, src, dst, reverse_id (JN10); ids number the edges by (src, dst)."""
-    e = edges.select("src", "dst", F.row_number().over(Window.orderBy("src", "dst")).cast("long").alias("edge_id"))
+    e = settle(numbered(edges.select("src", "dst"), "src", "dst").select("src", "dst", (F.col("number") + 1).alias("edge_id")))
     r = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("edge_id").alias("reverse_id"))
     return e.join(r, ["src", "dst"], "left").select("edge_id", "src", "dst", "reverse_id")
 
@@ -56,8 +81,8 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
         moved = new.filter("next <> label").limit(1).count()
         now = new.select("node", F.col("next").alias("label"))
         if not moved:
-            break
-    return now
+            return now
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def bfs_levels(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None, limit: int | None = None) -> DataFrame:
@@ -118,9 +143,17 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 1000) ->
         if not front.limit(1).count():
             break
         best = settle(best.join(front.select("source", "node"), ["source", "node"], "left_anti").unionByName(front))
+    else:
+        raise RuntimeError(f"paths did not settle in {rounds} rounds")
     return best
 
 
+def stars(groups: DataFrame) -> DataFrame:
+    """a, b: each member of a group (group, node) with the group's smallest node, so a group of any size costs a row per member."""
+    low = groups.groupBy("group").agg(F.min("node").alias("a"))
+    return groups.join(low, "group").filter("node <> a").select("a", F.col("node").alias("b"))
+
+
 def latent_edges(word_pairs: DataFrame, knn: DataFrame) -> DataFrame:
     """a, b, weight: similar-word pairs weigh 0 unless a nearest-neighbour edge gives the pair a weight (GR13)."""
     u = word_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0.0).alias("weight"), F.lit(0).alias("rank"))

@@ -1,4 +1,4 @@
-"""Poses of parts: local frames, exact triangle tests, rigid alignment, repair of relative poses."""
+"""Poses of parts: local frames, exact triangle tests, rigid alignment."""
 
 from __future__ import annotations
 
@@ -6,42 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: One minus the cosine of ten degrees: turns below it need no repair.
-TURN = 0.015192
-
-
-def local_frame(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Centre and axes (rows) of a part's points: towards the farthest point, then towards the one farthest from that line.
-
-    Points within a thousandth of the farthest are averaged; the frame is right-handed.
-    """
-    c = p.mean(0)
-    q = p - c
-    r = np.linalg.norm(q, axis=1)
-    if r.max() < 1e-12:
-        return c, np.eye(3)
-    # of two opposite directions the one that points up along the first axis where they differ is taken
-    tie = q[r >= r.max() * 0.999]
-    lead = tie[np.lexsort(np.round(tie, 9).T[::-1])[-1]]
-    x = lead / np.linalg.norm(lead)
-    off = q - np.outer(q @ x, x)
-    s = np.linalg.norm(off, axis=1)
-    if s.max() < 1e-9:
-        y = np.linalg.svd(x[None])[2][1]
-    else:
-        tie = off[s >= s.max() * 0.999]
-        y = tie[np.lexsort(np.round(tie, 9).T[::-1])[-1]]
-    y = y / np.linalg.norm(y)
-    return c, np.array([x, y, np.cross(x, y)])
-
-
-def quaternion(axes: np.ndarray) -> np.ndarray:
-    """(x, y, z, w) of a rotation matrix, w not negative."""
-    m = axes.T
-    k = np.array([[m[0, 0] - m[1, 1] - m[2, 2], 0, 0, 0], [m[0, 1] + m[1, 0], m[1, 1] - m[0, 0] - m[2, 2], 0, 0], [m[0, 2] + m[2, 0], m[1, 2] + m[2, 1], m[2, 2] - m[0, 0] - m[1, 1], 0], [m[2, 1] - m[1, 2], m[0, 2] - m[2, 0], m[1, 0] - m[0, 1], np.trace(m)]]) / 3
-    w, v = np.linalg.eigh(k)
-    q = v[:, np.argmax(w)]
-    return -q if q[3] < 0 else q
+from meshloom.functions.frames import kabsch, local_frame, quaternion, triangles_meet
 
 
 def local_frames(points: DataFrame) -> DataFrame:
@@ -63,24 +28,6 @@ def local_frames(points: DataFrame) -> DataFrame:
     return points.groupBy("scene").applyInPandas(run, f"scene {kind}, oid long, cx double, cy double, cz double, qx double, qy double, qz double, qw double")
 
 
-def triangles_meet(a: np.ndarray, b: np.ndarray, eps: float = 1e-9) -> np.ndarray:
-    """Whether triangles a[i] and b[i] meet (arrays of n x 3 corners x 3): no axis separates them (MA22).
-
-    Candidate axes are both normals, the nine products of edges, and for coplanar pairs the in-plane edge normals; touching
-    counts as meeting.
-    """
-    ea, eb = np.roll(a, -1, 1) - a, np.roll(b, -1, 1) - b
-    na, nb = np.cross(ea[:, 0], ea[:, 1]), np.cross(eb[:, 0], eb[:, 1])
-    axes = [na, nb] + [np.cross(ea[:, i], eb[:, j]) for i in range(3) for j in range(3)] + [np.cross(na, ea[:, i]) for i in range(3)] + [np.cross(nb, eb[:, i]) for i in range(3)]
-    apart = np.zeros(len(a), bool)
-    for d in axes:
-        n = np.linalg.norm(d, axis=1, keepdims=True)
-        d = np.where(n > 1e-12, d / np.maximum(n, 1e-12), 0)
-        pa, pb = np.einsum("nij,nj->ni", a, d), np.einsum("nij,nj->ni", b, d)
-        apart |= (n[:, 0] > 1e-12) & ((pa.max(1) < pb.min(1) - eps) | (pb.max(1) < pa.min(1) - eps))
-    return ~apart
-
-
 def exact_pairs(faces: DataFrame, cell: float = 1.0) -> DataFrame:
     """scene, a, b: parts of which some triangles meet (JN7). faces: scene, oid, fid, c: array of nine coordinates.
 
@@ -108,45 +55,20 @@ def exact_pairs(faces: DataFrame, cell: float = 1.0) -> DataFrame:
     return pairs.mapInPandas(run, f"scene {kind}, a long, b long").distinct()
 
 
-def kabsch(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Rotation and translation that take p nearest to q, and the largest residue."""
-    cp, cq = p.mean(0), q.mean(0)
-    u, _, vt = np.linalg.svd((p - cp).T @ (q - cq))
-    d = np.sign(np.linalg.det(vt.T @ u.T)) or 1.0
-    r = vt.T @ np.diag([1, 1, d]) @ u.T
-    t = cq - r @ cp
-    return r, t, float(np.linalg.norm(p @ r.T + t - q, axis=1).max())
-
-
 def rigid_align(matches: DataFrame, limit: float = 0.05) -> DataFrame:
     """sample, n, ok, residue and quaternion and translation of each sample's matched points (TK11).
 
-    matches: sample, px..pz, qx..qz. A sample's few points are one group; ok if the residue is under limit of their extent.
+    matches: sample, px..pz, qx..qz. A sample's few points are one group; ok if the fit is a turn, not a mirror image, and the
+    residue is under limit of their extent.
     """
 
     def run(pdf):
         import pandas as pd
 
         p, q = (pdf[[f"{s}{a}" for a in "xyz"]].to_numpy(float) for s in "pq")
-        r, t, res = kabsch(p, q)
+        r, t, res, det = kabsch(p, q)
         size = float(np.linalg.norm(p.max(0) - p.min(0)))
-        return pd.DataFrame([[pdf["sample"].iloc[0], len(p), res <= limit * max(size, 1e-9), res, *quaternion(r.T), *t]], columns=["sample", "n", "ok", "residue", "qx", "qy", "qz", "qw", "tx", "ty", "tz"])
+        turn = abs(det - 1) <= 0.01
+        return pd.DataFrame([[pdf["sample"].iloc[0], len(p), turn and res <= limit * max(size, 1e-9), res, *(quaternion(r.T) if turn else [0.0, 0.0, 0.0, 1.0]), *t]], columns=["sample", "n", "ok", "residue", "qx", "qy", "qz", "qw", "tx", "ty", "tz"])
 
     return matches.groupBy("sample").applyInPandas(run, "sample long, n long, ok boolean, residue double, qx double, qy double, qz double, qw double, tx double, ty double, tz double")
-
-
-def repair(poses: DataFrame, exemplars: DataFrame, tolerance: float = 0.05, rounds: int = 64) -> DataFrame:
-    """poses with x, y, z moved a quarter of the way to the best exemplar per round until within tolerance (PO7, PO8).
-
-    After r rounds the rest of the way is 0.75 ** r of the first, so the rounds needed are a closed form; status is 0 where
-    the pose is or comes within tolerance, 1 where no exemplar of the type pair exists, 2 where rounds don't suffice.
-    """
-    e = exemplars.select("src_type", "dst_type", *[F.col(a).alias(f"e{a}") for a in "xyz"]).distinct()
-    d = F.sqrt(sum((F.pow(F.col(a) - F.col(f"e{a}"), F.lit(2.0)) for a in "yz"), F.pow(F.col("x") - F.col("ex"), F.lit(2.0))))
-    best = poses.join(e, ["src_type", "dst_type"], "left").withColumn("d", d)
-    best = best.groupBy("src", "dst", "x", "y", "z").agg(F.min(F.struct("d", "ex", "ey", "ez")).alias("m"))
-    need = F.when(F.col("m.d") <= tolerance, 0).otherwise(F.ceil(F.log(F.lit(tolerance) / F.col("m.d")) / np.log(0.75)))
-    best = best.withColumn("need", F.least(need, F.lit(rounds)).cast("int")).withColumn("rest", F.pow(F.lit(0.75), F.col("need")))
-    moved = {a: F.when(F.col("m.d").isNull(), F.col(a)).otherwise(F.col(f"m.e{a}") + (F.col(a) - F.col(f"m.e{a}")) * F.col("rest")) for a in "xyz"}
-    status = F.when(F.col("m.d").isNull(), 1).when(F.col("m.d") * F.col("rest") <= tolerance * 1.000001, 0).otherwise(2)
-    return best.select("src", "dst", *[c.alias(a) for a, c in moved.items()], F.coalesce("need", F.lit(0)).alias("rounds"), status.alias("status"))

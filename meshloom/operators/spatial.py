@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import graph
+
 AXES = ("x", "y", "z")
 
 
@@ -92,19 +95,90 @@ def pairwise_distance(nodes: DataFrame, scene: str = "scene") -> DataFrame:
 
 
 def overlap_anti_join(b: DataFrame, a: DataFrame, share: float = 0.125 * 0.25) -> DataFrame:
-    """Objects of b without an object of a of the same type whose centre lies within share * size (JN4)."""
-    near = (F.col("b_type") == F.col("a_type")) & (gap("b_", "a_") < F.col("b_size") * F.lit(share))
-    out = prefixed(b, "b_").join(prefixed(a, "a_"), near, "left_anti")
-    return out.select(*[F.col(f"b_{c}").alias(c) for c in b.columns])
+    """Objects of b without an object of a of the same type whose centre lies within share * size (JN4).
 
+    b's objects look into the cells of a grid around their centre and a's lie in one each, so only near objects meet. A
+    cell is as wide as the largest reach, the type is part of the key.
+    """
+    reach = b.agg(F.max(F.col("size") * F.lit(share))).first()[0] or 0.0
+    if not reach:
+        return b
+    cell = lambda c: F.floor(F.col(c) / F.lit(reach)).cast("long")
+    at = prefixed(a, "a_").select("a_type", "a_cx", "a_cy", "a_cz", *[cell(f"a_c{x}").alias(f"g{x}") for x in AXES])
+    ask = prefixed(b, "b_")
+    for x in AXES:
+        ask = ask.withColumn(f"g{x}", F.explode(F.array(*[cell(f"b_c{x}") + d for d in (-1, 0, 1)])))
+    near = ask.join(at, [f"g{x}" for x in AXES]).filter((F.col("b_type") == F.col("a_type")) & (gap("b_", "a_") < F.col("b_size") * F.lit(share)))
+    return b.join(near.select(F.col("b_oid").alias("oid")).distinct(), "oid", "left_anti").select(b.columns)
+
+
+#: Members of a cell that one group pairs; the cells of more are dealt into blocks that meet two by two.
+CELL_BLOCK = 1024
 
-def merge_scenes(a: DataFrame, b: DataFrame, share: float = 0.125 * 0.25) -> DataFrame:
-    """a's objects and those of b that overlap none, with new dense ids: part (0 or 1), oid, new_id (PR11, PR12).
 
-    Dense ids come from a global order over objects, one row each.
+def shared_cells(members: DataFrame) -> DataFrame:
+    """a, b, shared: pairs a < b of distinct (cell, oid) members with the number of cells they share (JN6, JN8).
+
+    A hot cell is dealt into blocks of CELL_BLOCK members, every two blocks a group, so no task pairs more than two blocks at
+    a time; pairs are counted within a task before they are shuffled.
     """
+    n = members.groupBy("cell").agg(F.ceil(F.count("*") / CELL_BLOCK).alias("blocks")).filter("blocks >= 1")
+    m = members.join(n, "cell").withColumn("own", F.pmod(F.xxhash64("oid"), F.col("blocks")))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    lo, hi = F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
+    m = m.select(F.xxhash64("cell", lo, hi).alias("grp"), (F.col("own") == lo).alias("first"), (lo == hi).alias("same"), "oid")
+
+    def run(it):
+        import pyarrow as pa
+
+        def total(held):
+            a, b, c = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((b, a))
+            a, b, c = a[order], b[order], c[order]
+            at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            return a[at], b[at], np.add.reduceat(c, at)
+
+        def pairs(first, oid, same):
+            x, y = (oid, oid) if same else (oid[first], oid[~first])
+            a, b = np.repeat(x, len(y)), np.tile(y, len(x))
+            if same:
+                keep = a < b
+                return a[keep], b[keep]
+            return np.minimum(a, b), np.maximum(a, b)
+
+        held, size, rest = [], 0, None
+        for rb in it:
+            cols = [c.to_numpy(zero_copy_only=False) for c in rb.columns]
+            if rest is not None:
+                cols = [np.concatenate(x) for x in zip(rest, cols)]
+            g = cols[0]
+            edge = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist()]
+            for lo, hi in zip(edge, edge[1:]):
+                a, b = pairs(cols[1][lo:hi], cols[3][lo:hi], cols[2][lo])
+                held.append((a, b, np.ones(len(a), np.int64)))
+                size += len(a)
+                if size > 4_000_000:
+                    held = [total(held)]
+                    if len(held[0][0]) > 2_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["a", "b", "shared"])
+                        held = []
+                    size = len(held[0][0]) if held else 0
+            rest = [c[edge[-1] :] for c in cols] if len(g) else rest
+        if rest is not None and len(rest[0]):
+            a, b = pairs(rest[1], rest[3], rest[2][0])
+            held.append((a, b, np.ones(len(a), np.int64)))
+        if held and sum(len(x[0]) for x in held):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in total(held)], ["a", "b", "shared"])
+
+    kind = members.schema["oid"].dataType.simpleString()
+    found = m.withColumn("oid", F.col("oid").cast("long")).repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long, shared long")
+    return found.groupBy("a", "b").agg(F.sum("shared").alias("shared")).select(F.col("a").cast(kind), F.col("b").cast(kind), "shared")
+
+
+def merge_scenes(a: DataFrame, b: DataFrame, share: float = 0.125 * 0.25) -> DataFrame:
+    """a's objects and those of b that overlap none, with new dense ids: part (0 or 1), oid, new_id (PR10, PR11)."""
     u = a.withColumn("part", F.lit(0)).unionByName(overlap_anti_join(b, a, share).withColumn("part", F.lit(1)))
-    return u.withColumn("new_id", F.row_number().over(Window.orderBy("part", "oid")).cast("long") - 1)
+    return graph.numbered(u, "part", "oid", name="new_id")
 
 
 def translate_objects(points: DataFrame, ids: Column, t: tuple[float, float, float]) -> DataFrame:

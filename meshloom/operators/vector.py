@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .lineage import settle
 
-#: Query vectors broadcast at a time.
-BLOCK = 4096
+#: Query vectors and candidates that meet in one group.
+BLOCK, RANGE = 8192, 65_536
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -18,49 +18,78 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def knn(vectors: DataFrame, k: int, include_self: bool = False, block: int = BLOCK) -> DataFrame:
-    """a, b, rank, d: the k nearest of each vector by (distance, id) (TK1). vectors(id, v), all of one length.
+def nearest(q: np.ndarray, c: np.ndarray, c_id: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each row of q the ids and distances of the k nearest rows of c by (distance, id).
 
-    Queries go in blocks of bounded size that are broadcast; each task holds one batch of candidates at a time and keeps
-    k per query, and a grouped rank merges the tasks.
+    A matrix product gives squared distances up to a bounded rounding error; every candidate within that bound of the k-th
+    is measured directly, so ties and cancellation lose none.
     """
-    spark = vectors.sparkSession
-    rows = settle(vectors.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).filter("v IS NOT NULL"))
-    blocks = max(1, -(-rows.count() * 5 // (block * 4)))
-    out = None
-    for i in range(blocks):
-        got = rows.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toArrow().combine_chunks()
-        if not got.num_rows:
-            continue
-        shared = spark.sparkContext.broadcast((got["id"].to_numpy(), _matrix(got["v"].chunk(0))))
-
-        def run(it, shared=shared):
-            q_id, q = shared.value
-            for rb in it:
-                if not rb.num_rows:
+    out = []
+    n_q, n_c = (q**2).sum(1), (c**2).sum(1)
+    near = n_q[:, None] + n_c[None] - 2 * q @ c.T
+    # rounding of the sums and the product, with room to spare
+    slack = 8 * (q.shape[1] + 4) * np.finfo(float).eps * (n_q + n_c.max(initial=0.0))
+    for r in range(len(q)):
+        at = np.arange(len(c_id))
+        if len(at) > k:
+            edge = np.partition(near[r], k - 1)[k - 1] if k else 0.0
+            at = np.flatnonzero(near[r] <= edge + 2 * slack[r])
+        d = np.sqrt(((c[at] - q[r]) ** 2).sum(1))
+        order = np.lexsort((c_id[at], d))[:k]
+        out.append((c_id[at][order], d[order]))
+    return out
+
+
+def _nearest_groups(k: int, include_self: bool):
+    """Rows sorted by group, queries first -> each query's k nearest candidates of the group and of one batch."""
+
+    def run(it):
+        now, q_id, q, held = None, [], np.zeros((0, 0)), []
+        for rb in it:
+            group, side = (rb.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            edge = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (side[1:] != side[:-1])])) if len(group) else []
+            for lo, hi in zip(edge, [*edge[1:], len(group)]):
+                part = rb.slice(lo, hi - lo)
+                if group[lo] != now:
+                    now, q_id, held = group[lo], [], []
+                if side[lo] == 0:
+                    q_id += part.column(2).to_numpy().tolist()
+                    held.append(_matrix(part.column(3)))
                     continue
-                c_id, c = rb.column(0).to_numpy(), _matrix(rb.column(1))
+                if held and len(held) > 1 or len(held) == 1 and held[0] is not q:
+                    q = np.concatenate(held)
+                    held = [q]
+                c_id, c = part.column(2).to_numpy(), _matrix(part.column(3))
                 cols: list[list] = [[], [], []]
-                for lo in range(0, len(q), 256):
-                    part = q[lo : lo + 256]
-                    near = (part**2).sum(1)[:, None] + (c**2).sum(1)[None] - 2 * part @ c.T
-                    keep = min(len(c_id), k + 8)
-                    at = np.argpartition(near, keep - 1, axis=1)[:, :keep]
-                    for r in range(len(part)):
-                        # the few candidates left are measured directly, without cancellation
-                        d = np.sqrt(((c[at[r]] - part[r]) ** 2).sum(1))
-                        ids = c_id[at[r]]
-                        ok = np.ones(len(ids), bool) if include_self else ids != q_id[lo + r]
-                        order = np.lexsort((ids[ok], d[ok]))[:k]
-                        cols[0].append(np.full(len(order), q_id[lo + r])), cols[1].append(ids[ok][order]), cols[2].append(d[ok][order])
-                a, b, d = (np.concatenate(x) for x in cols)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float64())], ["a", "b", "d"])
-
-        found = rows.mapInArrow(run, "a long, b long, d double")
-        found = found.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("d", "b")).cast("long")).filter(F.col("rank") <= k)
-        found = settle(found) if blocks > 1 else found
-        out = found if out is None else out.unionByName(found)
-    return out.select("a", "b", "rank", "d") if out is not None else spark.createDataFrame([], "a long, b long, rank long, d double")
+                for a in range(0, len(q_id), 256):
+                    for i, (ids, d) in zip(q_id[a : a + 256], nearest(q[a : a + 256], c, c_id, k + (not include_self))):
+                        ok = np.ones(len(ids), bool) if include_self else ids != i
+                        ids, d = ids[ok][:k], d[ok][:k]
+                        cols[0].append(np.full(len(ids), i)), cols[1].append(ids), cols[2].append(d)
+                if cols[0]:
+                    a, b, d = (np.concatenate(x) for x in cols)
+                    yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(d.astype(float))], ["a", "b", "d"])
+
+    return run
+
+
+def knn(vectors: DataFrame, k: int, include_self: bool = False, block: int = BLOCK, span: int = RANGE) -> DataFrame:
+    """a, b, rank, d: the k nearest of each vector by (distance, id) (TK1). vectors(id, v), all of one length, ids distinct.
+
+    Queries are dealt into blocks and candidates into ranges; every block meets every range in one group of one job, whose
+    tasks hold a block and one batch, and a grouped rank merges what they keep. Nothing is gathered or broadcast.
+    """
+    rows = settle(vectors.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).filter("v IS NOT NULL"))
+    n = rows.count()
+    blocks, ranges = max(1, -(-n // block)), max(1, -(-n // span))
+    deal = lambda salt, m: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(m)).cast("long")
+    each = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    q = rows.withColumn("b", deal("query", blocks)).withColumn("r", each(ranges)).withColumn("side", F.lit(0))
+    c = rows.withColumn("r", deal("candidate", ranges)).withColumn("b", each(blocks)).withColumn("side", F.lit(1))
+    both = q.unionByName(c).select((F.col("b") * ranges + F.col("r")).alias("grp"), "side", "id", "v")
+    found = both.repartition("grp").sortWithinPartitions("grp", "side").mapInArrow(_nearest_groups(k, include_self), "a long, b long, d double")
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("d", "b")).cast("long")).filter(F.col("rank") <= k)
+    return found.select("a", "b", "rank", "d")
 
 
 def euclid(a: Column, b: Column) -> Column:

@@ -239,7 +239,7 @@ def _categorised(spark, sf, odd):
 
 @query(_halves("SELECT category, reverse, EXISTS (SELECT 1 FROM te0 WHERE src_type || '>' || dst_type = category) AS found FROM (SELECT DISTINCT src_type || '>' || dst_type AS category, dst_type || '>' || src_type AS reverse FROM te1)"))
 def category_pair_exists(spark, sf):
-    """JN11, JN15."""
+    """JN11."""
     t, x = _categorised(spark, sf, 1), _categorised(spark, sf, 0)
     gone = category.missing_category_pairs(t, x).withColumn("found", F.lit(False))
     return t.select("category", "reverse").distinct().join(gone, ["category", "reverse"], "left").select("category", "reverse", F.coalesce("found", F.lit(True)).alias("found"))
@@ -247,7 +247,7 @@ def category_pair_exists(spark, sf):
 
 @query(_halves("SELECT x.category, c.src, c.dst FROM (SELECT DISTINCT src_type || '>' || dst_type AS category FROM te1) x LEFT JOIN (SELECT src_type || '>' || dst_type AS category, src, dst, row_number() OVER (PARTITION BY src_type || '>' || dst_type ORDER BY md5(src || ':' || dst), src, dst) AS r FROM te0) c ON c.category = x.category AND c.r = 1"))
 def edge_by_category(spark, sf):
-    """JN12, JN13, JN14: for each category of the target a hashed pick of the examples' edges."""
+    """JN12, JN13: for each category of the target a hashed pick of the examples' edges."""
     x = _categorised(spark, sf, 0)
     pick = x.groupBy("category").agg(F.min(F.struct(F.md5(F.concat_ws(":", "src", "dst")).alias("h"), "src", "dst")).alias("m")).select("category", "m.src", "m.dst")
     return _categorised(spark, sf, 1).select("category").distinct().join(pick, "category", "left")
@@ -308,8 +308,7 @@ def grid_pairs(spark, sf):
     """JN6, JN8: pairs of suppliers by the grid cells they share."""
     p = P.points(spark, sf)
     cell = F.floor(F.col("x") / 5) + 100 * F.floor(F.col("y") / 5) + 10000 * F.floor(F.col("z") / 4)
-    m = p.select("oid", cell.alias("cell")).distinct()
-    return m.select("cell", F.col("oid").alias("a")).join(m.select("cell", F.col("oid").alias("b")), "cell").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return spatial.shared_cells(p.select("oid", cell.alias("cell")).distinct())
 
 
 @query(f"WITH {SUPPLIERS}, {POINTS}, {STATS} SELECT x.scene, x.oid AS a, y.oid AS b, round(sqrt((p.cx - q.cx) * (p.cx - q.cx) + (p.cy - q.cy) * (p.cy - q.cy) + (p.cz - q.cz) * (p.cz - q.cz)), 6) AS d FROM t x JOIN t y ON x.scene = y.scene AND x.oid <> y.oid JOIN st p ON p.oid = x.oid JOIN st q ON q.oid = y.oid")
@@ -335,7 +334,7 @@ def overlap_anti_join(spark, sf):
 
 @query(f"WITH {_HALF(0, 0)}, {_HALF(1, 1)}, {_ANTI}, u AS (SELECT 0 AS part, oid FROM h0 UNION ALL SELECT 1, oid FROM kp) SELECT part, oid, row_number() OVER (ORDER BY part, oid) - 1 AS new_id FROM u")
 def merge_scenes(spark, sf):
-    """PR10, PR11, PR12, ST1."""
+    """PR10, PR11 (ids), ST1."""
     return spatial.merge_scenes(_half_stats(spark, sf, 0), _half_stats(spark, sf, 1)).select("part", "oid", "new_id")
 
 
@@ -376,7 +375,7 @@ _POSES = f"{SUPPLIERS}, {EDGES}, {POINTS}, {STATS}, ps AS (SELECT src, dst, ta.t
 
 @query(f"WITH {_POSES} SELECT src, dst, src_type, dst_type, {ROUND('x', 'y', 'z', 'rz', 'rw')} FROM po")
 def relative_pose(spark, sf):
-    """PO2, PO3, PO4, PO5, MA12, MA15."""
+    """PO2, PO3, PO4."""
     return rounded(_poses(spark, sf), "x", "y", "z", "rz", "rw").drop("size")
 
 
@@ -428,7 +427,7 @@ def encode_leaf_start(spark, sf):
 
 @query(f"WITH {WORDS}, c AS (SELECT scene, unnest(range(1, length(word) + 1)) AS p, word FROM w) SELECT scene, p AS child_pos, CAST(1 AS BIGINT) AS parent_pos FROM c WHERE p > 1 AND regexp_matches(substr(word, p, 1), '[A-Za-z]')")
 def decode_word_edges(spark, sf):
-    """WD7, GR14, WD14."""
+    """WD7, GR14."""
     return words.tree_edges(P.order_words(spark, sf))
 
 
@@ -559,18 +558,18 @@ def one_hot_sparse(spark, sf):
 
 @query(f"WITH {LINES} SELECT scene, rank AS node, instr('ANOR', ch) - 1 AS type_idx, round(rank / 40.0::DOUBLE, 6) AS offset FROM ln UNION ALL SELECT DISTINCT scene, CAST(0 AS BIGINT), instr('ANOR', 'O') - 1, CAST(0 AS DOUBLE) FROM ln")
 def graph_one_hot(spark, sf):
-    """EN3, WD11: node type index and scaled offset to the parent."""
+    """EN3: node type index and scaled offset to the parent."""
     ln = P.lines(spark, sf)
     idx = lambda c: (F.instr(F.lit("ANOR"), c) - 1).cast("long").alias("type_idx")
     own = ln.select("scene", F.col("rank").alias("node"), idx(F.col("ch")), F.round(F.col("rank") / 40.0, 6).alias("offset"))
     return own.unionByName(ln.select("scene").distinct().select("scene", F.lit(0).cast("long").alias("node"), idx(F.lit("O")), F.lit(0.0).alias("offset")))
 
 
-_PREFIX = f"{PARTS}, {EDGES}, {TYPED}, pc AS (SELECT src_type, dst_type, least(count(*), 5) AS n FROM te GROUP BY 1, 2), pf AS (SELECT src_type, dst_type, n, CAST(coalesce(sum(n) OVER (ORDER BY src_type, dst_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prefix FROM pc)"
+_PREFIX = f"{PARTS}, {EDGES}, {TYPED}, pc AS (SELECT src_type, dst_type, count(*) AS n FROM te GROUP BY 1, 2), pf AS (SELECT src_type, dst_type, n, CAST(coalesce(sum(n) OVER (ORDER BY src_type, dst_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prefix FROM pc)"
 
 
 def _prefix(spark, sf):
-    n = P.part_graph(spark, sf).groupBy("src_type", "dst_type").agg(F.least(F.count("*"), F.lit(5)).alias("n"))
+    n = P.part_graph(spark, sf).groupBy("src_type", "dst_type").agg(F.count("*").alias("n"))
     return category.category_prefix(n)
 
 
@@ -654,7 +653,7 @@ def meanshift_categories(spark, sf):
 
 @query("SELECT doc_id, CASE WHEN CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 4) AS INT) < 13107 THEN 'test' ELSE 'train' END AS split FROM documents")
 def train_test_split(spark, sf):
-    """EN6, IO22."""
+    """EN6."""
     return vector.hash_split(P.table(spark, sf, "documents"), "doc_id").select("doc_id", "split")
 
 
@@ -824,20 +823,24 @@ def path_stats(spark, sf):
     return _paths(spark, sf).agg(F.count("*").alias("n"), F.round(F.avg(F.round("dist", 6)), 3).alias("mean"), F.round(F.max(F.round("dist", 6)), 3).alias("longest"))
 
 
-@query(f"WITH {KNN}, x AS (SELECT least(a, b) AS a, greatest(a, b) AS b, d AS weight FROM k WHERE rank <= 2) SELECT a, b, round(max(weight), 6) AS weight FROM x GROUP BY a, b")
+_SAME = "sg AS (SELECT id, concat_ws('/', CAST(label AS VARCHAR), CASE WHEN v[1] > 0 THEN '+' ELSE '-' END, CASE WHEN v[2] > 0 THEN '+' ELSE '-' END) AS sig FROM v), st AS (SELECT min(id) OVER (PARTITION BY sig) AS a, id AS b FROM sg)"
+
+
+@query(f"WITH {KNN}, {_SAME}, x AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(d) AS w FROM k WHERE rank <= 2 GROUP BY 1, 2), u AS (SELECT a, b FROM x UNION SELECT a, b FROM st WHERE a <> b) SELECT u.a, u.b, round(coalesce(w, 0.0::DOUBLE), 6) AS weight FROM u LEFT JOIN x ON x.a = u.a AND x.b = u.b")
 def latent_graph(spark, sf):
-    """GR13: nearest-neighbour weights win over the zero weight of equal labels' pairs."""
-    k = vector.knn(P.vectors(spark, sf), 2)
-    same = k.select("a", "b")
-    return rounded(graph.latent_edges(same, k), "weight")
+    """GR13, AG5: vectors of equal signature (label and two signs) are joined with weight 0, unless they are nearest neighbours, whose distance wins."""
+    v = P.vectors(spark, sf)
+    sign = lambda i: F.when(F.col("v")[i] > 0, "+").otherwise("-")
+    same = graph.stars(v.select(F.concat_ws("/", F.col("label").cast("string"), sign(0), sign(1)).alias("group"), F.col("id").alias("node")))
+    return rounded(graph.latent_edges(same, vector.knn(v, 2)), "weight")
 
 
-@query(f"WITH f AS (SELECT l_partkey AS cell, l_suppkey AS oid FROM lineitem), t AS (SELECT s_suppkey AS oid, s_nationkey % 2 AS scene FROM supplier), {EDGES}, c AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS n, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM e), e2 AS (SELECT src, dst FROM c WHERE r <= 3 UNION SELECT dst, src FROM c WHERE r <= 3), sm AS (SELECT scene AS sample_id, oid AS node FROM t), br AS (SELECT s.sample_id, s.node, bool_or(o.node IS NULL) AS border FROM sm s JOIN e2 ON e2.src = s.node LEFT JOIN sm o ON o.sample_id = s.sample_id AND o.node = e2.dst GROUP BY 1, 2), fl AS (SELECT s.sample_id, s.node, coalesce(border, false) AS border FROM sm s LEFT JOIN br USING (sample_id, node)) SELECT f.sample_id, f.node, CASE WHEN f.border THEN 1 WHEN EXISTS (SELECT 1 FROM e2 JOIN fl g ON g.node = e2.dst AND g.sample_id = f.sample_id AND g.border WHERE e2.src = f.node) THEN 2 ELSE 0 END AS flag FROM fl f")
+@query(f"WITH f AS (SELECT l_partkey AS cell, l_suppkey AS oid FROM lineitem), t AS (SELECT s_suppkey AS oid, s_nationkey % 2 AS scene FROM supplier), {EDGES}, n AS (SELECT s_suppkey AS oid, s_nationkey AS nation FROM supplier), e2 AS (SELECT e.src, e.dst FROM e JOIN n a ON a.oid = e.src JOIN n b ON b.oid = e.dst AND abs(a.nation - b.nation) <= 1), sm AS (SELECT scene AS sample_id, oid AS node FROM t), br AS (SELECT s.sample_id, s.node, bool_or(o.node IS NULL) AS border FROM sm s JOIN e2 ON e2.src = s.node LEFT JOIN sm o ON o.sample_id = s.sample_id AND o.node = e2.dst GROUP BY 1, 2), fl AS (SELECT s.sample_id, s.node, coalesce(border, false) AS border FROM sm s LEFT JOIN br USING (sample_id, node)) SELECT f.sample_id, f.node, CASE WHEN f.border THEN 1 WHEN EXISTS (SELECT 1 FROM e2 JOIN fl g ON g.node = e2.dst AND g.sample_id = f.sample_id AND g.border WHERE e2.src = f.node) THEN 2 ELSE 0 END AS flag FROM fl f")
 def subgraph_border_flags(spark, sf):
-    """TK9: nations of even and odd number as two samples of a thinned supplier graph."""
+    """TK9: nations of even and odd number as two samples of the graph of suppliers that share a part, within neighbouring nations."""
     li = P.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("cell"), F.col("l_suppkey").alias("oid"))
-    e = spatial.symmetric(spatial.cell_pairs(li))
-    e = e.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).filter("r <= 3")
-    e = settle(e.select("src", "dst").union(e.select("dst", "src")).distinct())
+    n = P.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("src"), F.col("s_nationkey").alias("n"))
+    e = spatial.symmetric(spatial.cell_pairs(li)).join(n, "src").join(n.select(F.col("src").alias("dst"), F.col("n").alias("m")), "dst")
+    e = settle(e.filter("abs(n - m) <= 1").select("src", "dst"))
     s = P.table(spark, sf, "supplier").select((F.col("s_nationkey") % 2).alias("sample_id"), F.col("s_suppkey").alias("node"))
     return graph.border_flags(s, e)
