@@ -71,11 +71,6 @@ def rotate(q: Quat, v: Vec) -> Vec:
     return add(add(v, scaled(t, w)), cross(u, t))
 
 
-def normalised(q: Quat) -> Quat:
-    n = length(q)
-    return tuple(x / n for x in q)
-
-
 def is_identity(q: Quat, eps: float = 1e-6) -> Column:
     return F.abs(F.abs(q[3]) - 1) < eps
 
@@ -86,6 +81,38 @@ def matrix(q: Quat) -> tuple[Vec, Vec, Vec]:
     return rotate(q, (one, zero, zero)), rotate(q, (zero, one, zero)), rotate(q, (zero, zero, one))
 
 
+def snapped_matrix(q: Quat, eps: float = 1e-9) -> tuple[Vec, Vec, Vec]:
+    """matrix with entries within eps of -1, 0 and 1 set to these."""
+
+    def snap(x: Column) -> Column:
+        near = F.round(x)
+        return F.when(F.abs(x - near) < eps, near + F.lit(0.0)).otherwise(x)
+
+    return tuple(tuple(snap(x) for x in c) for c in matrix(q))
+
+
+def tangent(n: Vec) -> Vec:
+    """A unit vector at right angles to the unit vector n: the cross product with the axis that n leans on least. With n and
+    cross(n, tangent) it makes a frame."""
+    ax, ay, az = (F.abs(x) for x in n)
+    one, zero = F.lit(1.0), F.lit(0.0)
+    pick = lambda c: F.when(c, one).otherwise(zero)
+    x = (ax <= ay) & (ax <= az)
+    y = ~x & (ay <= az)
+    return unit(cross(n, (pick(x), pick(y), pick(~x & ~y))))
+
+
+def clip(origin: Vec, along: Vec, lo: Vec, hi: Vec) -> tuple[Column, Column]:
+    """Whether a ray meets a box, and where it enters, in lengths of `along` (0 where it begins inside; null where it misses).
+    `along` must have no zero component."""
+    first = [(a - o) / d for a, o, d in zip(lo, origin, along)]
+    last = [(b - o) / d for b, o, d in zip(hi, origin, along)]
+    enters = F.greatest(*[F.least(a, b) for a, b in zip(first, last)])
+    leaves = F.least(*[F.greatest(a, b) for a, b in zip(first, last)])
+    hit = (enters <= leaves) & (leaves >= 0)
+    return hit, F.when(hit, F.greatest(enters, F.lit(0.0)))
+
+
 def from_matrix(c0: Vec, c1: Vec, c2: Vec) -> Quat:
     """Unit quaternion of a rotation given by its columns; branches on the largest of trace and diagonal."""
     (a, d, g), (b, e, h), (c, f, i) = c0, c1, c2

@@ -106,3 +106,29 @@ def mask(lo, hi, total: int):
 def missing_category_pairs(target: DataFrame, examples: DataFrame) -> DataFrame:
     """(category, reverse) pairs of the target that no example holds (JN11)."""
     return target.select("category", "reverse").distinct().join(examples.select("category", "reverse").distinct(), ["category", "reverse"], "left_anti")
+
+
+def with_reverse_category(edges: DataFrame) -> DataFrame:
+    """edges(src, dst, category) with reverse, the category of the edge back (JN15)."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("category").alias("reverse"))
+    return edges.join(back, ["src", "dst"], "left")
+
+
+def corresponding_edges(wanted: DataFrame, examples: DataFrame) -> DataFrame:
+    """category, reverse, src, dst, tier: for each wanted pair of categories a hashed example edge with both (tier 0), else one
+    with the first only (1), else none (JN12). Example edges hold both directions, so an edge the other way round is one too."""
+    h = F.struct(F.md5(F.concat_ws(":", "src", "dst")).alias("h"), "src", "dst")
+    both = examples.groupBy("category", "reverse").agg(F.min(h).alias("both"))
+    # the best edge of a category whose reverse differs: the best of all pairs of the category but the wanted one
+    rest = both.select("category", F.col("reverse").alias("other"), F.col("both").alias("m"))
+    one = wanted.join(rest, "category").filter("other <> reverse").groupBy("category", "reverse").agg(F.min("m").alias("one"))
+    out = wanted.join(both, ["category", "reverse"], "left").join(one, ["category", "reverse"], "left")
+    pick = F.coalesce("both", "one")
+    tier = F.when(F.col("both").isNotNull(), 0).when(F.col("one").isNotNull(), 1).cast("long")
+    return out.select("category", "reverse", pick["src"].alias("src"), pick["dst"].alias("dst"), tier.alias("tier"))
+
+
+def types_beyond(edges: DataFrame) -> DataFrame:
+    """category, kind, there: the type at the far end of the first edge of a category whose near end has a type (JN14).
+    edges: category, kind, to, src, dst, both directions."""
+    return edges.groupBy("category", "kind").agg(F.min_by("to", F.struct("src", "dst")).alias("there"))

@@ -40,6 +40,11 @@ def grid_resolution(bounds: DataFrame, n_faces: int, exact: bool = True, thresho
     return bounds.select("*", *[F.greatest(F.floor(res[a]), F.lit(1)).cast("long").alias(f"r{a}") for a in AXES])
 
 
+def sane(scenes: DataFrame) -> DataFrame:
+    """Scenes that hold vertices, faces and objects and more than one material (PR8). scenes: n_vertices, n_faces, n_objects, n_materials."""
+    return scenes.filter("n_vertices > 0 AND n_faces > 0 AND n_objects > 0 AND n_materials > 1")
+
+
 def cell_of(value: Column, lo: Column, hi: Column, res: Column) -> Column:
     """Cell index along one axis, clamped to the grid (MA21)."""
     at = F.floor((value - lo) / F.greatest(hi - lo, F.lit(1e-6)) * res)
@@ -55,6 +60,49 @@ def fragments(boxes: DataFrame, grid: DataFrame) -> DataFrame:
     return b.select("oid", (F.col("ix") + F.col("iy") * F.col("rx") + F.col("iz") * F.col("rx") * F.col("ry")).alias("cell"))
 
 
+def meets_cells(tri: np.ndarray, centre: np.ndarray, half: np.ndarray, slack: float = 0.01) -> np.ndarray:
+    """Whether triangles tri[i] (n x 3 x 3) meet the boxes around centre[i] (n x 3) of half-widths half (MA23).
+
+    Boxes are taken a hundredth larger. A triangle and a box are apart if they are along a box axis, the triangle's normal or
+    a cross product of an edge and an axis.
+    """
+    h = half * (1 + slack)
+    v = tri - centre[:, None]
+    edge = np.roll(v, -1, 1) - v
+    axes = [np.broadcast_to(e, centre.shape) for e in np.eye(3)] + [np.cross(edge[:, 0], edge[:, 1])]
+    axes += [np.cross(edge[:, i], e) for i in range(3) for e in np.eye(3)]
+    apart = np.zeros(len(tri), bool)
+    for a in axes:
+        p = np.einsum("nij,nj->ni", v, a)
+        r = np.abs(a) @ h
+        apart |= (p.min(1) > r) | (p.max(1) < -r)
+    return ~apart
+
+
+def triangle_cells(faces: DataFrame, cell: tuple[float, float, float], origin: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """scene, oid, fid, ix, iy, iz: every grid cell that a triangle meets (JN1). faces: scene, oid, fid, c (nine coordinates).
+
+    The cells of a triangle's box are candidates, generated in built-in functions; batches of them are tested by separating
+    axes.
+    """
+    at = lambda i, g: g(*[F.col("c")[3 * k + i] for k in range(3)])
+    f = faces.select("scene", "oid", "fid", "c")
+    for i, a in enumerate(AXES):
+        # a hundredth of a cell more on either side, as cells are taken that much larger
+        lo, hi = (F.floor((at(i, g) - origin[i]) / cell[i] + d).cast("long") for g, d in ((F.least, -0.005), (F.greatest, 0.005)))
+        f = f.withColumn(f"i{a}", F.explode(F.sequence(lo, hi)))
+
+    def run(it):
+        for pdf in it:
+            if len(pdf):
+                tri = np.array(pdf["c"].tolist(), float).reshape(-1, 3, 3)
+                centre = (pdf[["ix", "iy", "iz"]].to_numpy(float) + 0.5) * np.array(cell) + np.array(origin)
+                yield pdf.loc[meets_cells(tri, centre, np.array(cell) / 2), ["scene", "oid", "fid", "ix", "iy", "iz"]]
+
+    kind = faces.schema["scene"].dataType.simpleString()
+    return f.mapInPandas(run, f"scene {kind}, oid long, fid long, ix long, iy long, iz long")
+
+
 def prune_cells(frags: DataFrame) -> DataFrame:
     """cell, n_prims, n_objects of cells that can give a pair (JN5)."""
     return frags.groupBy("cell").agg(F.count("*").alias("n_prims"), F.countDistinct("oid").alias("n_objects")).filter("n_objects > 1")

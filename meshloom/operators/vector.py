@@ -127,6 +127,16 @@ def interpolate(vectors: DataFrame, pairs: DataFrame, steps: list[float], noise:
     return p.select("pair", "k", mixed.alias("v"))
 
 
+def prior_sample(spark, n: int, dim: int, seed: int = 1) -> DataFrame:
+    """id, v: n vectors of independent standard normal components, the same ones for a seed (TK5).
+
+    Each pair of hashed uniform numbers gives a normal one by the polar form of Box and Muller.
+    """
+    u = lambda salt, i: (F.pmod(F.xxhash64("id", i, F.lit(salt), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    normal = lambda i: F.sqrt(-2 * F.log(u(1, i))) * F.cos(2 * np.pi * u(2, i))
+    return spark.range(n).select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), normal).alias("v"))
+
+
 def hashed_rank(key: Column, seed: str = "") -> Column:
     """The order that samples follow: md5 of seed and key."""
     return F.md5(F.concat(F.lit(seed), key.cast("string")))

@@ -155,3 +155,10 @@ def mutate_words(words: DataFrame, seed: int = 1, key: str = "scene", double: st
 def padded(word: Column, n: int) -> Column:
     """The word's characters, filled with blanks to n (EN1)."""
     return characters(F.rpad(word, n, " "))
+
+
+def decode_one_hot(rows: DataFrame, charset: str, length: int) -> DataFrame:
+    """scene, node, parent, ch of rows(scene, node, one, offset): the type by the largest entry of one, the parent by the offset
+    scaled by length (WD11)."""
+    ch = F.substring(F.lit(charset), F.array_position("one", F.array_max("one")).cast("int"), F.lit(1))
+    return rows.select("scene", "node", (F.col("node") - F.round(F.col("offset") * length)).cast("long").alias("parent"), ch.alias("ch"))

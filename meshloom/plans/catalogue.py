@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from meshloom.plans import generative, meshes  # noqa: F401  they register theirs on import
+    from meshloom.plans import details, generative, meshes  # noqa: F401  they register theirs on import
 
     return dict(_QUERIES)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: One row per element. Vertices, normals and materials hold x, y, z; faces hold corner indexes from 0, -1 where absent.
@@ -15,7 +15,12 @@ DEFAULT = "Default"
 def read_text(spark: SparkSession, path: str, glob: str = "*.obj") -> DataFrame:
     """scene, text of every file under path but exported collision graphs (IO17)."""
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
-    return files.select(F.col("_metadata.file_path").alias("scene"), F.col("value").alias("text")).filter("NOT scene LIKE '%_coll_graph.obj'")
+    return files.select(F.col("_metadata.file_path").alias("scene"), F.col("value").alias("text")).filter(~F.col("scene").like("%\\_coll\\_graph.obj"))
+
+
+def dirname(path: Column) -> Column:
+    """The folder of a path, empty where it has none (MA25)."""
+    return F.regexp_extract(path, r"^(.*)[/\\\\]", 1)
 
 
 def _corner(c: str, nv: int, nn: int) -> tuple[int, int]:
@@ -27,8 +32,7 @@ def _corner(c: str, nv: int, nn: int) -> tuple[int, int]:
 def parse(scene: str, text: str) -> list[tuple]:
     """Rows of SCHEMA for one file. Faces of more corners become fans; objects without faces are dropped and ids close up;
     lines that can't be read are left out."""
-    rows, v, n, faces, oid, material, named = [], [], [], [], 0, DEFAULT, False
-    begun = {0: 0}
+    rows, v, n, vt, faces, oid, material = [], [], [], [], [], 0, DEFAULT
     for line in (text or "").splitlines():
         words = re.sub(r"#.*$", "", line).split()
         if not words:
@@ -37,11 +41,12 @@ def parse(scene: str, text: str) -> list[tuple]:
         try:
             if key in ("v", "vn") and len(args) == 3:
                 (v if key == "v" else n).append(tuple(map(float, args)))
+            elif key == "vt" and len(args) >= 2:
+                vt.append(tuple(map(float, args[:2])))
             elif key == "usemtl" and args:
                 material = args[0]
             elif key == "o":
                 oid += 1
-                begun.setdefault(oid, len(faces))
             elif key in ("f", "fo", "l", "p") and args:
                 corners = [_corner(c, len(v), len(n)) for c in args]
                 if len(corners) == 1:
@@ -55,6 +60,7 @@ def parse(scene: str, text: str) -> list[tuple]:
     dense = {o: i for i, o in enumerate(sorted({f[0] for f in faces}))}
     rows += [(scene, "vertex", i, None, None, *p, None, None, None, None, None, None) for i, p in enumerate(v)]
     rows += [(scene, "normal", i, None, None, *p, None, None, None, None, None, None) for i, p in enumerate(n)]
+    rows += [(scene, "texcoord", i, None, None, *p, None, None, None, None, None, None, None) for i, p in enumerate(vt)]
     rows += [(scene, "face", i, dense[o], m, None, None, None, a[0], b[0], c[0], a[1], b[1], c[1]) for i, (o, m, a, b, c) in enumerate(faces)]
     return rows
 
@@ -98,13 +104,15 @@ def face_normals(elements: DataFrame) -> DataFrame:
 def material_index(elements: DataFrame) -> DataFrame:
     """material, type: 0 for the default, then by name over all scenes (IO8)."""
     m = elements.filter("kind = 'face'").select("material").distinct()
-    from pyspark.sql import Window
-
     return m.withColumn("type", F.row_number().over(Window.orderBy(F.col("material") != DEFAULT, "material")).cast("long") - F.lit(1))
 
 
+_COLOURS = ("Kd", "Ks", "Ka", "Ke")
+_MTL = "array<struct<name:string,kd:array<double>,ks:array<double>,ka:array<double>,ke:array<double>,ns:double,ni:double,refractive:boolean>>"
+
+
 def parse_mtl(text: str) -> list[tuple]:
-    """(name, kd, ks, ns, ni, refractive) of each material; illumination models above 3 refract (IO9)."""
+    """(name, kd, ks, ka, ke, ns, ni, refractive) of each material; illumination models above 3 refract (IO9)."""
     out: list[list] = []
     for line in (text or "").splitlines():
         words = re.sub(r"#.*$", "", line).split()
@@ -113,40 +121,66 @@ def parse_mtl(text: str) -> list[tuple]:
         key, args = words[0], words[1:]
         try:
             if key == "newmtl" and args:
-                out.append([args[0], None, None, None, None, False])
-            elif out and key in ("Kd", "Ks") and len(args) >= 3:
-                out[-1][1 if key == "Kd" else 2] = list(map(float, args[:3]))
+                out.append([args[0], None, None, None, None, None, None, False])
+            elif out and key in _COLOURS and len(args) >= 3:
+                out[-1][1 + _COLOURS.index(key)] = list(map(float, args[:3]))
             elif out and key in ("Ns", "Ni") and args:
-                out[-1][3 if key == "Ns" else 4] = float(args[0])
+                out[-1][5 if key == "Ns" else 6] = float(args[0])
             elif out and key == "illum" and args:
-                out[-1][5] = int(args[0]) > 3
+                out[-1][7] = int(args[0]) > 3
         except ValueError:
             continue
     return [tuple(x) for x in out]
 
 
 def scan_mtl(files: DataFrame) -> DataFrame:
-    make = F.udf(useArrow=True, returnType="array<struct<name:string,kd:array<double>,ks:array<double>,ns:double,ni:double,refractive:boolean>>")(parse_mtl)
+    """files(scene, text) -> scene and the fields of each material."""
+    make = F.udf(useArrow=True, returnType=_MTL)(parse_mtl)
     return files.select("scene", F.explode(make("text")).alias("m")).select("scene", "m.*")
 
 
-def to_text(elements: DataFrame) -> DataFrame:
-    """scene, text: each scene as an OBJ file, objects in order of id (IO13). A scene's lines meet in one row, as in its file."""
+def mtl_text(materials: DataFrame) -> DataFrame:
+    """scene, text: the materials of each scene as MTL, by name (IO13). Fields that are null are left out."""
+    colour = lambda c: F.concat(F.lit(f"{c} "), F.array_join(F.transform(c.lower(), lambda x: F.format_string("%.6f", x)), " "))
+    number = lambda c: F.concat(F.lit(f"{c} "), F.format_string("%.6f", F.col(c.lower())))
+    illum = F.concat(F.lit("illum "), F.when(F.col("refractive"), "4").otherwise("2"))
+    one = F.concat_ws("\n", F.concat(F.lit("newmtl "), F.col("name")), *[F.when(F.col(c.lower()).isNotNull(), colour(c)) for c in _COLOURS], *[F.when(F.col(c.lower()).isNotNull(), number(c)) for c in ("Ns", "Ni")], illum)
+    return materials.groupBy("scene").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", one.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+
+
+def to_text(elements: DataFrame, library: str | None = None) -> DataFrame:
+    """scene, text: each scene as an OBJ file, objects in order of id, then lines and points (IO13). A scene's lines meet in one
+    row, as in its file; usemtl stands where the material changes."""
     num = lambda c: F.format_string("%.12g", F.col(c))
     corner = lambda i: F.concat((F.col(f"v{i}") + 1).cast("string"), F.when(F.col(f"n{i}") >= 0, F.concat(F.lit("//"), (F.col(f"n{i}") + 1).cast("string"))).otherwise(F.lit("")))
-    v = elements.filter("kind = 'vertex'").select("scene", F.lit(0).alias("part"), F.lit(-1).cast("long").alias("o"), "idx", F.concat_ws(" ", F.lit("v"), num("x"), num("y"), num("z")).alias("t"))
-    n = elements.filter("kind = 'normal'").select("scene", F.lit(1).alias("part"), F.lit(-1).cast("long").alias("o"), "idx", F.concat_ws(" ", F.lit("vn"), num("x"), num("y"), num("z")).alias("t"))
-    f = elements.filter("kind = 'face'")
-    head = f.groupBy("scene", "oid").agg(F.min("idx").alias("i")).select("scene", F.lit(2).alias("part"), F.col("oid").alias("o"), F.lit(-1).cast("long").alias("idx"), F.concat(F.lit("o part"), F.col("oid").cast("string")).alias("t"))
-    face = f.select("scene", F.lit(2).alias("part"), F.col("oid").alias("o"), "idx", F.concat(F.lit("usemtl "), F.col("material"), F.lit("\n"), F.concat_ws(" ", F.lit("f"), corner(1), corner(2), corner(3))).alias("t"))
-    every = v.unionByName(n).unionByName(head).unionByName(face)
+    line = lambda part, o, idx, t: [F.lit(part).alias("part"), o.cast("long").alias("o"), idx.cast("long").alias("idx"), t.alias("t")]
+    none, idx = F.lit(-1), F.col("idx")
+    of = lambda k: elements.filter(F.col("kind") == k)
+    every = of("vertex").select("scene", *line(1, none, idx, F.concat_ws(" ", F.lit("v"), num("x"), num("y"), num("z"))))
+    every = every.unionByName(of("normal").select("scene", *line(2, none, idx, F.concat_ws(" ", F.lit("vn"), num("x"), num("y"), num("z")))))
+    if library:
+        every = every.unionByName(elements.select("scene").distinct().select("scene", *line(0, none, none, F.lit(f"mtllib {library}"))))
+    f = of("face")
+    every = every.unionByName(f.groupBy("scene", "oid").agg(F.min("idx").alias("i")).select("scene", *line(3, F.col("oid"), none, F.concat(F.lit("o part"), F.col("oid").cast("string")))))
+    before = F.lag("material").over(Window.partitionBy("scene", "oid").orderBy("idx"))
+    use = F.when(before.eqNullSafe(F.col("material")), F.lit("")).otherwise(F.concat(F.lit("usemtl "), F.col("material"), F.lit("\n")))
+    every = every.unionByName(f.select("scene", *line(3, F.col("oid"), idx, F.concat(use, F.concat_ws(" ", F.lit("f"), corner(1), corner(2), corner(3))))))
+    plain = lambda i: (F.col(f"v{i}") + 1).cast("string")
+    mtl = F.concat(F.lit("usemtl "), F.col("material"), F.lit("\n"))
+    every = every.unionByName(of("line").select("scene", *line(4, none, idx, F.concat(mtl, F.concat_ws(" ", F.lit("l"), plain(1), plain(2))))))
+    every = every.unionByName(of("point").select("scene", *line(5, none, idx, F.concat(mtl, F.concat_ws(" ", F.lit("p"), plain(1))))))
     return every.groupBy("scene").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "o", "idx", "t"))), lambda x: x["t"]), "\n").alias("text"))
 
 
+def flagged_edges(pairs: DataFrame, flagged: DataFrame) -> DataFrame:
+    """The edges of pairs(scene, src, dst, ...) with an end in flagged(scene, node) (IO16)."""
+    f = flagged.select("scene", "node").distinct()
+    ends = pairs.select("scene", "src", "dst", F.explode(F.array("src", "dst")).alias("node")).join(f, ["scene", "node"], "left_semi")
+    return pairs.join(ends.select("scene", "src", "dst").distinct(), ["scene", "src", "dst"], "left_semi")
+
+
 def graph_text(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """scene, text: a collision graph as OBJ points and lines, tree edges and cycle edges as groups (IO15). nodes(scene, node, x, y, z), pairs(scene, src, dst, kind)."""
-    from pyspark.sql import Window
-
     at = nodes.withColumn("i", F.row_number().over(Window.partitionBy("scene").orderBy("node")))
     v = at.select("scene", F.lit(0).alias("part"), F.col("i").cast("long").alias("k"), F.format_string("v %.12g %.12g %.12g", "x", "y", "z").alias("t"))
     a, b = (at.select("scene", F.col("node").alias(c), F.col("i").alias(f"{c}_i")) for c in ("src", "dst"))
