@@ -46,18 +46,28 @@ def marked(*cols) -> tuple[Column, Column]:
     return F.xxhash64(*cols).alias("__m1"), F.xxhash64(F.lit("again"), *cols[::-1]).alias("__m2")
 
 
+#: A vertex of more neighbours is a hub: its minimum is broadcast to its edges, so they don't meet in one task. There are at
+#: most edges / HUB hubs; more than HUBS of them are joined like other vertices.
+HUB, HUBS = 256, 4_000_000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges(a, b): rows (id, root), root the smallest id reachable.
 
     Alternates large-star and small-star steps; each vertex' minimum comes from a partially aggregated group-by and
-    is joined back, so a hub's neighbours are never gathered. Ids without an edge do not appear. Empty in, empty out. Rounds
-    grow with the logarithm of the longest chain; an error is raised should max_rounds not suffice.
+    is joined back, for hubs by broadcast, so a hub's neighbours are never gathered. Ids without an edge do not appear. Empty
+    in, empty out. Rounds grow with the logarithm of the longest chain; an error is raised should max_rounds not suffice.
     """
 
     def stars(e: DataFrame, large: bool) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        out = both.join(low, "a")
+        low = cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
+        hubs = low.filter(F.col("n") > HUB).select("a", "m")
+        if 0 < hubs.count() <= HUBS:
+            rest = both.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(low.filter(F.col("n") <= HUB).select("a", "m"), "a")
+            out = rest.union(both.join(F.broadcast(hubs), "a"))
+        else:
+            out = both.join(low.select("a", "m"), "a")
         if large:
             return out.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
         return out.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).filter("a > b").distinct()

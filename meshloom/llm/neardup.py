@@ -30,8 +30,8 @@ TIGHT = 0.9
 MARGIN = 0.13
 #: Members and shingles of a candidate class that one task compares; larger classes are dealt into blocks.
 GROUP, VOLUME = 256, 200_000
-#: Digests of rows to drop that are broadcast at most; beyond it Spark joins.
-BROADCAST_ROWS = 4_000_000
+#: Digests of rows to drop, and members of candidate classes with their blocks, that are broadcast at most; beyond it Spark joins.
+BROADCAST_ROWS, MEMBERS = 4_000_000, 1_000_000
 
 _rng = np.random.Generator(np.random.PCG64(99))
 _A = _rng.integers(1, 2**62, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -219,7 +219,10 @@ def _branch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by(df: DataFrame, key: str) -> DataFrame:
-    return df.repartition(key).sortWithinPartitions(key)
+    """df dealt and sorted by key. The number of partitions is named, since work follows pairs rather than bytes, by which
+    partitions would be put together."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key).sortWithinPartitions(key)
 
 
 def _candidates(own: DataFrame, floor: int) -> DataFrame:
@@ -267,7 +270,8 @@ def _linked(docs: DataFrame, own: DataFrame, classes: DataFrame, k: int, percent
     dealt = cut(member.join(load, "root").select("uid", "root", block, "blocks", "m1", "m2", "copies"))
     m1, m2 = marked(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     held = docs.select(m1, m2, F.col("text").cast("string").alias("text"))
-    held = held.join(dealt, (F.col("__m1") == F.col("m1")) & (F.col("__m2") == F.col("m2"))).select("uid", "root", "block", "blocks", "copies", "text")
+    right = F.broadcast(dealt) if dealt.count() <= MEMBERS else dealt
+    held = held.join(right, (F.col("__m1") == F.col("m1")) & (F.col("__m2") == F.col("m2"))).select("uid", "root", "block", "blocks", "copies", "text")
     # a row that repeats as a whole finds its representative as often; one is enough
     held = cut(held.filter("copies = 1").union(held.filter("copies > 1").dropDuplicates(["uid"])).drop("copies"))
     group = lambda *c: F.xxhash64(*c).alias("grp")
