@@ -152,7 +152,7 @@ _BARE = "array<struct<s:int,k:int,e:int>>"
 
 
 def pii_spans(docs: DataFrame, **options) -> DataFrame:
-    """Per row doc_id, counts of base kinds, base_sha256, spans and n_term.
+    """Per row doc_id, counts of base kinds, base_sha256, spans, n_term, n_base (all base spans) and found (there is one).
 
     Base kinds are fixed patterns, leftmost and non-overlapping per kind, with matches that fail their check dropped. To
     these the method adds every occurrence, outside base spans, of a term that discloses an entity of the text (see
@@ -170,7 +170,7 @@ def pii_spans(docs: DataFrame, **options) -> DataFrame:
     near = near.select("doc_id", "base", F.when(F.col("terms").isNull(), none).otherwise(_term_spans(F.col("text"), F.col("base"), F.col("terms"))).alias("terms"))
     rows = found.filter(F.size("base") == 0).select("doc_id", bare.alias("base"), none.alias("terms")).union(near)
     count = lambda k: F.size(F.filter("base", lambda b: b["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return rows.select("doc_id", *[count(k) for k in range(4)], F.sha2(_spelled(F.col("base")), 256).alias("base_sha256"), _spelled(F.array_sort(F.concat("base", "terms"))).alias("spans"), F.size("terms").cast("long").alias("n_term"))
+    return rows.select("doc_id", *[count(k) for k in range(4)], F.sha2(_spelled(F.col("base")), 256).alias("base_sha256"), _spelled(F.array_sort(F.concat("base", "terms"))).alias("spans"), F.size("terms").cast("long").alias("n_term"), F.size("base").cast("long").alias("n_base"), (F.size("base") > 0).alias("found"))
 
 
 def _masked(text: Column, spans: Column) -> Column:
