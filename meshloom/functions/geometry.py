@@ -131,3 +131,15 @@ def from_matrix(c0: Vec, c1: Vec, c2: Vec) -> Quat:
         (F.lit(True), by(i, 1 + i - a - e, (c + g, f + h, d - b), 2)),
     )
     return tuple(F.coalesce(*[F.when(cond, q[j]) for cond, q in options]) for j in range(4))
+
+
+def packed(q: Quat) -> Vec:
+    """A turn as three numbers: the unit quaternion with w not negative, without w (MA16)."""
+    n = length(q)
+    sign = F.when(q[3] < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    return tuple(x * sign / n for x in q[:3])
+
+
+def unpacked(v: Vec) -> Quat:
+    """The quaternion of three numbers: w makes it one of length 1 (MA16)."""
+    return (*v, F.sqrt(F.greatest(1 - dot(v, v), F.lit(0.0))))

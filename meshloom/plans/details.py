@@ -105,6 +105,41 @@ def obj_folder_scan(spark, sf):
     return obj.scan(files).filter("kind = 'vertex'").select(key("nation"), folder).groupBy("nation", "region").agg(F.count("*").alias("n_vertices"))
 
 
+@query("SELECT p_partkey AS id, round(least(p_size / 50.0::DOUBLE, 0.99) / pi(), 9) AS kd, round(least(0.5::DOUBLE, 0.99 - least(0.99::DOUBLE, p_size / 50.0::DOUBLE)) * (p_size + 2) * 0.5 / pi(), 9) AS ks FROM part")
+def phong_coefficients(spark, sf):
+    """IO11."""
+    p = P.table(spark, sf, "part")
+    kd, ks = obj.phong(F.array_repeat(F.col("p_size") / 50.0, 3), F.array_repeat(F.lit(0.5), 3), F.col("p_size").cast("double"))
+    return p.select(F.col("p_partkey").alias("id"), F.round(kd[1], 9).alias("kd"), F.round(ks[2], 9).alias("ks"))
+
+
+@query(f"WITH {LINES} SELECT CAST(scene AS VARCHAR) AS scene, rank - 1 AS place, rank * 3 AS object, round(x, 4) AS shift, round(y, 4) AS lo, CASE WHEN rank % 2 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS m11 FROM ln")
+def instance_records(spark, sf):
+    """IO12, IO14: an instance for each line item written as records and read again."""
+    ln = P.lines(spark, sf)
+    one, zero = F.lit(1.0), F.lit(0.0)
+    m = F.array(one, zero, zero, F.col("x").cast("double"), zero, F.when(F.col("rank") % 2 == 0, zero).otherwise(one), zero, zero, zero, zero, one, zero)
+    box = lambda a: F.array(F.col(a).cast("double"), zero, one)
+    i = ln.select(F.col("scene").cast("string").alias("scene"), (F.col("rank") - 1).alias("place"), (F.col("rank") * 3).alias("object"), m.alias("m"), box("y").alias("lo"), box("z").alias("hi"))
+    r = obj.scan_instances(obj.instance_text(i))
+    return r.select("scene", "place", "object", F.round(F.col("m")[3], 4).alias("shift"), F.round(F.col("lo")[0], 4).alias("lo"), F.col("m")[5].alias("m11"))
+
+
+@query(f"WITH c AS ({_N}) SELECT CAST(scene AS VARCHAR) AS scene, CAST(18 AS BIGINT) AS n, CAST(22 AS BIGINT) AS total, CAST(17 AS BIGINT) AS last FROM c")
+def flat_indexes(spark, sf):
+    """PR9."""
+    f = obj.flat_index(obj.scan(_corner_files(spark, sf)))
+    return f.groupBy("scene").agg(F.count("*").alias("n"), F.sum("vertex").alias("total"), F.max("id").alias("last"))
+
+
+@query("SELECT s_suppkey AS oid, round(abs(cos(radians(s_suppkey * 7.0) / 2)), 6) AS w, round(abs(sin(radians(s_suppkey * 7.0) / 2)), 6) AS z FROM supplier")
+def packed_turns(spark, sf):
+    """MA16: turns as three numbers and back."""
+    s = P.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("oid"))
+    q = G.unpacked(G.packed(tuple(x * 2 for x in _turn(s, F.radians(F.col("oid") * 7.0)))))
+    return s.select("oid", F.round(q[3], 6).alias("w"), F.round(F.abs(q[2]), 6).alias("z"))
+
+
 # ---- tables in and out
 
 
@@ -279,6 +314,16 @@ def triangle_cells(spark, sf):
     return c.groupBy("scene").agg(F.count("*").alias("n"), F.countDistinct("ix", "iy", "iz").alias("n_cells"))
 
 
+@query()
+def extreme_vertices(spark, sf):
+    """PR7: the extreme corners of the parts of each order's chain."""
+    from meshloom.operators import generate
+    from meshloom.plans.generative import chain_scenes
+
+    f = chain_scenes(spark, sf, least=1).select(F.col("scene").alias("key"), F.lit("a").alias("role"), "oid", "kind", "fid", "c")
+    return generate.extreme_vertices(f).groupBy("key", "oid").agg(F.count("*").alias("n"))
+
+
 # ---- edges by category and grammar of whole scenes
 
 

@@ -202,3 +202,46 @@ def parse_wire(text: DataFrame) -> DataFrame:
         part = ln.select("scene", F.lit(g).alias("g"), F.explode(z).alias("e")).select("scene", "g", *[F.col("e")[c].cast("long").alias(c) for c in ("src", "dst", "category")])
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def phong(kd: Column, ks: Column, ns: Column) -> tuple[Column, Column]:
+    """Diffuse and specular coefficients (arrays of three) scaled so that together they reflect no more than all light (IO11)."""
+    top, pi = F.lit(0.99), F.lit(3.141592653589793)
+    spec = F.zip_with(ks, kd, lambda s, d: F.least(s, top - F.least(top, d)) * (ns + 2) * 0.5 / pi)
+    return F.transform(kd, lambda d: F.least(d, top) / pi), spec
+
+
+_ROWS = ("m_row_0", "m_row_1", "m_row_2")
+
+
+def scan_instances(files: DataFrame) -> DataFrame:
+    """scene, place, object, m (twelve numbers, row by row), lo, hi of the instance records in files(scene, text) (IO12). A record
+    begins with its object's id; rows that lack give the identity, bounds that lack are null."""
+    clean = F.regexp_replace("text", "(?m)#.*$", "")
+    parts = F.slice(F.split(clean, r"(?m)^\s*obj_id\s+"), F.lit(2), F.lit(1_000_000))
+    rec = files.select("scene", F.posexplode(parts).alias("place", "r"))
+    nums = lambda k: F.transform(F.split(F.trim(F.regexp_extract("r", rf"(?m)^\s*{k}[ \t]+(.*)$", 1)), r"\s+"), lambda x: x.cast("double"))
+    has = lambda k: F.col("r").rlike(rf"(?m)^\s*{k}[ \t]")
+    rows = [F.when(has(k), nums(k)).otherwise(F.array(*[F.lit(1.0 if j == i else 0.0) for j in range(4)])) for i, k in enumerate(_ROWS)]
+    bound = lambda k: F.when(has(k), nums(k))
+    first = F.regexp_extract("r", r"^(\d+)", 1).cast("long")
+    return rec.select("scene", F.col("place").cast("long").alias("place"), first.alias("object"), F.concat(*rows).alias("m"), bound("AABB_min").alias("lo"), bound("AABB_max").alias("hi"))
+
+
+def instance_text(instances: DataFrame) -> DataFrame:
+    """scene, text: instance records in order of place (IO14)."""
+    line = lambda k, c: F.concat(F.lit(f"{k} "), F.array_join(F.transform(c, lambda x: F.format_string("%.9g", x)), " "))
+    m = [line(k, F.slice("m", 4 * i + 1, 4)) for i, k in enumerate(_ROWS)]
+    one = F.concat_ws("\n", F.lit("#new instance#"), F.concat(F.lit("obj_id "), F.col("object").cast("string")), *m, line("AABB_min", F.col("lo")), line("AABB_max", F.col("hi")))
+    return instances.groupBy("scene").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", one.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+
+
+def flat_index(elements: DataFrame) -> DataFrame:
+    """scene, id, vertex: the vertices that faces name one after the other, or lines where a scene has no faces, or points (PR9)."""
+    size = F.when(F.col("kind") == "face", 3).when(F.col("kind") == "line", 2).otherwise(1)
+    use = elements.filter("kind IN ('face', 'line', 'point')").withColumn("size", size)
+    top = use.groupBy("scene").agg(F.max("size").alias("top"))
+    use = use.join(top, "scene").filter("size = top")
+    at = F.row_number().over(Window.partitionBy("scene").orderBy("idx")) - 1
+    flat = use.withColumn("at", at).select("scene", "at", "size", F.posexplode(F.slice(F.array("v1", "v2", "v3"), F.lit(1), F.col("size"))).alias("p", "vertex"))
+    return flat.select("scene", (F.col("at") * F.col("size") + F.col("p")).cast("long").alias("id"), "vertex")

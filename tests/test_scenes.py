@@ -102,6 +102,26 @@ def test_variations_pass_the_gates():
     assert [v["hist"] for v in scenes.variations(a, b, 20)[0]] == hist
 
 
+def test_samples_grow_and_matches_hold():
+    a = chain("ABCABCABCABC")
+    g = scenes.contact_graph(a)
+    seen = set()
+    for s in range(30):
+        held = scenes.sampled(g, 5, 1, s, [p.centre[2] for p in a], [p.size for p in a])
+        assert len(held) == len(set(held)) <= 5
+        assert len(scenes.grown({v: [w for w in g[v] if w in held] for v in held}, [held[0]])) == len(held)
+        seen.add(frozenset(held))
+        cut = [v for v in held if scenes.flags(g, held)[v]]
+        m = scenes.cut_match(a, cut, a, 1e-6, (s,))
+        assert m is not None and scenes.match_holds(a, cut, a, m, 1e-6)
+    assert len(seen) > 3
+    assert scenes.cut_match(chain("AB"), [0, 1], chain("AAA"), 0.0) is None
+    x = scenes.extreme_points(np.concatenate([part("A", [0, 0, 0]).tri]), 1.0)
+    assert sorted(map(tuple, x.tolist())) == sorted(map(tuple, CORNERS.tolist()))
+    cube = np.array([[x, y, z] for x in (0, 1) for y in (0, 1) for z in (0, 1)] + [[0.5, 0.5, 0.0]], float)
+    assert len(scenes.extreme_points(cube, 1.0)) == 8  # the middle of a side is none
+
+
 def test_merge_and_append():
     a, b = chain("ABC"), chain("ABC")
     assert len(scenes.merged(a, [0, 1, 2], b, [0, 1, 2])) == 3  # all of b cover a's
