@@ -39,7 +39,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("pii", pii), ("mix", mix), ("pack", pack)]
-#: SQL expresses neither the classifier, the tokenizer nor the packing; tests/llm holds the run against brute force.
+#: SQL expresses neither the classifier, the tokenizer nor the packing; tests/llm holds each stage against plain Python.
 ORACLE_SQL = None
 
 
