@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from meshloom.functions import words as W
 
@@ -15,6 +18,31 @@ def characters(word: Column) -> Column:
     return F.filter(F.split(word, ""), lambda c: c != "")
 
 
+def batched(df: DataFrame, fields: str, types: list, make) -> DataFrame:
+    """df with more columns (fields as DDL, types as Arrow types): make maps a batch's columns, as lists by name, to the lists of
+    the new columns. Batches pass through Arrow whole."""
+    names = df.columns
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in it:
+            made = make({n: rb.column(i).to_pylist() for i, n in enumerate(names)})
+            yield pa.RecordBatch.from_arrays([*rb.columns, *(pa.array(v, t) for v, t in zip(made, types, strict=True))], [*names, *new])
+
+    new = [f.split()[0] for f in fields.split("; ")]
+    schema = StructType(df.schema.fields + StructType.fromDDL(fields.replace("; ", ", ")).fields)
+    return df.mapInArrow(run, schema)
+
+
+def by_word(fn):
+    """make for `batched`: fn of each distinct word of a batch once; fn gives a tuple of the new columns' values."""
+
+    def make(cols: dict[str, list]) -> list[list]:
+        known = {w: fn(w) for w in set(cols["word"])}
+        return [list(x) for x in zip(*(known[w] for w in cols["word"]))] or [[]]
+
+    return make
+
+
 def encode_trees(children: DataFrame, root: str = "O", scene: str = "scene") -> DataFrame:
     """scene, word of one-level trees: children(scene, rank, ch), all but the last in brackets (WD1)."""
     c = children.groupBy(scene).agg(F.array_sort(F.collect_list(F.struct("rank", "ch"))).alias("c"))
@@ -31,11 +59,10 @@ def encode_graphs(nodes: DataFrame, edges: DataFrame, repeats: int = 1, seed: in
     both = nodes.groupBy("scene").agg(F.collect_list(F.struct("node", "ch")).alias("n"))
     both = both.join(edges.groupBy("scene").agg(F.collect_list(F.struct("src", "dst")).alias("e")), "scene", "left")
 
-    @F.udf(useArrow=True, returnType="array<struct<start:long,repeat:int,word:string,node_ids:array<long>>>")
-    def make(held, pairs):
+    def one(held, pairs):
         chars = {x["node"]: x["ch"] for x in held}
         near: dict[int, set[int]] = {}
-        for e in [] if pairs is None else pairs:
+        for e in pairs or []:
             near.setdefault(e["src"], set()).add(e["dst"])
         out = []
         for r in range(repeats):
@@ -44,16 +71,20 @@ def encode_graphs(nodes: DataFrame, edges: DataFrame, repeats: int = 1, seed: in
             for start in sorted(chars) if starts == "all" else [min(chars)]:
                 word, ids = W.encode(start, chars, order)
                 if len(ids) == len(chars):
-                    out.append((start, r, word, ids))
+                    out.append({"start": start, "repeat": r, "word": word, "node_ids": ids})
         return out
 
-    return both.select("scene", F.explode(make("n", "e")).alias("w")).select("scene", "w.*")
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("repeat", pa.int32()), ("word", pa.string()), ("node_ids", pa.list_(pa.int64()))]))
+    made = batched(both, "w array<struct<start:bigint,repeat:int,word:string,node_ids:array<bigint>>>", [kind], lambda c: [[one(n, e) for n, e in zip(c["n"], c["e"])]])
+    return made.select("scene", F.explode("w").alias("w")).select("scene", "w.*")
 
 
 def word_edges(words: DataFrame, key: str = "scene") -> DataFrame:
     """key, pos, a, b: the edge each character stands for, nodes by number (WD7); labels and branches of any depth."""
-    found = F.udf(useArrow=True, returnType="array<struct<pos:int,a:int,b:int>>")(W.edges)
-    return words.select(key, F.explode(found("word")).alias("e")).select(key, "e.*")
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("a", pa.int32()), ("b", pa.int32())]))
+    found = lambda w: ([dict(zip(("pos", "a", "b"), e)) for e in W.edges(w or "")],)
+    made = batched(words.select(key, "word"), "e array<struct<pos:int,a:int,b:int>>", [kind], by_word(found))
+    return made.select(key, F.explode("e").alias("e")).select(key, "e.*")
 
 
 def tree_edges(words: DataFrame, key: str = "scene") -> DataFrame:
@@ -67,16 +98,16 @@ def tree_edges(words: DataFrame, key: str = "scene") -> DataFrame:
 def induce_words(words: DataFrame) -> dict[str, DataFrame]:
     """The string grammar of words: pair (a, b) in both orders, degree (ch, degree), charset (ch) (WD4)."""
 
-    @F.udf(useArrow=True, returnType="struct<p:array<string>,d:array<string>>")
     def parts(w):
-        p, d = W.pairs_and_degrees(w)
+        p, d = W.pairs_and_degrees(w or "")
         return [a + b for a, b in p], [f"{c}{n}" for c, n in d]
 
-    each = words.select(F.col("word")).distinct().select(parts("word").alias("g"), "word")
+    list_of = pa.list_(pa.string())
+    each = batched(words.select("word").distinct(), "p array<string>; d array<string>", [list_of, list_of], by_word(parts))
     one = lambda c: F.substring(c, 1, 1)
     return {
-        "pair": each.select(F.explode("g.p").alias("x")).distinct().select(one("x").alias("a"), F.substring("x", 2, 1).alias("b")),
-        "degree": each.select(F.explode("g.d").alias("x")).distinct().select(one("x").alias("ch"), F.expr("substring(x, 2)").cast("long").alias("degree")),
+        "pair": each.select(F.explode("p").alias("x")).distinct().select(one("x").alias("a"), F.substring("x", 2, 1).alias("b")),
+        "degree": each.select(F.explode("d").alias("x")).distinct().select(one("x").alias("ch"), F.expr("substring(x, 2)").cast("long").alias("degree")),
         "charset": words.select(F.explode(characters(F.col("word"))).alias("ch")).distinct(),
     }
 
@@ -90,13 +121,14 @@ def check_words(words: DataFrame, grammar: dict[str, DataFrame]) -> DataFrame:
     """words with ok (WD5). A grammar has 52 * 52 pairs at most and a degree per character and node count; both are collected once. The cheap checks come first, so the parser sees only words that pass them."""
     pairs = {(r.a, r.b) for r in grammar["pair"].collect()}
     degrees = {(r.ch, r.degree) for r in grammar["degree"].collect()}
-    full = F.udf(useArrow=True, returnType="boolean")(lambda w: W.check(w, pairs, degrees))
-    return words.withColumn("ok", F.when(W.well_formed(F.col("word")), full("word")).otherwise(F.lit(False)))
+    fine = W.well_formed(F.col("word"))
+    full = batched(words.filter(fine), "ok boolean", [pa.bool_()], by_word(lambda w: (W.check(w, pairs, degrees),)))
+    return full.unionByName(words.filter(~F.coalesce(fine, F.lit(False))).withColumn("ok", F.lit(False)))
 
 
 def signatures(words: DataFrame) -> DataFrame:
     """words with sig: similar words are those of equal signature, so similarity is a group key (AG5)."""
-    return words.withColumn("sig", F.udf(useArrow=True, returnType="string")(W.signature)("word"))
+    return batched(words, "sig string", [pa.string()], by_word(lambda w: (W.signature(w or ""),)))
 
 
 def dedupe_by_signature(words: DataFrame, order: str, max_len: int = 960) -> DataFrame:
@@ -131,17 +163,17 @@ def filter_words(words: DataFrame, max_len: int = 120, forbid: str = "9") -> Dat
 def word_variants(words: DataFrame, n: int = 10, seed: int = 1, key: str = "scene") -> DataFrame:
     """key, variant, word: other words of the same graph, from hashed starts and neighbour orders (WD8)."""
 
-    @F.udf(useArrow=True, returnType="array<string>")
     def make(w):
-        chars, near = W.graph(w)
+        chars, near = W.graph(w or "")
         out = []
         for r in range(n):
             rank = lambda v: hashlib.md5(f"{seed}:{r}:{v}".encode()).digest()  # noqa: B023, E731
             if chars:
                 out.append(W.encode(min(range(len(chars)), key=rank), dict(enumerate(chars)), {v: sorted(x, key=rank) for v, x in near.items()})[0])
-        return out
+        return (out,)
 
-    return words.select(key, F.posexplode(make("word")).alias("variant", "word"))
+    made = batched(words.select(key, "word"), "made array<string>", [pa.list_(pa.string())], by_word(make))
+    return made.select(key, F.posexplode("made").alias("variant", "word"))
 
 
 def mutate_words(words: DataFrame, seed: int = 1, key: str = "scene", double: str = "A", swap: str = "RN") -> DataFrame:

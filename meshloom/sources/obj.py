@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,7 +109,6 @@ def material_index(elements: DataFrame) -> DataFrame:
 
 
 _COLOURS = ("Kd", "Ks", "Ka", "Ke")
-_MTL = "array<struct<name:string,kd:array<double>,ks:array<double>,ka:array<double>,ke:array<double>,ns:double,ni:double,refractive:boolean>>"
 
 
 def parse_mtl(text: str) -> list[tuple]:
@@ -134,9 +134,19 @@ def parse_mtl(text: str) -> list[tuple]:
 
 
 def scan_mtl(files: DataFrame) -> DataFrame:
-    """files(scene, text) -> scene and the fields of each material."""
-    make = F.udf(useArrow=True, returnType=_MTL)(parse_mtl)
-    return files.select("scene", F.explode(make("text")).alias("m")).select("scene", "m.*")
+    """files(scene, text) -> scene and the fields of each material, a batch of files at a time."""
+    three = pa.list_(pa.float64())
+    names = ("name", "kd", "ks", "ka", "ke", "ns", "ni", "refractive")
+    kinds = (pa.string(), three, three, three, three, pa.float64(), pa.float64(), pa.bool_())
+
+    def run(it):
+        for rb in it:
+            found = [(scene, *m) for scene, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()) for m in parse_mtl(text)]
+            cols = list(zip(*found)) or [()] * (len(names) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, k) for c, k in zip(cols[1:], kinds))], ["scene", *names])
+
+    fields = "name string, kd array<double>, ks array<double>, ka array<double>, ke array<double>, ns double, ni double, refractive boolean"
+    return files.select(F.col("scene").cast("string").alias("scene"), "text").mapInArrow(run, f"scene string, {fields}")
 
 
 def mtl_text(materials: DataFrame) -> DataFrame:
