@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meshloom.functions import frames, scenes
 from meshloom.functions import words as W
-from meshloom.operators import category, dataset, generate, graph, pose, spatial, variation, vector, words
+from meshloom.operators import category, dataset, generate, graph, pose, shapes, spatial, variation, vector, words
 from meshloom.plans import catalogue, generative
 from meshloom.plans import projections as P
 
@@ -392,6 +392,33 @@ def test_words_of_listing_and_model(spark):
     assert words.filter_words(spark.createDataFrame([("A9",), ("",), ("A" * 200,), ("AB",)], "word string")).count() == 1
 
 
+def test_words_and_poses_of_files(spark):
+    """A chain of tetrahedra as OBJ text: words decode to its graph, poses are those of its frames."""
+
+    def text(kinds, gap=0.0):
+        out = []
+        for i, k in enumerate(kinds):
+            out += [f"v {x + 3 * i + gap * (i > 1)} {y} {z}" for x, y, z in CORNERS] + [f"o p{i}", f"usemtl {k}"]
+            out += ["f " + " ".join(str(4 * i + v + 1) for v in f) for f in FACES]
+        return "\n".join(out)
+
+    files = spark.createDataFrame([("one", text("red blue red green".split())), ("apart", text("red blue red".split(), 50.0)), ("none", "")], "scene string, text string")
+    got = shapes.words_of_files(files, repeats=3).collect()
+    assert {r.scene for r in got} == {"one"} and Counter(r.start for r in got) == {i: 3 for i in range(4)}
+    kind = {0: "C", 1: "A", 2: "C", 3: "B"}  # by name: blue, green, red
+    for r in got:
+        chars, _ = W.graph(r.word)
+        ids = list(r.node_ids)
+        assert chars == [kind[i] for i in ids] and {tuple(sorted((ids[a], ids[b]))) for _, a, b in W.edges(r.word)} == {(0, 1), (1, 2), (2, 3)}
+    assert len(shapes.words_of_files(files, repeats=1, starts="first").collect()) == 1
+    poses = {(r.src, r.dst): r for r in shapes.poses_of_files(files).filter("scene = 'one'").collect()}
+    assert set(poses) == {(i, j) for i, ns in line(4).items() for j in ns}
+    parts = chain("rbrg")
+    for (i, j), r in poses.items():
+        t, turned = scenes.relative(parts[i].frame(), parts[j].frame())
+        assert np.allclose([r.x, r.y, r.z], t, atol=1e-6) and abs(abs(r.rw) - 1) < 1e-6 and abs(r["size"] - parts[j].size) < 1e-9 and np.allclose(turned, np.eye(3))
+
+
 @pytest.mark.parametrize("name", ["merge_meshes", "append_part", "augmented_words", "meanshift_categories", "triangle_cells"])
 def test_repeats(spark, name):
     run = lambda: sorted(map(str, catalogue.queries()[name](spark, SF).collect()))
