@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -585,19 +586,94 @@ def test_top_k_of_large_components(spark):
     assert [(r.vec_id, r.score) for r in got] == [(2, 9830400000000), (1, 8192000000000)]
 
 
+def brute_mixed(rows):
+    """Copies of each row (id, text, source): rows by size, largest first, then md5 of id; a copy at each integer that the running sum crosses."""
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(brute.WORD.findall(t or ""))
+    target = mix_targets(size, sorted(size, key=lambda s: (s is None, s or "")))
+    out = Counter()
+    for s in size:
+        key = "" if s is None else "=" + s
+        u = int(hashlib.md5(f"17:{key}".encode()).hexdigest()[:8], 16) / 2**32
+        rate = target[s] / size[s] if size[s] else 0.0
+        own = sorted((r for r in rows if r[2] == s), key=lambda r: (-len(brute.WORD.findall(r[1] or "")), hashlib.md5(str(r[0]).encode()).hexdigest(), r[0]))
+        for n, r in enumerate(own, 1):
+            out[r] += math.floor(rate * n + u) - math.floor(rate * (n - 1) + u)
+    return +out
+
+
 def test_pipeline(spark, sf):
+    """Each stage on what the one before kept, against plain Python: classifier, near-dedup, personal data, mix, windows."""
     import corpus_pipeline as cp
+    from tokenizers import Tokenizer
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = docs
-    for name, stage in cp.STAGES[:-1]:
-        out = stage(spark, kept, sf).cache()
-        assert out.columns == docs.columns, name
-        if name in ("quality", "near_dedup"):
-            assert 0 < out.count() <= kept.count()
-        kept = out
-    want = Counter((r.doc_id, t) for r in kept.collect() for t in [len(r.text)])
-    got = cp.run(spark, sf)
-    whole = got.filter("start = 0").groupBy("doc_id").count().collect()
-    assert sum(r["count"] for r in whole) == sum(want.values())
-    assert not re.search(r"@mail\d", " ".join(r.text for r in kept.collect()))
+    assert [n for n, _ in cp.STAGES] == ["quality", "near_dedup", "pii", "mix", "pack"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id")
+    # texts that share an id, rows that repeat, null and empty texts beside the table's own
+    first = docs.filter("doc_id IN (3, 5, 8)")
+    again = first.withColumn("doc_id", F.lit(3).cast("long"))
+    odd = docs.filter("doc_id < 3").withColumn("text", F.when(F.col("doc_id") == 0, F.lit(None)).otherwise(F.lit(""))).withColumn("doc_id", F.col("doc_id") + 900_000)
+    docs = docs.select(odd.columns).union(again.select(odd.columns)).union(first.select(odd.columns)).union(odd).cache()
+    key = lambda df: Counter((r.doc_id, r.text, r.source, r.lang) for r in df.collect())
+
+    kept = cp.quality(spark, docs, sf).cache()
+    assert kept.columns == docs.columns and not key(kept) - key(docs)
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    gone = {i for i, *_ in (key(docs) - key(kept))}
+    scored = perplexity.quality_scores(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    assert gone == {r.doc_id for r in scored if not r.kept} and all(r.kept == (r.perplexity <= r.threshold) or r.perplexity == 1 for r in scored)
+    assert not any(i in labels and labels[i].quality == 1 and labels[i].toxic != 1 for i in gone)
+
+    one = cp.near_dedup(spark, kept, sf).cache()
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    want = brute.near_duplicates(rows, 5, 80)
+    assert one.columns == docs.columns
+    left = Counter(r.doc_id for r in one.collect())
+    assert set(left) == {i for (i, n, c, k) in want if k}
+    assert all(left[i] == 1 for (i, n, c, k), m in want.items() if k and n and sum(x[0] == i and x[3] for x in want) == 1)
+
+    clean = cp.pii(spark, one, sf).cache()
+    rows = [(r.doc_id, r.text, r.source) for r in one.collect()]
+    terms = defaultdict(list)
+    for (i, t), n in brute_terms([r[:2] for r in rows]).items():
+        terms[i] += [t] * n
+    masked = Counter()
+    for i, t, s in rows:
+        options = []
+        for extra in terms[i]:
+            spans = sorted([(a, b, n) for a, _, b, n in brute.spans(t, brute.PII)] + [(int(x.split(":")[1]), int(x.split(":")[2]), "term") for x in extra])
+            out, at = [], 0
+            for a, b, n in spans:
+                if a >= at:
+                    out += [(t or "")[at:a], f"[{n.upper()}]"]
+                at = max(at, b)
+            options.append(None if t is None else "".join(out) + t[at:])
+        masked[i, tuple(sorted(set(options), key=str))] += 1
+    got = Counter((r.doc_id, r.text) for r in clean.collect())
+    assert sum(got.values()) == len(rows) and all(any(t in o for (j, o) in masked if j == i) for i, t in got)
+
+    mixed = cp.mix(spark, clean, sf).cache()
+    rows = [(r.doc_id, r.text, r.source) for r in clean.collect()]
+    assert len({r[0] for r in rows}) + 3 >= len(rows) - 2
+    got = Counter((r.doc_id, r.source, len(brute.WORD.findall(r.text or ""))) for r in mixed.collect())
+    want = Counter()
+    for (i, t, s), n in brute_mixed(rows).items():
+        want[i, s, len(brute.WORD.findall(t or ""))] += n
+    assert got == want
+
+    lib = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
+    pieces = cp.pack(spark, mixed, sf).collect()
+    length = Counter()
+    for r in mixed.collect():
+        length[r.doc_id, len(lib.encode(r.text or "", add_special_tokens=False).ids) + 1] += 1
+    ids = Counter()
+    for p in pieces:
+        ids[p.doc_id, p.doc_tokens] += p.length
+    assert ids == Counter({(i, n): n * m for (i, n), m in length.items()})
+    filled = Counter()
+    for p in pieces:
+        filled[p.sequence_id] += p.length
+    assert max(filled.values()) <= 2048
+    whole = cp.run(spark, sf)
+    assert whole.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and whole.count() > 0
