@@ -310,7 +310,7 @@ def triangle_cells(spark, sf):
     from meshloom.plans.generative import chain_scenes
 
     f = chain_scenes(spark, sf, least=1)
-    c = spatial.triangle_cells(f, (1.0, 0.5, 0.25))
+    c = spatial.triangle_cells(f, (2.0, 1.0, 0.5))
     return c.groupBy("scene").agg(F.count("*").alias("n"), F.countDistinct("ix", "iy", "iz").alias("n_cells"))
 
 

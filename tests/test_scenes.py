@@ -5,7 +5,6 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from meshloom.functions import frames, scenes
@@ -417,10 +416,3 @@ def test_words_and_poses_of_files(spark):
     for (i, j), r in poses.items():
         t, turned = scenes.relative(parts[i].frame(), parts[j].frame())
         assert np.allclose([r.x, r.y, r.z], t, atol=1e-6) and abs(abs(r.rw) - 1) < 1e-6 and abs(r["size"] - parts[j].size) < 1e-9 and np.allclose(turned, np.eye(3))
-
-
-@pytest.mark.parametrize("name", ["merge_meshes", "append_part", "augmented_words", "meanshift_categories", "triangle_cells"])
-def test_repeats(spark, name):
-    run = lambda: sorted(map(str, catalogue.queries()[name](spark, SF).collect()))
-    first = run()
-    assert first and first == run()
