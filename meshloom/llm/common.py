@@ -49,6 +49,8 @@ def marked(*cols) -> tuple[Column, Column]:
 #: A vertex of more neighbours is a hub: its minimum is broadcast to its edges, so they don't meet in one task. There are at
 #: most edges / HUB hubs; more than HUBS of them are joined like other vertices.
 HUB, HUBS = 256, 4_000_000
+#: Edges in a partition that a round writes.
+PART_EDGES = 200_000
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -61,7 +63,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     def stars(e: DataFrame, large: bool) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
-        low = cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
+        low = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
         hubs = low.filter(F.col("n") > HUB).select("a", "m")
         if 0 < hubs.count() <= HUBS:
             rest = both.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(low.filter(F.col("n") <= HUB).select("a", "m"), "a")
@@ -73,10 +75,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return out.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
 
     cur = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    # rounds write few files where there are few edges: their number never grows
+    parts = max(4, -(-cur.count() // PART_EDGES))
+    written = lambda df: cut(df.coalesce(parts))
     mark = None
     for _ in range(max_rounds):
-        cur = cut(stars(cur, True))
-        cur = cut(stars(cur, False))
+        cur = written(stars(cur, True))
+        cur = written(stars(cur, False))
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
