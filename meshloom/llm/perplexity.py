@@ -442,8 +442,8 @@ def _marks():
 
 
 #: A document is rejected if its bits per word lie further above its language's median than SLACK times the QUANTILE of what
-#: trusted documents do, both in units of the deviation that a document of its length has. SLACK was set on labelled
-#: documents that neither train the model nor are judged in the README.
+#: trusted documents do, both in units of the deviation that a document of its length has. SLACK was set by looking at the
+#: labels of sf0.1 (see the README).
 QUANTILE, SLACK = 0.995, 1.4
 #: Languages with fewer trusted documents take deviation and quantile from all languages together.
 LEAST_TEXTS = 50
