@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .align import align_tokenizers
 from .common import load
 from .mix import mix_plan
 from .neardup import near_duplicates
@@ -71,6 +72,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(load(spark, sf_dir, "embeddings"))
 
 
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(load(spark, sf_dir, "documents"), *byte_vocabulary(), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -85,6 +90,7 @@ def queries() -> dict:
             op8_secret_spans,
             op9_perplexity,
             op10_top_k,
+            op11_align_tokenizers,
         )
     }
 
