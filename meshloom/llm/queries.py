@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .align import align_tokenizers
 from .common import load
+from .divergence import source_divergence
 from .mix import mix_plan
 from .neardup import near_duplicates
 from .oracle import SQL
@@ -17,6 +18,7 @@ from .quality import quality_rules
 from .secretscan import secret_spans
 from .tokens import token_counts
 from .topk import exact_top_k
+from .urls import url_verdicts
 
 
 def tokenizer_path(name: str) -> str:
@@ -76,6 +78,14 @@ def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(load(spark, sf_dir, "documents"), *byte_vocabulary(), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(load(spark, sf_dir, "pages"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -91,6 +101,8 @@ def queries() -> dict:
             op9_perplexity,
             op10_top_k,
             op11_align_tokenizers,
+            op12_url_verdicts,
+            op13_source_divergence,
         )
     }
 
