@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 #: Node characters; a type's character is its place in this list.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _NODE = re.compile("[A-Za-z]")
+_DIGITS = "0123456789"
 
 
 def tokens(word: str) -> list[tuple[int, str, str]]:
@@ -56,7 +57,11 @@ def node_chars(word: str) -> list[str]:
 
 
 def pairs_and_degrees(word: str) -> tuple[set[tuple[str, str]], set[tuple[str, int]]]:
-    """Neighbouring characters in both orders, and (character, degree) of each node."""
+    """Neighbouring characters in both orders, and (character, degree) of each node: as `needs` counts where the word is well formed, else by distinct neighbours."""
+    need = needs(word)
+    if need is not None:
+        pairs = {(x[1], x[2]) for x in need if x[0] == "p"}
+        return pairs | {(b, a) for a, b in pairs}, {(x[1], int(x[2:])) for x in need if x[0] == "d"}
     chars, seen = node_chars(word), {(min(a, b), max(a, b)) for _, a, b in edges(word)}
     degree, pairs = Counter(), set()
     for a, b in seen:
@@ -66,23 +71,53 @@ def pairs_and_degrees(word: str) -> tuple[set[tuple[str, str]], set[tuple[str, i
     return pairs, {(c, degree[i]) for i, c in enumerate(chars)}
 
 
-def balanced(word: str) -> bool:
-    """Brackets nest, none is empty or doubled, and every digit occurs an even number of times."""
-    depth, before = 0, ""
-    for c in word:
-        depth += (c == "(") - (c == ")")
-        if depth < 0 or c == ")" and before == "(" or c == "(" and before == "(":
-            return False
-        before = c
-    return depth == 0 and all(n % 2 == 0 for d, n in Counter(word).items() if d.isdigit())
+def needs(word: str) -> list[str] | None:
+    """What a grammar must know for a word to be right: "c" and a node's character, "p" and the characters of each edge, "d" and
+    each node's character and degree. None if the word is not well formed (WD5).
 
-
-def check(word: str, pairs: set, degrees: set) -> bool:
-    """True if the word is well formed and each neighbouring pair and each node's degree is known to the grammar."""
-    if not word or not balanced(word) or not _NODE.match(word):
-        return False
-    p, d = pairs_and_degrees(word)
-    return p <= pairs and d <= degrees
+    Well formed: a node's character, its labels with one % after each at most, its branches in brackets, and the node that
+    goes on; brackets close, every digit occurs an even number of times. A node's degree counts the edge to its parent, its
+    labels, its branches and the node that goes on. A label stands for an edge to the node that had it first; one that closes
+    on its own node needs no pair.
+    """
+    if not word or word.count("(") != word.count(")") or any(word.count(d) % 2 for d in "0123456789"):
+        return None
+    found: set[str] = set()
+    degree: list[int] = []
+    chars: list[str] = []
+    first: dict[str, int] = {}
+    stack: list[int] = []
+    at, i, fresh = None, 0, False  # the node that comes before, the place, whether a node must come
+    while i < len(word):
+        c = word[i]
+        if c == "(" and at is not None and not fresh:
+            stack.append(at)
+            fresh, i = True, i + 1
+        elif c == ")" and stack and not fresh:
+            at, i = stack.pop(), i + 1
+        elif _NODE.match(c):
+            n = len(chars)
+            chars.append(c)
+            degree.append(0)
+            if at is not None:
+                degree[at] += 1
+                degree[n] += 1
+                found.add("p" + chars[at] + c)
+            at, fresh, i = n, False, i + 1
+            while i < len(word) and word[i] in _DIGITS:
+                j = i
+                while j < len(word) and word[j] in _DIGITS:
+                    j += 1
+                other = first.setdefault(str(int(word[i:j])), n)
+                degree[n] += 1
+                if other != n:
+                    found.add("p" + c + chars[other])
+                i = j + (j < len(word) and word[j] == "%")
+        else:
+            return None
+    if stack or fresh:
+        return None
+    return sorted(found | {"c" + c for c in chars} | {f"d{c}{n}" for c, n in zip(chars, degree)})
 
 
 def signature(word: str) -> str:

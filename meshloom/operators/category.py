@@ -6,31 +6,63 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import settle
 
-def mean_shift(points: np.ndarray, bandwidth: float, rounds: int = 100) -> np.ndarray:
-    """Flat-kernel mean shift from bin seeds; centres in order of the points they hold, near ones merged into the fuller."""
-    if len(points) == 1 or bandwidth <= 0:
-        return np.unique(points, axis=0) if bandwidth <= 0 else points.copy()
-    found = []
-    for c in np.unique(np.round(points / bandwidth), axis=0) * bandwidth:
-        for _ in range(rounds):
-            near = points[((points - c) ** 2).sum(1) <= bandwidth**2]
-            if not len(near):
-                break
-            new = near.mean(0)
-            if ((new - c) ** 2).sum() < (1e-3 * bandwidth) ** 2:
-                break
-            c = new
-        n = int((((points - c) ** 2).sum(1) <= bandwidth**2).sum())
-        if n:
-            found.append((n, tuple(np.round(c, 12))))
+
+#: Seeds that are broadcast to the points; more meet them by a salted join. SALTS parts of a cell that holds most points.
+SEEDS, SALTS = 1_000_000, 32
+_XYZ, _PAIR = ("x", "y", "z"), ("src_type", "dst_type")
+
+
+def _apart(c: np.ndarray, bandwidth: float) -> np.ndarray:
+    """Centres, in order of preference, without those within bandwidth of one taken before."""
     out: list[np.ndarray] = []
-    for _, c in sorted(set(found), key=lambda x: (-x[0], x[1])):
-        if all(((np.array(c) - o) ** 2).sum() > bandwidth**2 for o in out):
-            out.append(np.array(c))
+    for x in c:
+        if all(((x - o) ** 2).sum() > bandwidth**2 for o in out):
+            out.append(x)
     return np.array(out)
 
 
+def shifted_seeds(points: DataFrame, rounds: int = 100) -> DataFrame:
+    """src_type, dst_type, x, y, z, n: where flat-kernel mean shift leads from every occupied bin, and the points it holds there.
+
+    points: src_type, dst_type, x, y, z, band (the pair's bandwidth, above 0). Each round a seed meets the points in the 27
+    cells around it, as wide as the bandwidth, and moves to the mean of those within it; seeds that have come to rest leave,
+    and seeds that meet go on as one. Seeds are one a cell at first, so a point meets some 27 of them, and a type pair of most
+    points is spread over its cells. Seeds are broadcast up to a checked size, and sums are partial, so points are not shuffled.
+    """
+    at = lambda p: [F.floor(F.col(f"{p}{a}") / F.col("band")).cast("long") for a in _XYZ]
+    own = settle(points.select(*_PAIR, *_XYZ, "band", *[c.alias(f"i{a}") for c, a in zip(at(""), _XYZ)]))
+    bins = own.select(*_PAIR, "band", *[(F.round(F.col(a) / F.col("band")) * F.col("band")).alias(f"s{a}") for a in _XYZ])
+    seeds, done = settle(bins.distinct()), None
+
+    def around(seeds: DataFrame) -> DataFrame:
+        """Seeds with the number and the means of the points within their bandwidth."""
+        s = seeds.select(*_PAIR, "sx", "sy", "sz", *[c.alias(f"i{a}") for c, a in zip(at("s"), _XYZ)])
+        for a in _XYZ:
+            s = s.withColumn(f"i{a}", F.explode(F.array(*[F.col(f"i{a}") + d for d in (-1, 0, 1)])))
+        key = [*_PAIR, "ix", "iy", "iz"]
+        if seeds.count() * 27 <= SEEDS:
+            met = own.join(F.broadcast(s), key)
+        else:
+            salted = s.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            met = own.withColumn("salt", F.pmod(F.xxhash64(*_XYZ), F.lit(SALTS)).cast("int")).join(salted, [*key, "salt"])
+        gap = sum(((F.col(a) - F.col(f"s{a}")) * (F.col(a) - F.col(f"s{a}")) for a in "yz"), (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")))
+        return met.filter(gap <= F.col("band") * F.col("band")).groupBy(*_PAIR, "band", "sx", "sy", "sz").agg(F.count("*").alias("n"), *[F.avg(a).alias(a) for a in _XYZ])
+
+    for _ in range(rounds):
+        moved = around(seeds)
+        step = sum((F.pow(F.col(a) - F.col(f"s{a}"), F.lit(2.0)) for a in "yz"), F.pow(F.col("x") - F.col("sx"), F.lit(2.0)))
+        moved = settle(moved.withColumn("rest", step < F.pow(F.col("band") * 1e-3, F.lit(2.0))))
+        rest = moved.filter("rest").select(*_PAIR, "band", "sx", "sy", "sz")
+        done = rest if done is None else done.unionByName(rest)
+        seeds = settle(moved.filter("NOT rest").select(*_PAIR, "band", *[F.round(a, 12).alias(f"s{a}") for a in _XYZ]).distinct())
+        if seeds.isEmpty():
+            break
+    ends = settle(done.unionByName(seeds).select(*_PAIR, "band", *[F.round(f"s{a}", 12).alias(f"s{a}") for a in _XYZ]).distinct())
+    return around(ends).select(*_PAIR, "band", *[F.col(f"s{a}").alias(a) for a in _XYZ], "n")
+
+
 def merge_close(centres: np.ndarray, limit: float, least: int) -> np.ndarray:
     """Centres with the nearest pairs under limit replaced by their mean, down to `least` centres (CL2)."""
     c = [np.array(x) for x in centres]
@@ -48,22 +80,31 @@ def merge_close(centres: np.ndarray, limit: float, least: int) -> np.ndarray:
 def edge_categories(poses: DataFrame, bandwidth: float = 0.2, merge: float = 0.25) -> DataFrame:
     """src_type, dst_type, local_id, x, y, z: centres of relative translations by type pair (CL1, CL2).
 
-    poses: src, src_type, dst_type, x, y, z, size. The number of type pairs bounds the groups; the bandwidth follows the
-    size in the pair's first row by (src, x, y, z), and merging stops at the largest number of the pair's edges at a node.
+    poses: src, src_type, dst_type, x, y, z, size. A pair's bandwidth follows the size in its first row by (src, x, y, z), and
+    merging stops at the largest number of the pair's edges at a node. Points shift by joins (shifted_seeds); only the ends of
+    seeds, of which those within a bandwidth of a fuller one are left out, meet in a group. Pairs whose first size is 0 keep
+    their distinct translations. Empty table: empty.
     """
+    first = F.min(F.struct("src", *_XYZ, "size"))["size"].cast("double").alias("first")
+    degree = poses.groupBy(*_PAIR, "src").agg(F.count("*").alias("k")).groupBy(*_PAIR).agg(F.max("k").alias("least"))
+    pairs = settle(poses.groupBy(*_PAIR).agg(first).join(degree, list(_PAIR)))
+    few = pairs.count() <= SEEDS
+    p = poses.select(*_PAIR, *[F.col(a).cast("double").alias(a) for a in _XYZ]).join(F.broadcast(pairs) if few else pairs, list(_PAIR)).withColumn("band", F.col("first") * bandwidth)
+    ends = shifted_seeds(p.filter("band > 0")).select(*_PAIR, *_XYZ, "n")
+    ends = ends.unionByName(p.filter("band <= 0").select(*_PAIR, *_XYZ).distinct().withColumn("n", F.lit(1).cast("long")))
 
     def run(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values(["src", "x", "y", "z"])
-        p, size = pdf[["x", "y", "z"]].to_numpy(float), float(pdf["size"].iloc[0])
-        least = int(pdf.groupby("src").size().max())
-        c = merge_close(mean_shift(p, bandwidth * size), merge * size, least)
+        size, least = float(pdf["first"].iloc[0]), int(pdf["least"].iloc[0])
+        pdf = pdf.sort_values(["n", *_XYZ], ascending=[False, True, True, True])
+        c = pdf[list(_XYZ)].to_numpy(float)
+        c = merge_close(_apart(c, bandwidth * size) if bandwidth * size > 0 else c, merge * size, least)
         c = c[np.lexsort(c.T[::-1])]
         return pd.DataFrame({"src_type": pdf["src_type"].iloc[0], "dst_type": pdf["dst_type"].iloc[0], "local_id": range(len(c)), "x": c[:, 0], "y": c[:, 1], "z": c[:, 2]})
 
     t = poses.schema["src_type"].dataType.simpleString()
-    return poses.groupBy("src_type", "dst_type").applyInPandas(run, f"src_type {t}, dst_type {t}, local_id long, x double, y double, z double")
+    return ends.join(pairs, list(_PAIR)).groupBy(*_PAIR).applyInPandas(run, f"src_type {t}, dst_type {t}, local_id long, x double, y double, z double")
 
 
 def category_prefix(counts: DataFrame) -> DataFrame:

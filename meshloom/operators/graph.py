@@ -102,29 +102,6 @@ def bfs_levels(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, stop: DataF
     return seen
 
 
-def spanning_forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """src, dst (src < dst), kind: 1 for tree edges, 2 for edges that close a cycle (GR5).
-
-    A node's tree edge leads to its smallest neighbour one level nearer to the smallest node of its component.
-    """
-    label = components(nodes, edges)
-    roots = label.filter("node = label").select("node")
-    level = settle(bfs_levels(nodes, edges, roots))
-    e = edges.join(level.select(F.col("node").alias("src"), F.col("level").alias("ls")), "src").join(level.select(F.col("node").alias("dst"), F.col("level").alias("ld")), "dst")
-    parent = e.filter("ld = ls - 1").groupBy("src").agg(F.min("dst").alias("dst"))
-    tree = parent.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).withColumn("kind", F.lit(1))
-    return edges.filter("src < dst").select("src", "dst").distinct().join(tree, ["src", "dst"], "left").select("src", "dst", F.coalesce("kind", F.lit(2)).alias("kind"))
-
-
-def forest_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """label, n_nodes, n_tree, n_cycle by component (GR7): a forest has n_tree = n_nodes - 1."""
-    label = components(nodes, edges)
-    f = spanning_forest(nodes, edges).join(label.select(F.col("node").alias("src"), "label"), "src")
-    n = label.groupBy("label").agg(F.count("*").alias("n_nodes"))
-    k = f.groupBy("label").agg(F.sum(F.when(F.col("kind") == 1, 1).otherwise(0)).alias("n_tree"), F.sum(F.when(F.col("kind") == 2, 1).otherwise(0)).alias("n_cycle"))
-    return n.join(k, "label", "left").select("label", "n_nodes", F.coalesce("n_tree", F.lit(0)).cast("long").alias("n_tree"), F.coalesce("n_cycle", F.lit(0)).cast("long").alias("n_cycle"))
-
-
 def augment_components(label: DataFrame) -> DataFrame:
     """src, dst: the fewest edges that join all components, a chain of their smallest nodes (GR10). One row per component is ordered."""
     roots = label.select(F.col("label").alias("dst")).distinct()

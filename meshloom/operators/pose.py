@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.functions.frames import kabsch, local_frame, quaternion, triangles_meet
+from meshloom.functions.frames import kabsch, local_frame, quaternion
 
 
 def local_frames(points: DataFrame) -> DataFrame:
@@ -28,33 +28,6 @@ def local_frames(points: DataFrame) -> DataFrame:
     return points.groupBy("scene").applyInPandas(run, f"scene {kind}, oid long, cx double, cy double, cz double, qx double, qy double, qz double, qw double")
 
 
-def exact_pairs(faces: DataFrame, cell: float = 1.0) -> DataFrame:
-    """scene, a, b: parts of which some triangles meet (JN7). faces: scene, oid, fid, c: array of nine coordinates.
-
-    Triangles are dealt to all grid cells their boxes meet, pairs in a cell filtered by box, made distinct and tested in
-    batches.
-    """
-    f = faces.withColumns({f"{e}{i}": F.floor(g(*[F.col("c")[3 * k + i] for k in range(3)]) / cell) for i in range(3) for e, g in (("l", F.least), ("h", F.greatest))})
-    for i in range(3):
-        f = f.withColumn(f"i{i}", F.explode(F.sequence(f"l{i}", f"h{i}")))
-    f = f.select("scene", "i0", "i1", "i2", "oid", "fid", "c")
-    a, b = (f.select("scene", "i0", "i1", "i2", F.col("oid").alias(x), F.col("fid").alias(f"f{x}"), F.col("c").alias(f"c{x}")) for x in "ab")
-    box = lambda s, i, g: g(*[F.col(s)[3 * k + i] for k in range(3)])
-    pairs = a.join(b, ["scene", "i0", "i1", "i2"]).filter("a < b")
-    for i in range(3):
-        pairs = pairs.filter((box("ca", i, F.least) <= box("cb", i, F.greatest)) & (box("cb", i, F.least) <= box("ca", i, F.greatest)))
-    pairs = pairs.dropDuplicates(["scene", "fa", "fb"]).select("scene", "a", "b", "ca", "cb")
-
-    def run(it):
-        for pdf in it:
-            if len(pdf):
-                ok = triangles_meet(*(np.array(pdf[c].tolist(), float).reshape(-1, 3, 3) for c in ("ca", "cb")))
-                yield pdf.loc[ok, ["scene", "a", "b"]].drop_duplicates()
-
-    kind = faces.schema["scene"].dataType.simpleString()
-    return pairs.mapInPandas(run, f"scene {kind}, a long, b long").distinct()
-
-
 def rigid_align(matches: DataFrame, limit: float = 0.05) -> DataFrame:
     """sample, n, ok, residue and quaternion and translation of each sample's matched points (TK11).
 

@@ -9,7 +9,11 @@ from meshloom.functions import geometry as G
 from meshloom.functions import words as W
 from meshloom.sources import obj
 
-from . import pose, words
+from . import collide, pose, words
+from .lineage import settle
+
+#: Materials whose numbers are broadcast; more are joined.
+MATERIALS = 1_000_000
 
 
 def mesh_faces(elements: DataFrame) -> DataFrame:
@@ -23,24 +27,25 @@ def part_types(faces: DataFrame) -> DataFrame:
     numbered by name over all scenes, so that words of different files agree."""
     kinds = faces.groupBy("scene", "oid").agg(F.min_by("kind", "fid").alias("kind"))
     index = obj.material_index(faces.select(F.lit("face").alias("kind"), F.col("kind").alias("material")))
-    return kinds.join(F.broadcast(index.withColumnRenamed("material", "kind")), "kind").select("scene", "oid", "kind", W.type_char(F.col("type")).alias("ch"))
+    index = settle(index.withColumnRenamed("material", "kind"))
+    index = F.broadcast(index) if index.count() <= MATERIALS else index
+    return kinds.join(index, "kind").select("scene", "oid", "kind", W.type_char(F.col("type")).alias("ch"))
 
 
-def part_edges(faces: DataFrame, cell: float = 1.0) -> DataFrame:
+def part_edges(faces: DataFrame) -> DataFrame:
     """scene, src, dst: both directions of the contacts of parts, by their triangles."""
-    pairs = pose.exact_pairs(faces.select("scene", "oid", "fid", "c"), cell)
-    return pairs.select("scene", F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(pairs.select("scene", F.col("b").alias("src"), F.col("a").alias("dst")))
+    return collide.collision_graph(faces.select("scene", "oid", "fid", "c"))
 
 
-def words_of_files(files: DataFrame, repeats: int = 11, starts: str = "all", cell: float = 1.0) -> DataFrame:
+def words_of_files(files: DataFrame, repeats: int = 11, starts: str = "all") -> DataFrame:
     """scene, start, repeat, word, node_ids: the words of each connected scene in files(scene, text), from every part (or the
     first) and so many neighbour orders. At most 52 types have a character."""
     faces = mesh_faces(obj.scan(files))
     nodes = part_types(faces).select("scene", F.col("oid").alias("node"), "ch")
-    return words.encode_graphs(nodes, part_edges(faces, cell), repeats, starts=starts)
+    return words.encode_graphs(nodes, part_edges(faces), repeats, starts=starts)
 
 
-def poses_of_files(files: DataFrame, cell: float = 1.0) -> DataFrame:
+def poses_of_files(files: DataFrame) -> DataFrame:
     """scene, src, dst, types, relative translation (x, y, z), relative turn (rx, ry, rz, rw) and the neighbour's size of each
     directed contact in files(scene, text)."""
     faces = mesh_faces(obj.scan(files))
@@ -49,7 +54,7 @@ def poses_of_files(files: DataFrame, cell: float = 1.0) -> DataFrame:
     size = points.groupBy("scene", "oid").agg(*[(F.max(a) - F.min(a)).alias(a) for a in "xyz"]).select("scene", "oid", G.length([F.col(a) for a in "xyz"]).alias("size"))
     n = frames.join(size, ["scene", "oid"]).join(part_types(faces).select("scene", "oid", "kind"), ["scene", "oid"])
     end = lambda p, key: n.select("scene", F.col("oid").alias(key), *[F.col(c).alias(p + c) for c in ("cx", "cy", "cz", "qx", "qy", "qz", "qw", "kind", "size")])
-    e = part_edges(faces, cell).join(end("a_", "src"), ["scene", "src"]).join(end("b_", "dst"), ["scene", "dst"])
+    e = part_edges(faces).join(end("a_", "src"), ["scene", "src"]).join(end("b_", "dst"), ["scene", "dst"])
     q = lambda p: tuple(F.col(f"{p}q{c}") for c in "xyzw")
     c = lambda p: tuple(F.col(f"{p}c{a}") for a in "xyz")
     t, r = G.rotate(G.conjugate(q("a_")), G.sub(c("b_"), c("a_"))), G.product(G.conjugate(q("b_")), q("a_"))

@@ -133,8 +133,13 @@ def prior_sample(spark, n: int, dim: int, seed: int = 1) -> DataFrame:
     Each pair of hashed uniform numbers gives a normal one by the polar form of Box and Muller.
     """
     u = lambda salt, i: (F.pmod(F.xxhash64("id", i, F.lit(salt), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    normal = lambda i: F.sqrt(-2 * F.log(u(1, i))) * F.cos(2 * np.pi * u(2, i))
-    return spark.range(n).select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), normal).alias("v"))
+    return spark.range(n).select("id", normal_vector(F.lit(dim), u).alias("v"))
+
+
+def normal_vector(dim: Column, uniform) -> Column:
+    """dim independent standard normal numbers; uniform(salt, place) is a hashed number in (0, 1)."""
+    normal = lambda i: F.sqrt(-2 * F.log(uniform(1, i))) * F.cos(2 * np.pi * uniform(2, i))
+    return F.transform(F.sequence(F.lit(0), dim - 1), normal)
 
 
 def hashed_rank(key: Column, seed: str = "") -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql.types import StructType
 
 from meshloom.functions import words as W
 
+from .lineage import settle
+
 
 def characters(word: Column) -> Column:
     """The characters of a string as an array."""
@@ -117,13 +119,24 @@ def to_tree_grammar(degree: DataFrame) -> DataFrame:
     return degree.filter("degree > 0").select("ch", F.explode(F.sequence(F.lit(1).cast("long"), "degree")).alias("degree")).distinct()
 
 
+#: Characters, pairs and degrees of a grammar that are broadcast; more are joined.
+GRAMMAR = 1_000_000
+
+
 def check_words(words: DataFrame, grammar: dict[str, DataFrame]) -> DataFrame:
-    """words with ok (WD5). A grammar has 52 * 52 pairs at most and a degree per character and node count; both are collected once. The cheap checks come first, so the parser sees only words that pass them."""
-    pairs = {(r.a, r.b) for r in grammar["pair"].collect()}
-    degrees = {(r.ch, r.degree) for r in grammar["degree"].collect()}
-    fine = W.well_formed(F.col("word"))
-    full = batched(words.filter(fine), "ok boolean", [pa.bool_()], by_word(lambda w: (W.check(w, pairs, degrees),)))
-    return full.unionByName(words.filter(~F.coalesce(fine, F.lit(False))).withColumn("ok", F.lit(False)))
+    """words with ok (WD5): the word is well formed, and the grammar knows its characters, its pairs and its nodes' degrees.
+
+    The parser lists what each word needs (see words.needs), and an anti-join with the grammar finds what it lacks; the grammar
+    is broadcast up to a checked size and never collected. Null words aren't ok. Repeated words are judged each.
+    """
+    parsed = settle(batched(words, "__need array<string>", [pa.list_(pa.string())], by_word(lambda w: (W.needs(w or ""),))).withColumn("__row", F.monotonically_increasing_id()))
+    item = lambda kind, *c: F.concat(F.lit(kind), *[F.col(x).cast("string") for x in c]).alias("item")
+    nodes = grammar["charset"].filter("ch rlike '[A-Za-z]'")
+    known = nodes.select(item("c", "ch")).union(grammar["pair"].select(item("p", "a", "b"))).union(grammar["degree"].select(item("d", "ch", "degree"))).distinct()
+    known = settle(known)
+    known = F.broadcast(known) if known.count() <= GRAMMAR else known
+    lacks = parsed.select("__row", F.explode("__need").alias("item")).join(known, "item", "left_anti").select("__row").distinct().withColumn("__bad", F.lit(True))
+    return parsed.join(lacks, "__row", "left").withColumn("ok", F.col("__need").isNotNull() & F.col("__bad").isNull()).drop("__row", "__need", "__bad")
 
 
 def signatures(words: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meshloom.functions import geometry as G
 from meshloom.functions import words as W
-from meshloom.operators import category, grammar, graph, spatial, vector, words
+from meshloom.operators import category, exemplar, forest, grammar, graph, spatial, vector, words
 from meshloom.operators.lineage import settle
 from meshloom.plans import projections as P
 
@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from meshloom.plans import details, generative, meshes  # noqa: F401  they register theirs on import
+    from meshloom.plans import details, generative, geometry, meshes  # noqa: F401  they register theirs on import
 
     return dict(_QUERIES)
 
@@ -379,16 +379,15 @@ def relative_pose(spark, sf):
     return rounded(_poses(spark, sf), "x", "y", "z", "rz", "rw").drop("size")
 
 
-@query(f"WITH {_POSES}, q AS (SELECT src, dst, src_type, dst_type, x, y, z, rw FROM po), mt AS (SELECT q.src, q.dst, p.src * 1000000 + p.dst AS ex, round(sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z)), 5) AS d, round(abs(abs(q.rw * p.rw) - 1), 5) AS dev FROM q JOIN q p ON p.src_type = q.src_type AND p.dst_type = q.dst_type AND p.src <> q.src), n AS (SELECT *, min(d) OVER (PARTITION BY src, dst) AS near FROM mt) SELECT src, dst, arg_min(ex, ROW(dev, d, ex)) AS exemplar FROM n WHERE d < near + 0.05 GROUP BY src, dst")
+@query(f"WITH {_POSES}, tl AS (SELECT 0.01 * sqrt((max(x) - min(x)) * (max(x) - min(x)) + (max(y) - min(y)) * (max(y) - min(y)) + (max(z) - min(z)) * (max(z) - min(z))) AS tol FROM pt), mt AS (SELECT q.src, q.dst, p.src * 1000000 + p.dst AS ex, round(sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z)), 5) AS d, round(abs(abs(q.rw * p.rw + q.rz * p.rz) - 1), 5) AS dev FROM po q JOIN po p ON p.src_type = q.src_type AND p.dst_type = q.dst_type AND p.src <> q.src), n AS (SELECT *, min(d) OVER (PARTITION BY src, dst) AS near FROM mt) SELECT src, dst, arg_min(ex, ROW(dev, d, ex)) AS exemplar FROM n, tl WHERE d < near + tol GROUP BY src, dst")
 def exemplar_best_match(spark, sf):
-    """PO6, PO7: nearest edge of the same types from another source; among near ties the smallest turn."""
-    p = _poses(spark, sf).select("src", "dst", "src_type", "dst_type", "x", "y", "z", "rw")
-    x = p.select("src_type", "dst_type", F.col("src").alias("es"), (F.col("src") * 1000000 + F.col("dst")).alias("ex"), *[F.col(c).alias(f"p_{c}") for c in ("x", "y", "z", "rw")])
-    m = p.join(x, ["src_type", "dst_type"]).filter("es <> src")
-    d = G.length(G.sub(tuple(F.col(c) for c in "xyz"), tuple(F.col(f"p_{c}") for c in "xyz")))
-    m = m.select("src", "dst", "ex", F.round(d, 5).alias("d"), F.round(F.abs(F.abs(F.col("rw") * F.col("p_rw")) - 1), 5).alias("dev"))
-    near = m.withColumn("near", F.min("d").over(Window.partitionBy("src", "dst"))).filter(F.col("d") < F.col("near") + 0.05)
-    return near.groupBy("src", "dst").agg(F.min(F.struct("dev", "d", "ex"))["ex"].alias("exemplar"))
+    """PO6, PO7: the nearest edge of the same types from another source; among those a hundredth of the diagonal further at most, the smallest turn."""
+    zero = [F.lit(0.0).alias(c) for c in ("rx", "ry")]
+    p = _poses(spark, sf).select((F.col("src") * 1000000 + F.col("dst")).alias("ex"), F.col("src").alias("scene"), "dst", "src_type", "dst_type", "x", "y", "z", *zero, "rz", "rw")
+    p = settle(p)
+    tol = exemplar.tolerance(P.points(spark, sf).withColumn("scene", F.lit(0)))
+    best = exemplar.best_match(p.withColumnRenamed("ex", "id"), exemplar.library(p), tol)
+    return best.join(p.select(F.col("ex").alias("id"), F.col("scene").alias("src"), "dst"), "id").select("src", "dst", F.col("ex").alias("exemplar"))
 
 
 _COV = ", ".join(f"round(sum(({a} - c{a}) * ({b}2 - c{b}2)) + 0.0031::DOUBLE, 2) AS c{i}{j}" for i, a in enumerate("xyz") for j, b in enumerate("xyz"))
@@ -783,7 +782,7 @@ def component_augment(spark, sf):
 @query(f"WITH {_CC(1)}, n AS (SELECT label, count(*) AS n_nodes FROM lb GROUP BY label), u AS (SELECT DISTINCT src, dst FROM ke WHERE src < dst), g AS (SELECT label, count(*) AS m FROM u JOIN lb ON lb.node = u.src GROUP BY label) SELECT label, n_nodes, n_nodes - 1 AS n_tree, coalesce(m, 0) - (n_nodes - 1) AS n_cycle FROM n LEFT JOIN g USING (label)")
 def spanning_forest_invariants(spark, sf):
     """GR5, GR7: one edge less than nodes, the rest close cycles."""
-    return graph.forest_summary(_vector_nodes(spark, sf), _knn_edges(spark, sf, 1).select("src", "dst"))
+    return forest.forest_summary(_vector_nodes(spark, sf), _knn_edges(spark, sf, 1).select("src", "dst"))
 
 
 _BFS = lambda stop="": f"RECURSIVE {_KE(3)}, bf(node, level) AS (SELECT min(id), CAST(0 AS BIGINT) FROM v UNION SELECT ke.dst, bf.level + 1 FROM bf JOIN ke ON ke.src = bf.node WHERE bf.level < 40 {stop}) SELECT node, min(level) AS level FROM bf GROUP BY node"
