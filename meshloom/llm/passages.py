@@ -17,20 +17,18 @@ UNIT = re.compile(r"[^.!?\n]+[.!?]*")
 _WORD = re.compile(r"[^\W_]+")
 #: Units of fewer words are passed over: they recur by chance.
 UNIT_WORDS = 3
-#: A run of repeated units goes if it has RUN_WORDS words, or LINE_WORDS and fills whole lines. Both stand well above the
-#: length of licence notices and other lines that texts rightly share; a passage of 50 words keeps RUN_WORDS of them in
-#: whole sentences.
-RUN_WORDS, LINE_WORDS = 30, 30
-SCHEMA = "doc_id long, m1 long, pos int, start int, end int, words int, opens boolean, closes boolean, d1 long, d2 long"
+#: A document loses its repeated units if they have so many words in all. Fewer are what texts rightly share, such as a licence
+#: line on its own; a document that repeats more than that loses its short lines too.
+SHARED_WORDS = 30
+SCHEMA = "doc_id long, m1 long, pos int, start int, end int, words int, d1 long, d2 long"
 
 
-def units(text: str) -> list[tuple[int, int, int, bool, bool, bytes]]:
-    """(start, end, words, opens its line, closes its line, digest) of each unit of UNIT_WORDS words or more.
+def units(text: str) -> list[tuple[int, int, int, bytes]]:
+    """(start, end, words, digest) of each unit of UNIT_WORDS words or more.
 
     The digest is of the unit's words in lower case, joined by one space, so spacing, case and punctuation don't matter.
     """
     out = []
-    n = len(text)
     for m in UNIT.finditer(text):
         words = _WORD.findall(m[0])
         if len(words) < UNIT_WORDS:
@@ -40,24 +38,19 @@ def units(text: str) -> list[tuple[int, int, int, bool, bool, bytes]]:
             a += 1
         while text[b - 1].isspace():
             b -= 1
-        i, j = m.start() - 1, m.end()
-        while i >= 0 and text[i] != "\n" and text[i].isspace():
-            i -= 1
-        while j < n and text[j] != "\n" and text[j].isspace():
-            j += 1
         digest = hashlib.blake2b(" ".join(words).lower().encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        out.append((a, b, len(words), i < 0 or text[i] == "\n", j >= n or text[j] == "\n", digest))
+        out.append((a, b, len(words), digest))
     return out
 
 
 def _units(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64()]
     for rb in it:
         cols: list[list] = [[] for _ in names]
         for i, m1, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), rb.column(2)):
-            for pos, (a, b, w, opens, closes, d) in enumerate(units(text.as_py() or "")):
-                for c, v in zip(cols, (i, m1, pos, a, b, w, opens, closes, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True))):
+            for pos, (a, b, w, d) in enumerate(units(text.as_py() or "")):
+                for c, v in zip(cols, (i, m1, pos, a, b, w, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True))):
                     c.append(v)
             if len(cols[0]) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
@@ -71,7 +64,7 @@ def _three(docs: DataFrame) -> list:
     return [doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("m1"), text.alias("text")]
 
 
-def _runs(docs: DataFrame, run_words: int, line_words: int) -> DataFrame:
+def _runs(docs: DataFrame, shared_words: int) -> DataFrame:
     each = cut(docs.select(*_three(docs)).mapInArrow(_units, SCHEMA))
     # documents without an id come last, so that what they share with others goes from them
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "m1", "start")
@@ -79,25 +72,23 @@ def _runs(docs: DataFrame, run_words: int, line_words: int) -> DataFrame:
     # written, so its size is known: a small table is broadcast, and a large one joined by a merge whose hot digests AQE splits
     later = each.join(cut(first), ["d1", "d2"]).filter(~place.eqNullSafe(F.col("first"))).drop("d1", "d2")
     later = later.dropDuplicates(["doc_id", "m1", "start", "end"])
+    later = later.withColumn("shared", F.sum("words").over(Window.partitionBy("doc_id", "m1"))).filter(F.col("shared") >= shared_words)
     run = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "m1").orderBy("pos", "start"))
-    runs = later.withColumn("run", run).groupBy("doc_id", "m1", "run").agg(
+    return later.withColumn("run", run).groupBy("doc_id", "m1", "run").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.sum("words").cast("long").alias("n_words"),
-        F.min_by("opens", "start").alias("opens"),
-        F.max_by("closes", "start").alias("closes"),
         F.min_by("first", "start").alias("first"),
     )
-    return runs.filter((F.col("n_words") >= run_words) | ((F.col("n_words") >= line_words) & F.col("opens") & F.col("closes")))
 
 
-def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, shared_words: int = SHARED_WORDS) -> DataFrame:
     """Passages to remove: doc_id, start, end (code points, end exclusive), n_words, first_doc_id, first_start.
 
     Texts are cut into sentences within lines, each normalised to its lower-cased words and hashed (128 bits). For every
-    digest the occurrence that comes first by (doc_id, a digest of the text, start) stays. Later ones form runs within their
-    document; a run of run_words words goes, and one of line_words words that fills whole lines. first_* is where the run's
-    first unit occurred first. A run of fewer words stays, and so does a passage without a whole sentence or line in common.
+    digest the occurrence that comes first by (doc_id, a digest of the text, start) stays. Later ones go, adjoining ones as one
+    run, from every document in which they have shared_words words in all; a document that shares fewer keeps them. first_* is
+    where the run's first unit occurred first. A passage without a whole sentence or line in common stays.
 
     The earliest occurrence is a partially aggregated minimum, and only repeated units are joined and brought together by
     document, so a line that a third of all documents hold costs a row per task before the join, which AQE may split.
@@ -105,17 +96,17 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS, line_words: i
     one document, rows of one doc_id with other texts as others. Documents with a null doc_id come after all others. Empty
     table: empty. Only doc_id and text are read.
     """
-    runs = _runs(docs, run_words, line_words)
+    runs = _runs(docs, shared_words)
     return runs.select("doc_id", "start", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
 
 
-def without_passages(docs: DataFrame, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
+def without_passages(docs: DataFrame, shared_words: int = SHARED_WORDS) -> DataFrame:
     """docs with text less its repeated passages, and removed: the array of (start, end) in the original text.
 
     A column of docs by the name removed is replaced. Rows that share an id lose what repeats in their own text only.
     """
     spans = F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone")
-    gone = _runs(docs, run_words, line_words).groupBy(F.col("doc_id").alias("__id"), F.col("m1").alias("__m")).agg(spans)
+    gone = _runs(docs, shared_words).groupBy(F.col("doc_id").alias("__id"), F.col("m1").alias("__m")).agg(spans)
     doc_id, m1, text = _three(docs)
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), doc_id, m1, text)
     out = own.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("m1") == F.col("__m")), "left")

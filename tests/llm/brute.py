@@ -103,26 +103,27 @@ def quality(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, r, len(w) < 50 or 100 * r > 50 * len(w)
 
 
-def passages(rows, run_words, line_words):
-    """(id, start, end, words) of runs of sentences that occur earlier; rows of one id must not differ in text."""
+def passages(rows, shared_words):
+    """(id, start, end, words) of runs of sentences that occur earlier, of texts with so many such words; rows of one id must not differ in text."""
     seen, out = set(), set()
     for i, text in sorted(dict(rows).items()):
-        run, at, place = [], 0, []
+        at, place = 0, []
         for line in (text or "").split("\n"):
             for m in re.finditer(r"[^.!?]+[.!?]*", line):
                 words = re.findall(r"[^\W_]+", m[0])
                 if len(words) >= 3:
                     a, b = m.start() + len(m[0]) - len(m[0].lstrip()), m.end() - (len(m[0]) - len(m[0].rstrip()))
-                    place.append((" ".join(words).lower(), at + a, at + b, len(words), not line[:a].strip(), not line[b:].strip()))
+                    place.append((" ".join(words).lower(), at + a, at + b, len(words)))
             at += len(line) + 1
         old = [p[0] in seen or p[0] in {q[0] for q in place[:j]} for j, p in enumerate(place)]
         seen |= {p[0] for p in place}
+        if sum(p[3] for p, is_old in zip(place, old) if is_old) < shared_words:
+            continue
+        run = []
         for p, is_old in [*zip(place, old), (None, False)]:
             if is_old:
                 run.append(p)
             elif run:
-                n = sum(q[3] for q in run)
-                if n >= run_words or n >= line_words and run[0][4] and run[-1][5]:
-                    out.add((i, run[0][1], run[-1][2], n))
+                out.add((i, run[0][1], run[-1][2], sum(q[3] for q in run)))
                 run = []
     return out

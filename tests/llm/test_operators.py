@@ -346,13 +346,13 @@ def test_differencing():
 
 def test_passages(spark, docs, rows, odd, empty):
     """Against plain Python: every sentence that occurs earlier lies in a reported run or in one too short; nothing else is reported."""
-    for run_words, line_words in ((passages.RUN_WORDS, passages.LINE_WORDS), (20, 5)):
-        got = passages.repeated_passages(docs, run_words, line_words).collect()
-        assert {(r.doc_id, r.start, r.end, r.n_words) for r in got} == brute.passages(rows, run_words, line_words) and got
+    for shared_words in (passages.SHARED_WORDS, 5, 1):
+        got = passages.repeated_passages(docs, shared_words).collect()
+        assert {(r.doc_id, r.start, r.end, r.n_words) for r in got} == brute.passages(rows, shared_words) and got
     assert passages.repeated_passages(empty).count() == 0
     known = [(i, t) for i, t in texts_of(odd) if i is not None]
     got = {(r.doc_id, r.start, r.end, r.n_words) for r in passages.repeated_passages(odd).collect()}
-    assert got == brute.passages(known, passages.RUN_WORDS, passages.LINE_WORDS) and {g[0] for g in got} <= {13, 15, 16}
+    assert got == brute.passages(known, passages.SHARED_WORDS) and {g[0] for g in got} <= {13, 15, 16}
     text = dict(rows)
     for frame in (docs, odd.withColumn("removed", F.lit("mine"))):
         out = passages.without_passages(frame)
@@ -371,7 +371,7 @@ def test_passages_of_shared_ids(spark):
     other = "Quite another text stands here. It says nothing that was said before, and nothing that is said again in all these words of mine."
     data = [(1, own), (5, "Begin. " + own + " End."), (5, other), (5, other), (None, own), (None, other), (7, None)]
     frame = spark.createDataFrame(data, "doc_id long, text string")
-    out = Counter((r.doc_id, r.text) for r in passages.without_passages(frame, 20, 20).collect())
+    out = Counter((r.doc_id, r.text) for r in passages.without_passages(frame, 20).collect())
     assert out == Counter([(1, own), (5, "Begin.  End."), (5, other), (5, other), (None, ""), (None, ""), (7, None)])
 
 
@@ -382,6 +382,16 @@ def test_passage_inside_a_line(spark):
     assert [(r.doc_id, r.first_doc_id) for r in got] == [(2, 1)] and got[0].n_words >= 30
 
 
+def test_labelled_sample_is_the_first_by_rank(spark, docs):
+    """The same findings whatever the partitions and the order of rows: those of lowest rank of all."""
+    key = lambda r: tuple(r[c] for c in secretscan._LABELS)
+    whole = [tuple(r) for r in secretscan.corpus_findings(docs.coalesce(1), 10**6).collect()]
+    want = sorted(x for y in (0, 1) for x in sorted(r for r in whole if r[0] == y)[:40])
+    assert len(want) >= 40 and len(whole) > 1000
+    for frame in (docs.coalesce(1), docs.repartition(4), docs.repartition(16), docs.coalesce(1).orderBy(F.desc("doc_id"))):
+        assert sorted(map(key, secretscan.sampled_findings(frame, 40))) == want
+
+
 def test_secrets(docs, rows, odd, empty):
     net = secretscan.trained()
     for frame, data in ((docs, rows), (odd, texts_of(odd))):
