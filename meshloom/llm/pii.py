@@ -20,11 +20,13 @@ CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: A term: a run of letters, marks and digits.
 TERM = r"[\p{L}\p{M}\p{N}]+"
-#: A term discloses an entity if their pointwise mutual information is at least DISCLOSE of the entity's information
-#: content. A pair seen in fewer than SUPPORT documents must reach that share of its own content, which is larger.
-DISCLOSE, SUPPORT = 0.8, 2
+#: A term discloses an entity if their pointwise mutual information, discounted for small counts, is at least DISCLOSE of the
+#: entity's information content. At a half, a term needs three documents with the entity, even where it is in no others.
+DISCLOSE = 0.5
 #: Terms in over a COMMON-th of the documents that can't disclose anything are dropped by a broadcast, before any shuffle.
 COMMON = 1000
+#: Terms that are broadcast; more are joined by a shuffle.
+FEW = 1_000_000
 #: Matches and spans handled between two copies of what has been built so far.
 BLOCK = 256
 
@@ -99,12 +101,13 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, disclose: float = DISCLOSE, support: int = SUPPORT) -> DataFrame:
+def disclosing(found: DataFrame, docs: DataFrame, disclose: float = DISCLOSE) -> DataFrame:
     """(uid, terms): per row of found the terms that reveal one of its entities, by document counts over the whole corpus.
 
     With N documents, PMI(v; t) = log2(N * n(v, t) / (n(v) * n(t))) and IC(v) = log2(N / n(v)); t discloses v if
-    PMI >= disclose * IC(v), or, for a pair in fewer than support documents, disclose * log2(N / n(v, t)): the two agree for
-    an entity with one document, and one meeting says little about an entity that is often seen without the term.
+    PMI * n(v, t) / (n(v, t) + 1) * m / (m + 1) >= disclose * IC(v), m the smaller of n(v) and n(t). The factors shrink what few
+    documents say: all rare words of a document meet its entity once, and in a copy of it twice, related to it or not. So
+    counts with which no term or entity could reach the threshold are left out first, whatever their PMI.
 
     Terms anywhere in the text count. As n(v, t) <= n(v), only terms with n(t) <= n(v) * (N / n(v)) ** (1 - disclose) can
     disclose v; pairs of others aren't formed. Entities in the same documents have the same counts with every term, so they
@@ -112,21 +115,26 @@ def disclosing(found: DataFrame, docs: DataFrame, disclose: float = DISCLOSE, su
     """
     n = float(found.count())
     some = found.filter(F.size("base") > 0)
+    # a count of c alone allows a factor of (c / (c + 1)) squared at most
+    enough = lambda c: F.pow(c / (c + F.lit(1.0)), F.lit(2.0)) >= disclose
     held = some.select("uid", F.explode(F.array_distinct(F.transform("base", lambda b: b["v"]))).alias("v"))
-    entities = held.groupBy("v").agg(F.count("*").alias("n_v"), F.bit_xor(F.xxhash64("uid")).alias("c1"), F.bit_xor(F.xxhash64(F.lit("again"), "uid")).alias("c2"))
+    entities = held.groupBy("v").agg(F.count("*").alias("n_v"), F.bit_xor(F.xxhash64("uid")).alias("c1"), F.bit_xor(F.xxhash64(F.lit("again"), "uid")).alias("c2")).filter(enough(F.col("n_v")))
     classes = cut(held.join(entities, "v").select("uid", "n_v", "c1", "c2").distinct())
     bound_of = lambda n_v: n_v * F.pow(F.lit(n) / n_v, F.lit(1 - disclose)) * (1 + 1e-9)
     most = classes.agg(F.max(bound_of(F.col("n_v")))).first()[0] or 0.0
     counts = cut(_texts(docs).select(F.explode(_terms(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t")))
     common = counts.filter(F.col("n_t") > max(most, n / COMMON)).select("t")
-    rows = some.select("uid", F.explode(_terms(F.col("text"))).alias("t")).join(F.broadcast(common), "t", "left_anti")
-    rows = rows.join(counts.filter(F.col("n_t") <= most), "t").join(classes, "uid").filter(F.col("n_t") <= bound_of(F.col("n_v")))
+    rows = some.join(classes.select("uid").distinct(), "uid", "left_semi").select("uid", F.explode(_terms(F.col("text"))).alias("t"))
+    common = cut(common)
+    rows = rows.join(F.broadcast(common) if common.count() <= FEW else common, "t", "left_anti")
+    rows = rows.join(counts.filter((F.col("n_t") <= most) & enough(F.col("n_t"))), "t").join(classes, "uid").filter(F.col("n_t") <= bound_of(F.col("n_v")))
     rows = cut(rows.select("uid", "t", "n_t", "n_v", "c1", "c2"))
     pairs = rows.groupBy("c1", "c2", "n_v", "t", "n_t").agg(F.count("*").alias("both"))
     content = F.log2(F.lit(n) / F.col("n_v"))
     pmi = F.log2(F.lit(n) * F.col("both") / (F.col("n_v") * F.col("n_t")))
-    need = disclose * F.when(F.col("both") >= support, content).otherwise(F.log2(F.lit(n) / F.col("both")))
-    hit = pairs.filter((content > 0) & (pmi >= need)).select("c1", "c2", "n_v", "t")
+    few = F.least("n_v", "n_t")
+    score = pmi * F.col("both") / (F.col("both") + 1) * few / (few + 1)
+    hit = pairs.filter((content > 0) & (score >= disclose * content)).select("c1", "c2", "n_v", "t")
     return rows.join(hit, ["c1", "c2", "n_v", "t"], "left_semi").groupBy("uid").agg(F.collect_set("t").alias("terms"))
 
 
