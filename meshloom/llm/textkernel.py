@@ -12,7 +12,7 @@ _CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _CODE[_WS] = 0
 _BASE = np.uint64(int(_rng.integers(1, 2**62)) * 2 + 1)
 _MUL = _rng.integers(1, 2**62, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_pow = np.ones(1, np.uint64)
+_weight = np.ones(0, np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -24,11 +24,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    global _pow
-    if len(_pow) < n:
-        _pow = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 4096), _BASE, np.uint64))])
-    return _pow
+def _weights(n: int) -> np.ndarray:
+    """A pseudorandom odd number for each place in a word. Powers of one base would make words collide that are built to (those of
+    Thue and Morse), whatever the base."""
+    global _weight
+    if len(_weight) < n:
+        _weight = mix64(np.arange(max(2 * n, 4096), dtype=np.uint64) * _BASE + _BASE) | np.uint64(1)
+    return _weight
 
 
 class Words:
@@ -49,7 +51,7 @@ class Words:
             length = np.diff(np.append(self.start, len(buf)))
             first = self.start[0]
             rel = np.arange(first, len(buf)) - np.repeat(self.start, length)
-            self.hash = mix64(np.add.reduceat(_CODE[buf[first:]] * _powers(int(rel.max()) + 1)[rel], self.start - first) + (self.end - self.start).astype(np.uint64))
+            self.hash = mix64(np.add.reduceat(_CODE[buf[first:]] * _weights(int(rel.max()) + 1)[rel], self.start - first) + (self.end - self.start).astype(np.uint64))
         else:
             self.hash = np.zeros(0, np.uint64)
         self.offset = np.searchsorted(self.start, np.concatenate([self.text_start, [len(buf)]]))

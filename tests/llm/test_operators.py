@@ -195,21 +195,24 @@ def test_pii_method_adds_disclosing_terms(spark):
 
 
 def test_pii_terms_of_whole_document(spark):
-    """An entity of one document, a name far from it and again at the end; a rare word of a document without entities stays."""
-    data = [(0, "ask for Zoltanix when you write to the team about it at noon please or mail zz@corp.example.com today as zoltanix said")]
-    data += [(i, "ask for the team when you write to the team about it at noon please or mail them today as they said") for i in range(1, 300)]
+    """A name far from the entity of four documents and again at the end goes; what meets an entity once, or in two copies, stays."""
+    text = "ask for Zoltanix when you write to the team about it at noon please or mail zz@corp.example.com today as zoltanix said"
+    data = [(i, text + f" rare{i}word") for i in range(4)] + [(i, "call Qwertz or mail one@corp.example.com now") for i in (4, 5)] + [(6, "call Solitar or mail two@corp.example.com now")]
+    data += [(i, "ask for the team when you write to the team about it at noon please or mail them today as they said") for i in range(7, 300)]
     data += [(300, "ask for Qwertz when you write to the team"), (None, None)]
     frame = spark.createDataFrame(data, "doc_id long, text string")
-    text = data[0][1]
     at = [m.span() for m in re.finditer("zoltanix", text.lower())]
     got = {r.doc_id: r for r in pii.pii_spans(frame).collect()}
-    assert {x for x in got[0].spans.split(",") if x.startswith("term")} == {f"term:{a}:{b}" for a, b in at} and got[0].n_term == 2
+    for i in range(4):
+        assert {x for x in got[i].spans.split(",") if x.startswith("term")} == {f"term:{a}:{b}" for a, b in at} and got[i].n_term == 2
+    assert all(got[i].n_term == 0 and got[i].n_email == 1 for i in (4, 5, 6))
     assert not got[300].spans and not got[7].spans
     clean = {r.doc_id: r.text for r in pii.sanitised(frame).collect()}
-    assert clean[0] == re.sub("(?i)zoltanix", "[TERM]", text).replace("zz@corp.example.com", "[EMAIL]") and clean[300] == data[300][1]
+    assert clean[0] == re.sub("(?i)zoltanix", "[TERM]", data[0][1]).replace("zz@corp.example.com", "[EMAIL]") and clean[300] == data[300][1]
+    assert clean[4] == "call Qwertz or mail [EMAIL] now"
 
 
-def brute_terms(data, disclose=0.8, support=2):
+def brute_terms(data, disclose=pii.DISCLOSE):
     docs = []
     for i, t in data:
         found = brute.spans(t, brute.PII)
@@ -222,15 +225,17 @@ def brute_terms(data, disclose=0.8, support=2):
     both = Counter((v, t) for d in docs for v in d[2] for t in {r[2] for r in d[3]})
 
     def hit(v, t):
-        need = math.log2(n / n_v[v]) if both[v, t] >= support else math.log2(n / both[v, t])
-        return n_v[v] < n and math.log2(n * both[v, t] / (n_v[v] * n_t[t])) >= disclose * need
+        b, m = both[v, t], min(n_v[v], n_t[t])
+        return n_v[v] < n and math.log2(n * b / (n_v[v] * n_t[t])) * b / (b + 1) * m / (m + 1) >= disclose * math.log2(n / n_v[v])
 
     return Counter((i, frozenset(f"term:{a}:{b}" for a, b, t in runs if any(hit(v, t) for v in form) and not any(a < y and x < b for x, _, y, _ in found))) for i, found, form, runs in docs)
 
 
 def test_pii_terms_brute(docs, rows):
-    got = Counter((r.doc_id, frozenset(x for x in r.spans.split(",") if x.startswith("term"))) for r in pii.pii_spans(docs).collect())
-    assert got == brute_terms(rows) and any(s for _, s in got)
+    for disclose in (pii.DISCLOSE, 0.2):
+        got = Counter((r.doc_id, frozenset(x for x in r.spans.split(",") if x.startswith("term"))) for r in pii.pii_spans(docs, disclose=disclose).collect())
+        assert got == brute_terms(rows, disclose)
+    assert any(s for _, s in got)
 
 
 def test_sanitised_keeps_rows(odd, empty):
@@ -387,7 +392,7 @@ def test_labelled_sample_is_the_first_by_rank(spark, docs):
     key = lambda r: tuple(r[c] for c in secretscan._LABELS)
     whole = [tuple(r) for r in secretscan.corpus_findings(docs.coalesce(1), 10**6).collect()]
     want = sorted(x for y in (0, 1) for x in sorted(r for r in whole if r[0] == y)[:40])
-    assert len(want) >= 40 and len(whole) > 1000
+    assert len(want) >= 40 and len(whole) > 400
     for frame in (docs.coalesce(1), docs.repartition(4), docs.repartition(16), docs.coalesce(1).orderBy(F.desc("doc_id"))):
         assert sorted(map(key, secretscan.sampled_findings(frame, 40))) == want
 
@@ -687,3 +692,13 @@ def test_pipeline(spark, sf):
     assert max(filled.values()) <= 2048
     whole = cp.run(spark, sf)
     assert whole.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and whole.count() > 0
+
+
+def test_words_built_to_collide(spark):
+    """The Thue-Morse word of two letters and its complement are two words, and texts of them aren't linked."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame([(1, word), (2, other), (3, word)], "doc_id long, text string"), 3, 85).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
