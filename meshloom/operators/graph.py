@@ -103,9 +103,9 @@ def bfs_levels(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, stop: DataF
 
 
 def augment_components(label: DataFrame) -> DataFrame:
-    """src, dst: the fewest edges that join all components, a chain of their smallest nodes (GR10). One row per component is ordered."""
-    roots = label.select(F.col("label").alias("dst")).distinct()
-    return roots.withColumn("src", F.lag("dst").over(Window.orderBy("dst"))).filter("src IS NOT NULL").select("src", "dst")
+    """src, dst: the fewest edges that join all components, a chain of their smallest nodes (GR10), numbered by ranges."""
+    at = numbered(label.select(F.col("label").alias("dst")).distinct(), "dst")
+    return at.join(at.select(F.col("dst").alias("src"), (F.col("number") + 1).alias("number")), "number").select("src", "dst")
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 1000) -> DataFrame:

@@ -541,10 +541,10 @@ def charset(spark, sf):
     return P.table(spark, sf, "documents").select(F.explode(F.split("text", "")).alias("ch")).filter("ch <> ''").groupBy("ch").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {WORDS}, x AS (SELECT scene, rpad(word, 40, ' ') AS word FROM w) SELECT scene, p, instr(' ()ANOR', substr(word, p, 1)) - 1 AS idx FROM (SELECT scene, word, unnest(range(1, 41)) AS p FROM x)")
+@query(f"WITH {WORDS}, x AS (SELECT scene, rpad(word, 120, ' ') AS word FROM w) SELECT scene, p, instr(' ()ANOR', substr(word, p, 1)) - 1 AS idx FROM (SELECT scene, word, unnest(range(1, 121)) AS p FROM x)")
 def pad_index(spark, sf):
     """EN1, EN2, WD12: padded words as indexes into the charset."""
-    w = P.order_words(spark, sf).select("scene", F.posexplode(words.padded(F.col("word"), 40)).alias("p", "ch"))
+    w = P.order_words(spark, sf).select("scene", F.posexplode(words.padded(F.col("word"), 120)).alias("p", "ch"))
     return w.select("scene", (F.col("p") + 1).cast("long").alias("p"), (F.instr(F.lit(" ()ANOR"), F.col("ch")) - 1).cast("long").alias("idx"))
 
 

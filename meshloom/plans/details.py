@@ -455,11 +455,11 @@ def decode_vote(spark, sf):
     return category.majority_vote(v.select("label", F.floor(best / 8).cast("long").alias("category")), ["label"])
 
 
-@query(f"WITH {WORDS} SELECT scene, word FROM w WHERE length(word) <= 40")
+@query(f"WITH {WORDS} SELECT scene, word FROM w WHERE length(word) <= 120")
 def autoencode_words(spark, sf):
     """ML5: words through a pluggable model's encoder and decoder."""
-    model = dataset.CharacterModel(" ()ANOR", 40)
-    w = P.order_words(spark, sf).filter(F.length("word") <= 40)
+    model = dataset.CharacterModel(" ()ANOR", 120)
+    w = P.order_words(spark, sf).filter(F.length("word") <= 120)
     return dataset.decoded(dataset.encoded(w, model), model)
 
 

@@ -228,7 +228,8 @@ def scan_instances(files: DataFrame) -> DataFrame:
     """scene, place, object, m (twelve numbers, row by row), lo, hi of the instance records in files(scene, text) (IO12). A record
     begins with its object's id; rows that lack give the identity, bounds that lack are null."""
     clean = F.regexp_replace("text", "(?m)#.*$", "")
-    parts = F.slice(F.split(clean, r"(?m)^\s*obj_id\s+"), F.lit(2), F.lit(1_000_000))
+    records = F.split(clean, r"(?m)^\s*obj_id\s+")
+    parts = F.slice(records, F.lit(2), F.size(records))
     rec = files.select("scene", F.posexplode(parts).alias("place", "r"))
     nums = lambda k: F.transform(F.split(F.trim(F.regexp_extract("r", rf"(?m)^\s*{k}[ \t]+(.*)$", 1)), r"\s+"), lambda x: x.cast("double"))
     has = lambda k: F.col("r").rlike(rf"(?m)^\s*{k}[ \t]")

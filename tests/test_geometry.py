@@ -347,3 +347,27 @@ def test_word_checker(spark):
     asked = ["AB", "BA", "A-B", "A?B", "A%B", "A*", "A(%B)B", "A1%1B", "AC", "CA", "B", "A(B)C", "A(C)B", None, "AB", "AD"]
     got = {r.word: r.ok for r in words.check_words(spark.createDataFrame([(w,) for w in asked], "word string"), g).collect()}
     assert {w for w, ok in got.items() if ok} == {"AB", "A1%1B", "A(B)C", "A(C)B", "BA", "AC", "CA"}
+
+
+def test_merged_scenes_resolve_to_the_same_places(spark):
+    """Chosen objects of two scenes, one moved; what no kept face names goes; null textures and normals stay null."""
+    from meshloom.operators import merge
+
+    first = "v 9 9 9\nv 0 0 0\nv 1 0 0\nv 0 1 0\nv 0 0 1\nvt 0 0\nvt 1 1\nvn 1 0 0\no a\nusemtl m\nf 2/2/1 3/2/1 4/1/1\no b\nf 3 4 5\no c\nf 1 2 3\nf 5 4 3\n"
+    second = "vn 0 1 0\nv 5 0 0\nv 6 0 0\nv 5 1 0\nv 7 7 7\no x\nf 1//1 2//1 3//1\no y\nf 4 4 4\n"
+    cols = objformat.SCHEMA
+    a, b = (spark.createDataFrame(list(objformat.elements("s", t.splitlines())), cols).repartition(3) for t in (first, second))
+    keep = lambda *oids: spark.createDataFrame([("s", o) for o in oids], "scene string, oid long")
+    half = math.sqrt(0.5)
+    m = merge.merge_elements(a, b, keep(0, 2, 2), keep(0), (0.0, 0.0, half, half), (10.0, 0.0, 0.0)).collect()  # a quarter turn about z
+    at = {(r.kind, r.idx): tuple(round(x, 6) + 0.0 for x in (r.x, r.y, r.z) if x is not None) for r in m if r.kind in ("vertex", "texcoord", "normal")}
+    faces = sorted((r.idx, r.oid, r.material, [at["vertex", v] for v in (r.v1, r.v2, r.v3)], [at.get(("texcoord", t)) for t in (r.t1, r.t2, r.t3)], [at.get(("normal", n)) for n in (r.n1, r.n2, r.n3)]) for r in m if r.kind == "face")
+    none = [None] * 3
+    assert faces == [
+        (0, 0, "m", [(0, 0, 0), (1, 0, 0), (0, 1, 0)], [(1, 1), (1, 1), (0, 0)], [(1, 0, 0)] * 3),
+        (1, 1, "m", [(9, 9, 9), (0, 0, 0), (1, 0, 0)], none, none),
+        (2, 1, "m", [(0, 0, 1), (0, 1, 0), (1, 0, 0)], none, none),
+        (3, 2, "Default", [(10, 5, 0), (10, 6, 0), (9, 5, 0)], none, [(-1, 0, 0)] * 3),
+    ]
+    assert Counter(k for k, _ in at) == {"vertex": 8, "texcoord": 2, "normal": 2} and {i for k, i in at if k == "vertex"} == set(range(8))
+    assert merge.merge_elements(a, b, keep(0).filter("oid < 0"), keep(0).filter("oid < 0")).count() == 0
