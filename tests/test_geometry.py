@@ -371,3 +371,37 @@ def test_merged_scenes_resolve_to_the_same_places(spark):
     ]
     assert Counter(k for k, _ in at) == {"vertex": 8, "texcoord": 2, "normal": 2} and {i for k, i in at if k == "vertex"} == set(range(8))
     assert merge.merge_elements(a, b, keep(0).filter("oid < 0"), keep(0).filter("oid < 0")).count() == 0
+
+
+def test_cut_matching_by_brute_force(spark):
+    """Graphs that are no copies: every match of every sample, the first one from each of four starts, verified in pairs."""
+    from itertools import permutations
+
+    from meshloom.operators.variation import match_cuts
+
+    r = random.Random(6)
+    node = lambda i: (i, r.choice("aab"), *[float(r.randint(0, 3)) for _ in range(3)], r.choice([1.0, 2.0]))
+    graphs = {g: [node(10 * i + g) for i in range(7)] for g in range(3)}
+    samples = {s: (s % 4, [node(i)[:5] for i in range(r.choice([1, 2, 3, 3, 4]))]) for s in range(40)}
+    tol, want = 0.5, set()
+    for s, (g, p) in samples.items():
+        found = []
+        for m in permutations(graphs.get(g, []), len(p)):
+            if any(a[1] != b[1] for a, b in zip(p, m)):
+                continue
+            gap = lambda i, j: abs(math.dist(p[i][2:5], p[j][2:5]) - math.dist(m[i][2:5], m[j][2:5]))  # noqa: E731, B023
+            if all(gap(i, j) <= tol * m[j][5] for j in range(len(p)) for i in range(j)):
+                found.append(([n[0] for n in m], all(gap(i, j) <= tol * min(m[i][5], m[j][5]) for j in range(len(p)) for i in range(j))))
+        first = sorted(n[0] for n in graphs.get(g, []) if n[1] == p[0][1])
+        taken = set()
+        for start in range(4):
+            if found:
+                ids, good = min(found, key=lambda f: ((first.index(f[0][0]) - start * len(first) // 4) % len(first), f[0]))  # noqa: B023
+                if tuple(ids) not in taken and good:
+                    want |= {(s, start, i, p[i][0], x) for i, x in enumerate(ids)}
+                taken.add(tuple(ids))
+    cols = "node long, type string, x double, y double, z double"
+    left = spark.createDataFrame([(s, g, i, *n) for s, (g, p) in samples.items() for i, n in enumerate(p)], f"sample_id long, graph long, slot long, {cols}")
+    right = spark.createDataFrame([(g, *n) for g, ns in graphs.items() for n in ns], f"graph long, {cols}, size double")
+    got = [tuple(x) for x in match_cuts(left, right, tol).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len({w[0] for w in want}) > 8 and {w[1] for w in want} == {0, 1, 2, 3}
