@@ -305,15 +305,17 @@ def test_samples_matches_and_flags(spark):
         ids = [n for _, n in sorted(x)]
         assert ids[0] == seed and len(set(ids)) == 5 and all(near[v] & set(ids[:i]) for i, v in enumerate(ids) if i)
     m = catalogue.queries()["cut_matching"](spark, SF).collect()
-    stats = {r.oid: (r.oid % 3, r.cx, r.cy, r.cz) for r in P.supplier_stats(spark, SF).collect()}
+    stats = {(r.scene, r.rank): (r.ch, r.x, r.y, r.z) for r in P.lines(spark, SF).collect()}
     by = defaultdict(list)
     for r in m:
-        assert stats[r.node][0] == stats[r.match][0]
-        by[r.sample_id].append((stats[r.node][1:], stats[r.match][1:]))
+        p, q = stats[r.sample_id, r.node], stats[r.sample_id + 1, r.match]
+        assert p[0] == q[0]
+        by[r.sample_id, r.start].append((p[1:], q[1:], r.match))
+    assert m and all(len({x[2] for x in xs}) == len(xs) for xs in by.values())
     for x in by.values():
-        for p, q in x:
-            for p2, q2 in x:
-                assert abs(math.dist(p, p2) - math.dist(q, q2)) < 1e-5
+        for p, q, _ in x:
+            for p2, q2, _ in x:
+                assert abs(math.dist(p, p2) - math.dist(q, q2)) <= generative.MATCH
 
 
 def test_frames_of_turned_parts(spark):
