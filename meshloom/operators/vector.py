@@ -158,11 +158,17 @@ def hash_split(df: DataFrame, key: str, share: float = 0.2, seed: str = "") -> D
     return df.withColumn("split", F.when(byte < int(65536 * share), "test").otherwise("train"))
 
 
+#: Rows of a pool that every anchor ranks, and that are broadcast.
+POOL = 100_000
+
+
 def mine_triplets(anchors: DataFrame, pool: DataFrame, distance, m: int = 10) -> DataFrame:
     """anchor, positive, negative: nearest and farthest of the m pool rows that a hash draws for each anchor (TK8).
 
-    anchors(id, w), pool(id, w); pool should be a bounded sample, since every anchor ranks all of it.
+    anchors(id, w), pool(id, w); pool is a bounded sample, since every anchor ranks all of it: one of over POOL rows is refused.
     """
+    if pool.limit(POOL + 1).count() > POOL:
+        raise ValueError(f"a pool of over {POOL} rows: draw a sample first")
     a, p = anchors.select(F.col("id").alias("anchor"), F.col("w").alias("wa")), pool.select(F.col("id").alias("other"), F.col("w").alias("wo"))
     c = a.join(F.broadcast(p), F.col("anchor") != F.col("other"))
     rank = F.row_number().over(Window.partitionBy("anchor").orderBy(F.md5(F.concat_ws(":", "anchor", "other")), "other"))
