@@ -2,30 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.functions.frames import kabsch, local_frame, quaternion
+from meshloom.functions.frames import kabsch, local_frames_of, quaternion, quaternions_of
+
+
+def _frames(parts: DataFrame) -> DataFrame:
+    """scene, oid, centre and quaternion of parts(scene, oid, p): p the coordinates of a part's points, one after the other."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in it:
+            p = rb.column(2)
+            end = p.offsets.to_numpy() - p.offsets[0].as_py()
+            size, flat = np.diff(end) // 3, p.flatten().to_numpy(zero_copy_only=False)
+            out = np.empty((len(size), 7))
+            for k in np.unique(size):
+                own = np.flatnonzero(size == k)
+                c, axes = local_frames_of(flat[end[own][:, None] + np.arange(3 * k)].reshape(len(own), k, 3))
+                out[own, :3], out[own, 3:] = c, quaternions_of(axes)
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), *map(pa.array, out.T)], names)
+
+    names = ["scene", "oid", "cx", "cy", "cz", "qx", "qy", "qz", "qw"]
+    kind = parts.schema["scene"].dataType.simpleString()
+    return parts.select("scene", F.col("oid").cast("long").alias("oid"), "p").mapInArrow(run, f"scene {kind}, oid long, cx double, cy double, cz double, qx double, qy double, qz double, qw double")
 
 
 def local_frames(points: DataFrame) -> DataFrame:
-    """scene, oid, centre and quaternion of each part (PO1). points: scene, oid, x, y, z; a scene is one group."""
+    """scene, oid, centre and quaternion of each part (PO1). points: scene, oid, x, y, z; a part's points are one row, many parts
+    one batch."""
+    p = points.groupBy("scene", "oid").agg(F.array_sort(F.collect_list(F.array("x", "y", "z"))).alias("p"))
+    return _frames(p.select("scene", "oid", F.flatten("p").alias("p")))
 
-    def run(pdf):
-        import pandas as pd
 
-        out = []
-        pdf = pdf.sort_values("oid", kind="stable")
-        ids, p = pdf["oid"].to_numpy(), pdf[["x", "y", "z"]].to_numpy(float)
-        edge = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
-        for lo, hi in zip(edge, edge[1:]):
-            c, axes = local_frame(p[lo:hi])
-            out.append((pdf["scene"].iloc[0], int(ids[lo]), *c, *quaternion(axes)))
-        return pd.DataFrame(out, columns=["scene", "oid", "cx", "cy", "cz", "qx", "qy", "qz", "qw"])
-
-    kind = points.schema["scene"].dataType.simpleString()
-    return points.groupBy("scene").applyInPandas(run, f"scene {kind}, oid long, cx double, cy double, cz double, qx double, qy double, qz double, qw double")
+def frames_of_faces(faces: DataFrame) -> DataFrame:
+    """local_frames of the corners of faces(scene, oid, fid, c)."""
+    p = faces.groupBy("scene", "oid").agg(F.array_sort(F.collect_list(F.struct("fid", "c"))).alias("p"))
+    return _frames(p.select("scene", "oid", F.flatten(F.transform("p", lambda x: x["c"])).alias("p")))
 
 
 def rigid_align(matches: DataFrame, limit: float = 0.05) -> DataFrame:

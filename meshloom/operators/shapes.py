@@ -16,10 +16,9 @@ from .lineage import settle
 MATERIALS = 1_000_000
 
 
-def mesh_faces(elements: DataFrame) -> DataFrame:
-    """scene, oid, kind (material), fid, c (nine coordinates) of the triangles that obj.scan found."""
-    p = obj.mesh_points(elements).groupBy("scene", "oid", "fid").agg(F.first("material").alias("kind"), F.array_sort(F.collect_list(F.struct("corner", "x", "y", "z"))).alias("p"))
-    return p.select("scene", "oid", "kind", "fid", F.flatten(F.transform("p", lambda x: F.array(x["x"], x["y"], x["z"]))).alias("c"))
+def mesh_faces(files: DataFrame) -> DataFrame:
+    """scene, oid, kind (material), fid, c (nine coordinates) of the triangles in files(scene, text)."""
+    return obj.triangles(files).select("scene", "oid", F.col("material").alias("kind"), "fid", "c")
 
 
 def part_types(faces: DataFrame) -> DataFrame:
@@ -40,7 +39,7 @@ def part_edges(faces: DataFrame) -> DataFrame:
 def words_of_files(files: DataFrame, repeats: int = 11, starts: str = "all") -> DataFrame:
     """scene, start, repeat, word, node_ids: the words of each connected scene in files(scene, text), from every part (or the
     first) and so many neighbour orders. At most 52 types have a character."""
-    faces = mesh_faces(obj.scan(files))
+    faces = mesh_faces(files)
     nodes = part_types(faces).select("scene", F.col("oid").alias("node"), "ch")
     return words.encode_graphs(nodes, part_edges(faces), repeats, starts=starts)
 
@@ -48,10 +47,10 @@ def words_of_files(files: DataFrame, repeats: int = 11, starts: str = "all") ->
 def poses_of_files(files: DataFrame) -> DataFrame:
     """scene, src, dst, types, relative translation (x, y, z), relative turn (rx, ry, rz, rw) and the neighbour's size of each
     directed contact in files(scene, text)."""
-    faces = mesh_faces(obj.scan(files))
-    points = faces.select("scene", "oid", F.posexplode(F.array(*[F.struct(*[F.col("c")[3 * k + i].alias(a) for i, a in enumerate("xyz")]) for k in range(3)])).alias("k", "p")).select("scene", "oid", "p.*")
-    frames = pose.local_frames(points)
-    size = points.groupBy("scene", "oid").agg(*[(F.max(a) - F.min(a)).alias(a) for a in "xyz"]).select("scene", "oid", G.length([F.col(a) for a in "xyz"]).alias("size"))
+    faces = mesh_faces(files)
+    frames = pose.frames_of_faces(faces)
+    at = lambda f, g, i: f(g(*[F.col("c")[3 * k + i] for k in range(3)]))
+    size = faces.groupBy("scene", "oid").agg(*[(at(F.max, F.greatest, i) - at(F.min, F.least, i)).alias(a) for i, a in enumerate("xyz")]).select("scene", "oid", G.length([F.col(a) for a in "xyz"]).alias("size"))
     n = frames.join(size, ["scene", "oid"]).join(part_types(faces).select("scene", "oid", "kind"), ["scene", "oid"])
     end = lambda p, key: n.select("scene", F.col("oid").alias(key), *[F.col(c).alias(p + c) for c in ("cx", "cy", "cz", "qx", "qy", "qz", "qw", "kind", "size")])
     e = part_edges(faces).join(end("a_", "src"), ["scene", "src"]).join(end("b_", "dst"), ["scene", "dst"])
