@@ -73,3 +73,32 @@ def test_contacts_of_many_small_scenes_and_a_large_one(spark, block):
 
 def test_poses_query_takes_files_only(spark):
     assert meshes.obj_poses(spark, SF).columns == shapes.poses_of_files(meshes.scene_files(spark, SF)).columns
+
+
+def test_nearest_words_in_blocks(spark, monkeypatch):
+    from meshloom.operators import words
+
+    monkeypatch.setattr(words, "DEALT", 5)
+    rng = np.random.default_rng(5)
+    w = {int(i) * 7: "".join(rng.choice(list("CEPSV"), int(rng.integers(1, 7)))) for i in range(90)}
+    d = lambda a, b: round(sum(abs(a.count(c) - b.count(c)) for c in "CEPSV") / (len(a) + len(b)), 9)
+    df = spark.createDataFrame(list(w.items()), "scene long, word string")
+    got = sorted((r.query, r.rank, r.match, round(r.d, 9)) for r in words.nearest_words(df, "scene", "CEPSV", 4).collect())
+    want = sorted((a, i + 1, b, x) for a in w for i, (x, b) in enumerate(sorted((d(w[a], w[b]), b) for b in w if b != a)[:4]))
+    assert got == want
+    assert "regexp_count" not in plan(words.distances(df, "scene", "CEPSV")) and words.distances(df, "scene", "CEPSV").count() == 90 * 89 // 2
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_shared_cells_by_products(spark, monkeypatch, block):
+    from collections import Counter
+
+    from meshloom.operators import spatial
+
+    monkeypatch.setattr(spatial, "SHARED_BLOCK", block)
+    rng = np.random.default_rng(9)
+    rows = sorted({(int(c), int(o)) for c, o in zip(rng.integers(0, 30, 900), rng.integers(0, 60, 900))} | {(100 + i, int(o)) for i in range(40) for o in rng.integers(0, 60, 2)})
+    want = Counter((a, b) for c, a in rows for e, b in rows if c == e and a < b)
+    df = spark.createDataFrame(rows, "cell long, oid long")
+    for got in (spatial._shared_by_block(df, -(-60 // block)), spatial.shared_cells(df)):
+        assert {(r.a, r.b): r.shared for r in got.collect()} == dict(want) and got.count() == len(want)
