@@ -102,3 +102,33 @@ def test_shared_cells_by_products(spark, monkeypatch, block):
     df = spark.createDataFrame(rows, "cell long, oid long")
     for got in (spatial._shared_by_block(df, -(-60 // block)), spatial.shared_cells(df)):
         assert {(r.a, r.b): r.shared for r in got.collect()} == dict(want) and got.count() == len(want)
+
+
+def test_exemplars_of_a_pair_in_blocks(spark, monkeypatch):
+    from meshloom.operators import exemplar
+
+    for name, size in (("ASKS", 7), ("LIBRARY", 11), ("ROWS", 3), ("COLUMNS", 4)):
+        monkeypatch.setattr(exemplar, name, size)
+    rng = np.random.default_rng(11)
+    rows = [(i, int(rng.integers(0, 4)), "a", "b", *np.round(rng.uniform(0, 2, 3), 2).tolist(), *rng.normal(0, 1, 4).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, scene long, src_type string, dst_type string, x double, y double, z double, rx double, ry double, rz double, rw double")
+    want = {}
+    for r in rows:
+        found = [(round(float(np.linalg.norm(np.subtract(r[4:7], e[4:7]))), 5), round(abs(abs(float(np.dot(r[7:], e[7:]))) - 1), 5), e[0]) for e in rows if e[1] != r[1]]
+        want[r[0]] = min((dev, d, ex) for d, dev, ex in found if d < min(found)[0] + 0.4)
+    got = exemplar.best_match(df, df.withColumnRenamed("id", "ex"), 0.4)
+    assert {r.id: (r.dev, r.d, r.ex) for r in got.collect()} == want
+
+
+def test_total_builds_no_table(monkeypatch):
+    import public_tokenizers
+
+    from meshloom.llm import tokens
+
+    c = tokens.PrefixCounter(public_tokenizers.path("word_bpe_49k.json"))
+    for text in ("", None, "A plain text, of 12 words.", "  spaces \n\n", "naïve café — “quotes” 漢字 é", "x" * 300):
+        want = int(c.table(text)[-1])
+        assert want == len(c.lib.encode(text or "", add_special_tokens=False).ids)
+        with monkeypatch.context() as m:
+            m.setattr(c, "table", None)
+            assert c.total(text) == want
