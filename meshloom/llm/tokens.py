@@ -209,14 +209,12 @@ class PrefixCounter:
             return self.id[key]
         return self._add(key, np.zeros(len(chunk), np.int32) if chunk.strip(" \t\n\r") == "" else self._chunk(chunk))
 
-    def table(self, text: str | None) -> np.ndarray:
-        """Counts at all prefixes, from the empty one to the whole text.
+    def _parts(self, text: str) -> list[int]:
+        """The places of the counts of a text's parts.
 
         A text of usual characters falls into the pieces that the vocabulary's own pattern finds, any other into chunks
-        between ASCII white space; counts at the prefixes of either are found once, and their running sums are the table.
+        between ASCII white space; counts at the prefixes of either are found once.
         """
-        if not text:
-            return np.zeros(1, np.int32)
         if len(self.id) > MEMO or self.used > POOL:
             self._clear()
         form = text.lower() if self.lowers else text
@@ -228,6 +226,13 @@ class PrefixCounter:
         ids = [get(x, -1) for x in parts] if find == self._part else [-1]
         if -1 in ids:
             ids = [find(x) for x in parts]
+        return ids
+
+    def table(self, text: str | None) -> np.ndarray:
+        """Counts at all prefixes, from the empty one to the whole text: the running sums of the parts' counts."""
+        if not text:
+            return np.zeros(1, np.int32)
+        ids = self._parts(text)
         size = self.size[ids]
         upto = np.cumsum(size)
         last = self.pool[self.begin[ids] + size - 1]
@@ -237,8 +242,11 @@ class PrefixCounter:
         return out
 
     def total(self, text: str | None) -> int:
-        """The last entry of the text's table."""
-        return int(self.table(text)[-1])
+        """The last entry of the text's table: the sum of the last counts of its parts."""
+        if not text:
+            return 0
+        ids = np.array(self._parts(text))
+        return int(self.pool[self.begin[ids] + self.size[ids] - 1].sum())
 
     @staticmethod
     def at(table: np.ndarray, p: int) -> int:
@@ -265,10 +273,9 @@ def _counts(path: str, limit: int):
             n, size, cut_at = [], [], []
             for text in rb.column(1):
                 t = text.as_py() or ""
-                table = c.table(t)
-                n.append(int(table[-1]))
-                cut_at.append(len(t) if n[-1] <= limit else c.truncate(table, limit))
-                size.append(len(t.encode("utf-8", "surrogatepass")))
+                n.append(c.total(t))
+                cut_at.append(len(t) if n[-1] <= limit else c.truncate(c.table(t), limit))
+                size.append(len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(cut_at, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_at"])
 
     return run
