@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meshloom.functions import geometry as G
 
 from . import graph
+from .lineage import settle
 
 _FACE = [f"{c}{i}" for c in "vtn" for i in (1, 2, 3)]
 
@@ -32,7 +33,8 @@ def merge_elements(a: DataFrame, b: DataFrame, keep_a: DataFrame, keep_b: DataFr
 
     Elements are rows as the obj format gives them: faces, and the vertices, texture coordinates and normals that kept faces
     name; others go. Everything is numbered densely by (part, old number) within its scene, through ranges and joins, so a
-    large scene is spread. Objects and faces are numbered alike. For overlap suppression pass what overlap_anti_join leaves as
+    large scene is spread. Numbers are joined by sorting and never broadcast: they are as many as the elements, while Spark's estimate
+    follows the size of what they were made from. Objects and faces are numbered alike. For overlap suppression pass what overlap_anti_join leaves as
     keep_b. Scenes that neither side keeps anything of don't appear; null or repeated rows of keep_* count once.
     """
     sides = []
@@ -45,18 +47,18 @@ def merge_elements(a: DataFrame, b: DataFrame, keep_a: DataFrame, keep_b: DataFr
         sides.append([df.withColumn("part", F.lit(part)) for df in (face, rest)])
     face, rest = (sides[0][i].unionByName(sides[1][i]) for i in (0, 1))
     objects = _renamed(face.select("scene", "part", F.col("oid").alias("old")).distinct(), "new_oid")
-    face = face.join(objects.withColumnRenamed("old", "oid"), ["scene", "part", "oid"])
+    face = face.join(objects.withColumnRenamed("old", "oid").hint("merge"), ["scene", "part", "oid"])
     order = _renamed(face.select("scene", "part", F.struct("new_oid", "idx").alias("old")), "new_idx").select("scene", "part", F.col("old.new_oid").alias("new_oid"), F.col("old.idx").alias("idx"), "new_idx")
-    face = face.join(order, ["scene", "part", "new_oid", "idx"])
+    face = settle(face.join(order.hint("merge"), ["scene", "part", "new_oid", "idx"]))
     out = None
     for kind, c in (("vertex", "v"), ("texcoord", "t"), ("normal", "n")):
         names = [f"{c}{i}" for i in (1, 2, 3)]
         used = face.select("scene", "part", F.explode(F.array(*names)).alias("old")).filter("old >= 0").distinct()
         number = _renamed(used, "new")
-        element = rest.filter(F.col("kind") == kind).join(number.withColumnRenamed("old", "idx"), ["scene", "part", "idx"]).select("scene", "kind", F.col("new").alias("idx"), "x", "y", "z")
+        element = rest.filter(F.col("kind") == kind).join(number.withColumnRenamed("old", "idx").hint("merge"), ["scene", "part", "idx"]).select("scene", "kind", F.col("new").alias("idx"), "x", "y", "z")
         out = element if out is None else out.unionByName(element)
         for name in names:
-            face = face.join(number.select("scene", "part", F.col("old").alias(name), F.col("new").alias("new_" + name)), ["scene", "part", name], "left")
+            face = face.join(number.select("scene", "part", F.col("old").alias(name), F.col("new").alias("new_" + name)).hint("merge"), ["scene", "part", name], "left")
     corners = [F.coalesce(F.col("new_" + c), F.lit(-1).cast("long")).alias(c) for c in _FACE]
     face = face.select("scene", "kind", F.col("new_idx").alias("idx"), F.col("new_oid").alias("oid"), "material", *corners)
     return out.unionByName(face, allowMissingColumns=True)
