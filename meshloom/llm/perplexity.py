@@ -20,8 +20,9 @@ SHARE, LEAST = 1e-6, 2
 SHAPES, FIRST = 16, 17
 #: A pair of ids is one key: left << BITS | right.
 BITS = np.uint64(24)
-#: Pairs that a task holds before it passes them on, trusted words per shard of the counts, and pairs in one row of counts.
-HELD, SHARD, CHUNK = 2_000_000, 4_000_000, 250_000
+#: Words or pairs that a task holds before it passes them on (arrays of 24 bytes each and copies of them while they are sorted),
+#: trusted words per shard of the counts, partial counts that a shard folds, and pairs in one row of counts.
+HELD, SHARD, FOLD, CHUNK = 500_000, 4_000_000, 8_000_000, 250_000
 #: Ids or marks broadcast at most; beyond it Spark joins.
 BROADCAST_ROWS = 4_000_000
 
@@ -173,7 +174,7 @@ def _merge_shards(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now = r["shard"]
             parts.append((_unpack_keys(r["keys"], r["size"]), _unpack(r["n"], r["size"], np.int64)))
             size += r["size"]
-            if size > 4 * HELD and len(parts) > 1:  # fold now and then: memory holds distinct pairs, not all partial counts
+            if size > FOLD and len(parts) > 1:  # fold now and then: memory holds distinct pairs, not all partial counts
                 parts = [_sum_by(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))]
                 size = len(parts[0][0])
     if parts:

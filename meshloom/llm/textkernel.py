@@ -77,8 +77,9 @@ def shingle_set(h: np.ndarray, k: int) -> np.ndarray:
     return np.unique(shingle_hashes(h, k))
 
 
-def batches(texts: list, max_chars: int = 1_000_000):
-    """Slices (lo, hi) of texts with about max_chars characters each; one long text may exceed it alone."""
+def batches(texts: list, max_chars: int = 250_000):
+    """Slices (lo, hi) of texts with about max_chars characters each; one long text may exceed it alone. Words takes some forty
+    bytes a byte of text for a while."""
     lo = size = 0
     for i, t in enumerate(texts):
         n = len(t) if t else 0
