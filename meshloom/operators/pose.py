@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.functions.frames import kabsch, local_frames_of, quaternion, quaternions_of
+from meshloom.functions.frames import kabsch_of, local_frames_of, quaternions_of
 
 
 def _frames(parts: DataFrame) -> DataFrame:
@@ -48,17 +48,31 @@ def frames_of_faces(faces: DataFrame) -> DataFrame:
 def rigid_align(matches: DataFrame, limit: float = 0.05) -> DataFrame:
     """sample, n, ok, residue and quaternion and translation of each sample's matched points (TK11).
 
-    matches: sample, px..pz, qx..qz. A sample's few points are one group; ok if the fit is a turn, not a mirror image, and the
-    residue is under limit of their extent.
+    matches: sample, px..pz, qx..qz. ok if the fit is a turn, not a mirror image, and the residue is under limit of their extent.
     """
+    end = lambda s: F.struct(*[F.col(s + a).alias(a) for a in "xyz"]).alias(s)
+    each = matches.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct(end("p"), end("q")))).alias("e"))
+    return rigid_align_rows(each.select("sample", F.transform("e", lambda x: x["p"]).alias("p"), F.transform("e", lambda x: x["q"]).alias("q")), limit)
 
-    def run(pdf):
-        import pandas as pd
 
-        p, q = (pdf[[f"{s}{a}" for a in "xyz"]].to_numpy(float) for s in "pq")
-        r, t, res, det = kabsch(p, q)
-        size = float(np.linalg.norm(p.max(0) - p.min(0)))
-        turn = abs(det - 1) <= 0.01
-        return pd.DataFrame([[pdf["sample"].iloc[0], len(p), turn and res <= limit * max(size, 1e-9), res, *(quaternion(r.T) if turn else [0.0, 0.0, 0.0, 1.0]), *t]], columns=["sample", "n", "ok", "residue", "qx", "qy", "qz", "qw", "tx", "ty", "tz"])
+def rigid_align_rows(matches: DataFrame, limit: float = 0.05) -> DataFrame:
+    """rigid_align of samples that are rows: sample, p and q as arrays of structs with x, y, z. Those of a batch with as many points go together."""
+    names = ["sample", "n", "ok", "residue", "qx", "qy", "qz", "qw", "tx", "ty", "tz"]
 
-    return matches.groupBy("sample").applyInPandas(run, "sample long, n long, ok boolean, residue double, qx double, qy double, qz double, qw double, tx double, ty double, tz double")
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in it:
+            begin, size = rb.column(1).offsets.to_numpy(), np.diff(rb.column(1).offsets.to_numpy()) // 3
+            flat = [c.values.to_numpy(zero_copy_only=False) for c in rb.columns[1:]]
+            out, turn, fine = np.empty((len(size), 8)), np.zeros(len(size), bool), np.zeros(len(size), bool)
+            for k in np.unique(size):
+                own = np.flatnonzero(size == k)
+                p, q = (x[begin[own][:, None] + np.arange(3 * k)].reshape(len(own), k, 3) for x in flat)
+                r, t, res, det = kabsch_of(p, q)
+                turn[own] = np.abs(det - 1) <= 0.01
+                fine[own] = res <= limit * np.maximum(np.linalg.norm(p.max(1) - p.min(1), axis=1), 1e-9)
+                out[own, 0], out[own, 1:5], out[own, 5:] = res, quaternions_of(r.transpose(0, 2, 1)), t
+            out[~turn, 1:5] = [0.0, 0.0, 0.0, 1.0]
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(size.astype(np.int64)), pa.array(turn & fine), *map(pa.array, out.T)], names)
+
+    flat = lambda c: F.flatten(F.transform(c, lambda x: F.array(*[x[a].cast("double") for a in "xyz"]))).alias(c)
+    return matches.select(F.col("sample").cast("long").alias("sample"), flat("p"), flat("q")).mapInArrow(run, "sample long, n long, ok boolean, residue double, qx double, qy double, qz double, qw double, tx double, ty double, tz double")
