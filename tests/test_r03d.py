@@ -5,7 +5,7 @@ import test_geometry
 from pyspark.sql import functions as F
 
 from meshloom.functions import frames
-from meshloom.operators import pose, variation
+from meshloom.operators import category, lineage, pose, spatial, variation
 from meshloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +39,31 @@ def test_many_sets_are_aligned_as_one_by_one(spark):
             assert np.allclose(r[i] @ p[i].T + t[i][:, None], want[0] @ p[i].T + want[1][:, None]) and np.isclose(res[i], want[2]) and np.isclose(det[i], want[3])
     q = catalogue.queries()["rigid_align"](spark, SF)
     assert "FlatMapGroupsInPandas" not in plan(q) and q.filter(F.col("residue").isNull()).count() == 0 and hasattr(pose, "rigid_align_rows")
+
+
+def test_large_tables_are_dealt_by_their_rows_and_give_the_same_pairs(spark, monkeypatch):
+    f = spark.range(4000).selectExpr("id * 7 % 400 AS cell", "id * 13 % 97 AS oid").cache()
+    t = spark.range(97).selectExpr("id AS oid", "concat('t', id % 5) AS type")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    pairs, graph = rows(spatial.cell_pairs(f)), rows(spatial.collision_graph(f, t))
+    monkeypatch.setattr(lineage, "DEALT", 100)
+    assert spatial.cell_pairs(f).rdd.getNumPartitions() == 40
+    assert rows(spatial.cell_pairs(f)) == rows(spatial.cell_pairs(f, dense=True)) == pairs and rows(spatial.collision_graph(f, t)) == graph
+
+
+def test_near_pairs_are_those_of_all_pairs_that_are_near(spark):
+    f = spark.range(3000).selectExpr("id * 7 % 60 AS cell", "id * 13 % 97 AS oid")
+    n = spark.range(95).selectExpr("id AS oid", "CAST(id % 9 - 3 AS INT) AS n")
+    band = {r.oid: r.n for r in n.collect()}
+    every = [(r.a, r.b) for r in spatial.cell_pairs(f).collect()]
+    for reach in (0, 1, 3):
+        got = [tuple(r) for r in spatial.near_pairs(f, n, reach).collect()]
+        assert sorted(got) == sorted((a, b) for a, b in every if a in band and b in band and abs(band[a] - band[b]) <= reach)
+
+
+def test_an_edge_meets_its_centres_as_a_row(spark):
+    e = spark.createDataFrame([(1, 2, "a", "b", 0.0, 0.0, 0.0), (1, 2, "a", "b", 5.0, 0.0, 0.0), (3, 4, "a", "c", 1.0, 1.0, 1.0), (5, 6, "a", "b", None, 0.0, 0.0)], "src long, dst long, src_type string, dst_type string, x double, y double, z double")
+    c = spark.createDataFrame([("a", "b", 7, 1.0, 0.0, 0.0), ("a", "b", 3, -1.0, 0.0, 0.0), ("a", "b", 1, 5.0, 0.0, 0.1)], "src_type string, dst_type string, category long, x double, y double, z double")
+    q = category.nearest_category(e, c)
+    assert {(r.src, r.dst): r.category for r in q.collect()} == {(1, 2): 1, (3, 4): None, (5, 6): 1}
+    assert "SortMergeJoin" not in plan(q) and "BroadcastHashJoin" in plan(q)
