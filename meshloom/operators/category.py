@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import settle
+from .lineage import settle, small, stored
 
 
 #: Seeds that are broadcast to the points; more meet them by a salted join. SALTS parts of a cell that holds most points.
@@ -32,7 +32,7 @@ def shifted_seeds(points: DataFrame, rounds: int = 100) -> DataFrame:
     points is spread over its cells. Seeds are broadcast up to a checked size, and sums are partial, so points are not shuffled.
     """
     at = lambda p: [F.floor(F.col(f"{p}{a}") / F.col("band")).cast("long") for a in _XYZ]
-    own = settle(points.select(*_PAIR, *_XYZ, "band", *[c.alias(f"i{a}") for c, a in zip(at(""), _XYZ)]))
+    own = points.select(*_PAIR, *_XYZ, "band", *[c.alias(f"i{a}") for c, a in zip(at(""), _XYZ)])
     bins = own.select(*_PAIR, "band", *[(F.round(F.col(a) / F.col("band")) * F.col("band")).alias(f"s{a}") for a in _XYZ])
     seeds, done = settle(bins.distinct()), None
 
@@ -85,6 +85,7 @@ def edge_categories(poses: DataFrame, bandwidth: float = 0.2, merge: float = 0.2
     seeds, of which those within a bandwidth of a fuller one are left out, meet in a group. Pairs whose first size is 0 keep
     their distinct translations. Empty table: empty.
     """
+    poses = stored(poses.select("src", *_PAIR, *_XYZ, "size"), "poses")
     first = F.min(F.struct("src", *_XYZ, "size"))["size"].cast("double").alias("first")
     degree = poses.groupBy(*_PAIR, "src").agg(F.count("*").alias("k")).groupBy(*_PAIR).agg(F.max("k").alias("least"))
     pairs = settle(poses.groupBy(*_PAIR).agg(first).join(degree, list(_PAIR)))
@@ -114,11 +115,13 @@ def category_prefix(counts: DataFrame) -> DataFrame:
 
 
 def nearest_category(poses: DataFrame, centres: DataFrame) -> DataFrame:
-    """src, dst, category: the nearest centre of the edge's type pair, ties to the smaller id; null where the pair has none (CL4)."""
-    c = centres.select("src_type", "dst_type", "category", *[F.col(a).alias(f"c{a}") for a in "xyz"])
-    d = F.sqrt(sum((F.pow(F.col(a) - F.col(f"c{a}"), F.lit(2.0)) for a in "yz"), F.pow(F.col("x") - F.col("cx"), F.lit(2.0))))
-    hit = poses.join(c, ["src_type", "dst_type"], "left").withColumn("d", F.round(d, 6))
-    return hit.groupBy("src", "dst").agg(F.min(F.struct("d", "category"))["category"].alias("category"))
+    """src, dst, category: the nearest centre of the edge's type pair, ties to the smaller id; null where the pair has none (CL4).
+    A pair's centres are a row, so an edge is a row as well, and edges are not shuffled to meet them where pairs are few."""
+    c = centres.groupBy(*_PAIR).agg(F.collect_list(F.struct("category", *[F.col(a).alias(f"c{a}") for a in _XYZ])).alias("centres"))
+    gap = lambda c: F.sqrt(sum((F.pow(F.col(a) - c[f"c{a}"], F.lit(2.0)) for a in "yz"), F.pow(F.col("x") - c["cx"], F.lit(2.0))))
+    best = F.array_min(F.transform("centres", lambda c: F.struct(F.round(gap(c), 6).alias("d"), c["category"].alias("category"))))
+    hit = poses.join(small(c), list(_PAIR), "left").select("src", "dst", best.alias("best"))
+    return hit.groupBy("src", "dst").agg(F.min("best")["category"].alias("category"))
 
 
 def both_directions(poses: DataFrame) -> DataFrame:
