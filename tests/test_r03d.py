@@ -67,3 +67,42 @@ def test_an_edge_meets_its_centres_as_a_row(spark):
     q = category.nearest_category(e, c)
     assert {(r.src, r.dst): r.category for r in q.collect()} == {(1, 2): 1, (3, 4): None, (5, 6): 1}
     assert "SortMergeJoin" not in plan(q) and "BroadcastHashJoin" in plan(q)
+
+
+def test_a_word_is_looked_at_once_a_task(spark, monkeypatch):
+    import pyarrow as pa
+
+    from meshloom.operators import words
+
+    df = spark.range(0, 60_000, 1, 1).selectExpr("id", "IF(id % 7 = 6, NULL, concat('w', id % 7)) AS word")
+    calls = spark.sparkContext.accumulator(0)
+
+    def fn(w):
+        calls.add(1)
+        return (None if w is None else w * 2,)
+
+    got = words.by_word(df, "twice string", [pa.string()], fn)
+    assert got.filter("twice IS DISTINCT FROM concat(word, word)").count() == 0 and calls.value == 7
+    g = spark.range(0, 40_000, 1, 1)
+    nodes = g.selectExpr("id AS scene", "explode(sequence(0, 2 + id % 2)) AS n").selectExpr("scene", "CAST(n AS LONG) AS node", "IF(n = 0, 'O', 'A') AS ch")
+    edges = nodes.filter("node > 0").selectExpr("scene", "explode(array(struct(0L AS src, node AS dst), struct(node AS src, 0L AS dst))) AS e").select("scene", "e.*")
+    out = words.encode_graphs(nodes, edges, repeats=2)
+    assert out.count() == 20_000 * 2 * (3 + 4) and out.groupBy(F.col("scene") % 2, "start", "repeat").agg(F.countDistinct("word", "node_ids").alias("n")).filter("n > 1").count() == 0
+
+
+def test_cycle_words_go_round_without_joins(spark):
+    q = catalogue.queries()["cycle_word_roundtrip"](spark, SF)
+    assert "Join" not in plan(q) and q.filter("NOT same").count() == 0
+
+
+def test_a_model_takes_matrices_and_lists(spark):
+    from meshloom.operators import dataset
+
+    class Lists(dataset.CharacterModel):
+        def encode(self, words):
+            return super().encode(words).tolist()
+
+    w = spark.createDataFrame([(1, "O(A)N"), (2, ""), (3, "O")], "scene long, word string")
+    for model in (dataset.CharacterModel(" ()ANOR", 6), Lists(" ()ANOR", 6)):
+        assert {tuple(r) for r in dataset.decoded(dataset.encoded(w, model), model).collect()} == {(1, "O(A)N"), (2, ""), (3, "O")}
+    assert isinstance(dataset.CharacterModel(" AB", 2).encode(["A"]), np.ndarray)
