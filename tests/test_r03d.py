@@ -106,3 +106,23 @@ def test_a_model_takes_matrices_and_lists(spark):
     for model in (dataset.CharacterModel(" ()ANOR", 6), Lists(" ()ANOR", 6)):
         assert {tuple(r) for r in dataset.decoded(dataset.encoded(w, model), model).collect()} == {(1, "O(A)N"), (2, ""), (3, "O")}
     assert isinstance(dataset.CharacterModel(" AB", 2).encode(["A"]), np.ndarray)
+
+
+def test_configurations_are_found_by_the_rarest_one(spark):
+    import random
+
+    from meshloom.operators import grammar
+
+    r = random.Random(4)
+    make = lambda n: [(i, "O", a, b, *sorted((r.choice("ab"), r.choice("ab"))), r.randint(0, 12) / 4, 30.0) for i in range(n) for a, b in [(1, 2), (1, 3), (2, 3)][: r.randint(1, 3)]]
+    schema = "node long, type string, l_dst long, r_dst long, b0 string, b1 string, dist double, size double"
+    t, x = make(60), make(25)
+    t += [(99, "O", 1, 2, "a", "a", 1.0, 30.0)] * 2 + [(98, "P", 1, 2, "a", "a", 1.0, 30.0), (97, "O", 1, 2, None, "a", 1.0, 30.0)]
+    hit = lambda c, e: c[1] == e[1] and c[4:6] == e[4:6] and abs(c[6] - e[6]) < c[7] * 0.02
+    own = lambda rows, n: [c for c in rows if c[0] == n]
+    want = {n: n < 97 and any(all(any(hit(c, e) for e in own(x, k)) for c in own(t, n)) for k in range(25)) for n in {c[0] for c in t}}
+    q = grammar.config_subset(spark.createDataFrame(t, schema), spark.createDataFrame(x, schema))
+    assert {a.node: a.ok for a in q.collect()} == want and len(set(want.values())) == 2
+    # copies ask and answer once
+    twice = lambda rows: spark.createDataFrame(rows + [(c[0] + 1000, *c[1:]) for c in rows], schema)
+    assert {a.node % 1000: a.ok for a in grammar.config_subset(twice(t), twice(x)).collect()} == want
