@@ -131,7 +131,9 @@ def _joined(parts: list[_Open]) -> tuple[Trie, list[str]]:
 
 def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents (text, lang, source) -> parts of a trie a language, sent on whenever a task holds TERMS or ENTRIES."""
-    index, number = defaultdict(count().__next__), defaultdict(count().__next__)  # term -> id, (lang, source) -> group
+    # term -> id, (lang, source) -> group; numbers begin at 0 again after each flush
+    fresh = lambda: (defaultdict(count().__next__), defaultdict(count().__next__))
+    index, number = fresh()
     ids, sizes, groups, held, long = [], [], [], [], 0
 
     def chunk():
@@ -148,6 +150,7 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held[:] = [(key[by][edge], np.add.reduceat(docs[by], edge), np.add.reduceat(n[by], edge))]
 
     def flush():
+        nonlocal index, number
         if held:
             key, docs, n = held[0]
             terms, names = list(index), list(number)
@@ -161,7 +164,8 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rb = trie.parts(lang, b"", DEPTH, [s for _, s in names])
                     for lo in range(0, rb.num_rows, 1024):
                         yield rb.slice(lo, 1024)
-        index.clear(), number.clear(), held.clear()
+        index, number = fresh()
+        held.clear()
 
     for rb in it:
         for text, lang, source in zip(rb.column(0), rb.column(1).to_pylist(), rb.column(2).to_pylist()):
