@@ -1,5 +1,9 @@
+import itertools
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from meshloom.functions import scenes as S
 from meshloom.operators import generate
 from meshloom.plans import catalogue, generative
 
@@ -29,3 +33,37 @@ def test_equal_scenes_are_looked_at_once_and_give_the_same(spark):
     got = {k: sorted(v) for k, v in got.items()}
     assert set(got) == set(range(40)) and len({tuple(v) for v in got.values()}) == 2 and all(got[k] == got[k % 2] for k in got)
     assert len({r.key for r in generate.contacts(f).collect()}) == 40
+
+
+def test_connected_sets_are_counted():
+    rng = np.random.default_rng(4)
+    for n in (1, 4, 7):
+        near = {i: [] for i in range(n)}
+        for i, j in itertools.combinations(range(n), 2):
+            if rng.random() < 0.45:
+                near[i].append(j), near[j].append(i)
+        for k in range(1, n + 1):
+            want = sum(set(S.grown({v: [w for w in near[v] if w in c] for v in c}, [c[0]])) == set(c) for c in itertools.combinations(range(n), k))
+            assert S.connected_sets(near, k, 1000) == want and (want < 2 or S.connected_sets(near, k, want - 1) is None)
+
+
+def test_variations_of_many_samples_stop_when_nothing_new_can_come(monkeypatch):
+    part = lambda i, kind: S.Part(kind, np.array([[v + 3.0 * i * (a % 3 == 0) for a, v in enumerate(t)] for t in ([0, 0, 0, 4, 0, 0, 0, 2, 0], [0, 0, 0, 4, 0, 0, 0, 0, 1])]).reshape(-1, 3, 3))
+    a, b = ([part(i, k) for i, k in enumerate(w)] for w in ("ABCABCABCA", "BCABCABCABCA"))
+    calls, sampled = [], S.sampled
+    monkeypatch.setattr(S, "sampled", lambda *x: calls.append(x) or sampled(*x))
+    short = S.variations(a, b, 300)
+    few = len(calls)
+    monkeypatch.setattr(S, "connected_sets", lambda *_: None)
+    full = S.variations(a, b, 300)
+    names = lambda r: [(v["k"], v["sample"], v["hist"]) for v in r[0]]
+    assert names(short) == names(full) and short[1] == full[1] and few < 300 < len(calls) - few
+
+
+def test_augmented_words_take_two_rounds_of_all_samples(spark, monkeypatch):
+    from meshloom.operators import dataset
+
+    asked = []
+    monkeypatch.setattr(dataset, "augmented", lambda f, rounds, samples: asked.append((rounds, samples)))
+    catalogue.queries()["augmented_words"](spark, SF)
+    assert asked == [(2, 2048)]
