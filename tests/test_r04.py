@@ -67,3 +67,16 @@ def test_augmented_words_take_two_rounds_of_all_samples(spark, monkeypatch):
     monkeypatch.setattr(dataset, "augmented", lambda f, rounds, samples: asked.append((rounds, samples)))
     catalogue.queries()["augmented_words"](spark, SF)
     assert asked == [(2, 2048)]
+
+
+def test_words_with_cycles_are_encoded_from_every_start(spark, monkeypatch):
+    from meshloom.operators import words
+
+    w = spark.createDataFrame([(1, "O1ANR1"), (2, "OA"), (3, "")], "scene long, word string")
+    made = {r.scene: r.made for r in words.with_variants(w, 3, every=True).collect()}
+    assert {x[0] for x in made[1]} == set("OANR") and made[2] == ["OA", "AO"] and made[3] == [] and len(set(made[1])) == len(made[1])
+    assert all(len(r.made) == 3 for r in words.with_variants(w, 3).filter("scene < 3").collect())
+    asked, plain = [], words.with_variants
+    monkeypatch.setattr(words, "with_variants", lambda *a, **k: asked.append(k) or plain(*a, **k))
+    q = catalogue.queries()["cycle_word_roundtrip"](spark, SF)
+    assert asked == [{"every": True}] and q.filter("NOT same").count() == 0
