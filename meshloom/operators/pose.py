@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 from meshloom.functions.frames import kabsch_of, local_frames_of, quaternions_of
 
 
+def frames_of_points(end: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Centre and quaternion (m x 7) of m parts: part i has the points flat[end[i]:end[i + 1]], coordinates one after the other."""
+    size = np.diff(end) // 3
+    out = np.empty((len(size), 7))
+    for k in np.unique(size):
+        own = np.flatnonzero(size == k)
+        c, axes = local_frames_of(flat[end[:-1][own][:, None] + np.arange(3 * k)].reshape(len(own), k, 3))
+        out[own, :3], out[own, 3:] = c, quaternions_of(axes)
+    return out
+
+
 def _frames(parts: DataFrame) -> DataFrame:
     """scene, oid, centre and quaternion of parts(scene, oid, p): p the coordinates of a part's points, one after the other."""
 
@@ -19,12 +30,7 @@ def _frames(parts: DataFrame) -> DataFrame:
         for rb in it:
             p = rb.column(2)
             end = p.offsets.to_numpy() - p.offsets[0].as_py()
-            size, flat = np.diff(end) // 3, p.flatten().to_numpy(zero_copy_only=False)
-            out = np.empty((len(size), 7))
-            for k in np.unique(size):
-                own = np.flatnonzero(size == k)
-                c, axes = local_frames_of(flat[end[own][:, None] + np.arange(3 * k)].reshape(len(own), k, 3))
-                out[own, :3], out[own, 3:] = c, quaternions_of(axes)
+            out = frames_of_points(end, p.flatten().to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), *map(pa.array, out.T)], names)
 
     names = ["scene", "oid", "cx", "cy", "cz", "qx", "qy", "qz", "qw"]

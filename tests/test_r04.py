@@ -80,3 +80,30 @@ def test_words_with_cycles_are_encoded_from_every_start(spark, monkeypatch):
     monkeypatch.setattr(words, "with_variants", lambda *a, **k: asked.append(k) or plain(*a, **k))
     q = catalogue.queries()["cycle_word_roundtrip"](spark, SF)
     assert asked == [{"every": True}] and q.filter("NOT same").count() == 0
+
+
+def test_files_are_parsed_once_and_large_ones_go_by_the_grid(spark):
+    from meshloom.operators import collide, pose, shapes
+    from meshloom.sources import obj
+
+    cube = lambda o, x, n=1: "\n".join([f"o p{o}", f"usemtl m{o}", *(f"v {x + a} {b} {c}" for a, b, c in itertools.product((0, 1), repeat=3)), *["f -8 -7 -6 -5\nf -4 -3 -2 -1\nf -8 -4 -2"] * n])
+    text = {"large": "\n".join(cube(i, i, 4100 if i == 1 else 1) for i in range(4)), "small": "\n".join(cube(i, i * 0.9) for i in range(5)), "one": cube(0, 0), "none": ""}
+    files = spark.createDataFrame(list(text.items()) + [("null", None)], "scene string, text string").repartition(2)
+    faces = shapes.mesh_faces(files)
+    n = {r.scene: r["count"] for r in faces.groupBy("scene").count().collect()}
+    assert n["large"] > shapes.WHOLE > n["small"]
+    rows = lambda df: sorted(map(repr, df.collect()))
+    want = rows(collide.object_contacts(faces))
+    assert rows(shapes.contacts_of_files(files)) == want and len(want) == 7
+    assert rows(shapes.frames_of_files(files)) == rows(pose.frames_of_faces(obj.triangles(files)))
+    w = {(r.scene, r.start): r.n for r in shapes.words_of_files(files, repeats=1).selectExpr("scene", "start", "size(node_ids) AS n").collect()}
+    assert w == {**{("large", i): 4 for i in range(4)}, **{("small", i): 5 for i in range(5)}, ("one", 0): 1}
+    poses = shapes.poses_of_files(files).collect()
+    assert {(r.scene, min(r.src, r.dst), max(r.src, r.dst)) for r in poses} == {(r.scene, r.a, r.b) for r in collide.object_contacts(faces).collect()} and len(poses) == 14
+    assert all(r.src_type == f"m{r.src}" and r.dst_type == f"m{r.dst}" and abs(r.size - 3**0.5) < 1e-9 for r in poses)
+
+
+def test_contacts_and_frames_of_files_shuffle_no_triangles(spark):
+    q = catalogue.queries()["local_frames"](spark, SF)
+    text = q._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") <= 2 and "collect_list(struct(fid" not in text
