@@ -107,3 +107,30 @@ def test_contacts_and_frames_of_files_shuffle_no_triangles(spark):
     q = catalogue.queries()["local_frames"](spark, SF)
     text = q._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange") <= 2 and "collect_list(struct(fid" not in text
+
+
+def test_pairs_of_configurations_are_not_shuffled(spark):
+    from meshloom.operators import grammar
+
+    rows = [(n, "t", f"b{(n + j) % 5}", f"b{j}", j * 0.5 + (n % 3) * 0.01, 1.0, j, j + 1) for n in range(40) for j in range(1 + n % 4)]
+    df = spark.createDataFrame(rows, "node long, type string, b0 string, b1 string, dist double, size double, l_dst long, r_dst long")
+    target, example = df.filter("node % 2 = 1"), df.filter("node % 2 = 0")
+    got = grammar.config_subset(target, example, 0.02)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [ask#" in plan and not any("Aggregate [ask#" in line and ", x#" in line.split("]")[0] for line in plan.splitlines())
+    by = {}
+    for n, *c in rows:
+        by.setdefault(n, []).append(c)
+    like = lambda a, b: a[:3] == b[:3] and abs(a[3] - b[3]) < a[4] * 0.02
+    want = {n: any(all(any(like(a, b) for b in x) for a in c) for m, x in by.items() if m % 2 == 0) for n, c in by.items() if n % 2}
+    assert {r.node: r.ok for r in got.collect()} == want and 0 < sum(want.values()) < len(want)
+
+
+def test_samples_rank_neighbours_by_a_plain_hash(spark, monkeypatch):
+    from meshloom.operators import variation
+
+    plans, settle = [], variation.settle
+    monkeypatch.setattr(variation, "settle", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), settle(df))[1])
+    e = spark.createDataFrame([(i, j) for i in range(9) for j in range(9) if i != j], "src long, dst long")
+    a, b = (variation.sample_subgraphs(e, spark.createDataFrame([(i, i) for i in range(9)], "sample_id long, node long"), 4).collect() for _ in range(2))
+    assert sorted(a) == sorted(b) and not any("md5" in p for p in plans)
