@@ -134,3 +134,16 @@ def test_samples_rank_neighbours_by_a_plain_hash(spark, monkeypatch):
     e = spark.createDataFrame([(i, j) for i in range(9) for j in range(9) if i != j], "src long, dst long")
     a, b = (variation.sample_subgraphs(e, spark.createDataFrame([(i, i) for i in range(9)], "sample_id long, node long"), 4).collect() for _ in range(2))
     assert sorted(a) == sorted(b) and not any("md5" in p for p in plans)
+
+
+def test_cells_of_scenes_are_counted_where_they_lie(spark):
+    from meshloom.operators import spatial
+
+    rng = np.random.default_rng(8)
+    rows = [(int(rng.integers(0, 30)), i % 3, i, rng.uniform(-4, 4, 9).tolist()) for i in range(400)] + [(99, 0, 0, None)]
+    f = spark.createDataFrame(rows, "scene long, oid long, fid long, c array<double>").repartition(5)
+    want = spatial.triangle_cells(f, (2.0, 1.0, 0.5), (0.1, 0.0, 0.2)).groupBy("scene").agg(F.count("*").alias("n"), F.countDistinct("ix", "iy", "iz").alias("n_cells"))
+    assert sorted(map(tuple, spatial.scene_cells(f, (2.0, 1.0, 0.5), (0.1, 0.0, 0.2)).collect())) == sorted(map(tuple, want.collect()))
+    q = catalogue.queries()["triangle_cells"](spark, SF)
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2 and "HashAggregate" not in plan
