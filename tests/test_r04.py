@@ -163,3 +163,12 @@ def test_a_file_goes_round_without_leaving_its_row(spark):
         assert {r.scene: r.same for r in obj.same_as_text(bent).collect()}["s"] is False, old
     plan = catalogue.queries()["obj_export_roundtrip"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Aggregate") == 1
+
+
+def test_plain_quads_are_read_as_other_faces_are(spark):
+    from meshloom.sources import obj
+
+    head = "v 0 0 0\nv 1 0 0\nv 1 1 0\nv 0 1 0\no a\nusemtl m\n"
+    faces = ["f 1 2 3 4", "f -4 -3 -2 -1", "f 1 2 3 -1", "f 1 2 x 4 ", "f 1 2 3 4 # note", "f 1/ 2/ 3/ 4/", "f 0 1 2 3"]
+    plain, slow = obj._File(head + "\n".join(faces)), obj._File(head + "\n".join(f.replace("f ", "fo ", 1) for f in faces))
+    assert plain.index == slow.index and plain.oid == slow.oid and plain.material == slow.material and len(plain.oid) == 12
