@@ -172,3 +172,20 @@ def test_plain_quads_are_read_as_other_faces_are(spark):
     faces = ["f 1 2 3 4", "f -4 -3 -2 -1", "f 1 2 3 -1", "f 1 2 x 4 ", "f 1 2 3 4 # note", "f 1/ 2/ 3/ 4/", "f 0 1 2 3"]
     plain, slow = obj._File(head + "\n".join(faces)), obj._File(head + "\n".join(f.replace("f ", "fo ", 1) for f in faces))
     assert plain.index == slow.index and plain.oid == slow.oid and plain.material == slow.material and len(plain.oid) == 12
+
+
+def test_boxes_are_dealt_and_few_triangles_of_two_objects_are_tested(spark, monkeypatch):
+    from meshloom.functions.frames import triangles_meet
+    from meshloom.operators import collide
+    from meshloom.plans import geometry
+
+    assert geometry._faces(spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rng = np.random.default_rng(2)
+    corner = np.array(list(itertools.product((0, 1), repeat=3)), float)
+    cubes = [(rng.integers(0, 6, 3) + corner * 3)[np.array(geometry._TRIANGLES)] for _ in range(20)]
+    tri, oid = np.concatenate(cubes), np.repeat(np.arange(20), 12)
+    want = {(i, j) for i, j in itertools.combinations(range(20), 2) if triangles_meet(np.repeat(cubes[i], 12, 0), np.tile(cubes[j], (12, 1, 1))).any()}
+    tested = []
+    monkeypatch.setattr(collide, "triangles_meet", lambda a, b: tested.append(len(a)) or triangles_meet(a, b))
+    a, b = collide.whole_scenes(np.zeros(240, np.int64), oid, tri)
+    assert sorted((min(x, y), max(x, y)) for x, y in zip(oid[a].tolist(), oid[b].tolist())) == sorted(want) and sum(tested) < 20 * len(want)
